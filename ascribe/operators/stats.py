@@ -12,26 +12,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metric_stats(df: DataFrame, keys, value: str = "metric",
+def exact_mean(c, scale: float = 1.0) -> Column:
+    """Mean of an integer column: exact integer sum, then count and scale
+    divisions, so the result does not depend on the summation order."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c).cast("double") / F.count(c) / float(scale)
+
+
+def exact_std(c, scale: float = 1.0) -> Column:
+    """Sample std (ddof 1, NULL below 2 rows) of an integer column from exact
+    integer moments n, sum, sum of squares (decimal(38,0) products), so it is
+    bit-identical for any partitioning; partial moments merge across loads."""
+    c = F.col(c) if isinstance(c, str) else c
+    n = F.count(c)
+    s = F.sum(c).cast("decimal(38,0)")
+    ss = F.sum(c * c).cast("decimal(38,0)")
+    num = (n.cast("decimal(38,0)") * ss - s * s).cast("double")
+    return F.when(n > 1, F.sqrt(num / (n.cast("double") * (n - 1))) / float(scale))
+
+
+def _drop_null_keys(df: DataFrame, keys) -> DataFrame:
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
+def metric_stats(df: DataFrame, keys, value: str = "metric_c", scale: float = 100.0,
                  mean: str = "mean", std: str = "std") -> DataFrame:
-    """mean and sample std (ddof 1; NULL for one-row groups) of ``value``.
+    """mean and sample std of ``value / scale`` per group.
 
-    Rows with a NULL group key are dropped, as a pandas ``groupby`` does.
+    ``value`` holds exact integers (hundredths); rows with a NULL group key
+    are dropped, as a pandas ``groupby`` does.
     """
     keys = list(keys)
-    src = df
-    for k in keys:
-        src = src.filter(F.col(k).isNotNull())
-    return src.groupBy(*keys).agg(F.avg(value).alias(mean), F.stddev_samp(value).alias(std))
+    return _drop_null_keys(df, keys).groupBy(*keys).agg(
+        exact_mean(value, scale).alias(mean), exact_std(value, scale).alias(std))
 
 
-def option_means(df: DataFrame, keys, cols, names=None) -> DataFrame:
-    """Mean of each option column per group (A1-A3)."""
+def float_stats(df: DataFrame, keys, value: str, mean: str = "mean", std: str = "std") -> DataFrame:
+    """mean / sample std of a floating column (order-dependent last bits)."""
+    keys = list(keys)
+    return _drop_null_keys(df, keys).groupBy(*keys).agg(
+        F.avg(value).alias(mean), F.stddev_samp(value).alias(std))
+
+
+def option_means(df: DataFrame, keys, cols, names=None, scale: float = 100.0) -> DataFrame:
+    """Mean of each option column per group (A1-A3); ``cols`` are exact
+    integer hundredths."""
     names = names or cols
-    src = df
-    for k in keys:
-        src = src.filter(F.col(k).isNotNull())
-    return src.groupBy(*keys).agg(*[F.avg(c).alias(n) for c, n in zip(cols, names)])
+    return _drop_null_keys(df, keys).groupBy(*keys).agg(
+        *[exact_mean(c, scale).alias(n) for c, n in zip(cols, names)])
 
 
 def complete_grid(stats: DataFrame, dims: list[DataFrame], keys, fill_cols, fill=0.0) -> DataFrame:
@@ -66,25 +96,24 @@ def _product(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select(*a.columns, F.inline("_b"))
 
 
-def means_grouping_sets(df: DataFrame, sets: list[list[str]], cols, names=None) -> DataFrame:
-    """Several groupings in one pass (A4): SQL ``GROUPING SETS``.
+def means_grouping_sets(df: DataFrame, sets: list[list[str]], cols, names=None,
+                        scale: float = 100.0) -> DataFrame:
+    """Several groupings in one pass (A4): ``GROUPING SETS``.
 
-    The aggregate expands each input row once per set before the partial
-    aggregation, so a single scan and a single shuffle serve all levels.
+    The Expand operator emits each input row once per set before the partial
+    aggregation, so a single scan and a single shuffle serve all levels;
+    ``g_<key>`` = 1 marks a key rolled up in that row.
     """
     names = names or cols
-    view = f"_gs_{abs(hash(tuple(map(tuple, sets)))) % 10**8}"
     allk = []
-    for s in sets:
-        for k in s:
+    for s_ in sets:
+        for k in s_:
             if k not in allk:
                 allk.append(k)
-    df.createOrReplaceTempView(view)
-    spec = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    aggs = ", ".join(f"avg({c}) AS {n}" for c, n in zip(cols, names))
-    gflags = ", ".join(f"CAST(grouping({k}) AS INT) AS g_{k}" for k in allk)
-    return df.sparkSession.sql(
-        f"SELECT {', '.join(allk)}, {gflags}, {aggs} FROM {view} GROUP BY GROUPING SETS ({spec})")
+    g = df.groupingSets([[F.col(k) for k in s_] for s_ in sets], *[F.col(k) for k in allk])
+    out = g.agg(*[F.grouping(k).cast("int").alias(f"g_{k}") for k in allk],
+                *[exact_mean(c, scale).alias(n) for c, n in zip(cols, names)])
+    return out
 
 
 def choice_counts(df: DataFrame, keys, ord_col: str = "chosen_ord", n_options: int = 4,

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up_2, hash_key
+from ..functions.numeric import hash_key
 from ..schemas import OPTION_KEYS, ROLES
 from ..sources.tables import Tables, bounded_broadcast
 
@@ -82,12 +82,18 @@ def trial_lines(t: Tables) -> DataFrame:
                    mode_of(F.col("l_linestatus")).alias("mode"),
                    s1.alias("s1"), s2.alias("s2"), s3.alias("s3"), s4.alias("s4"))
     tot = F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4")
-    li = li.select("*", *[half_up_2(F.col(f"s{i}") / tot).alias(f"p{i}") for i in range(1, 5)])
+    # c_i: probability in exact hundredths (bigint); p_i = c_i / 100.
+    li = li.select("*", *[F.floor(F.col(f"s{i}") / tot * 100.0 + 0.5).alias(f"c{i}")
+                          for i in range(1, 5)])
+    li = li.select("*", *[(F.col(f"c{i}") / 100.0).alias(f"p{i}") for i in range(1, 5)])
     chosen = first_argmax(*[F.col(f"s{i}") for i in range(1, 5)])
     return li.select(
         "*",
         chosen.alias("chosen_ord"),
-        (F.col("p1") + F.col("p2") - F.col("p3") - F.col("p4")).alias("metric"))
+        (F.col("p1") + F.col("p2") - F.col("p3") - F.col("p4")).alias("metric"),
+        # the same metric in exact hundredths: integer sums are order-free,
+        # so statistics are bit-identical for any partitioning or engine
+        (F.col("c1") + F.col("c2") - F.col("c3") - F.col("c4")).alias("metric_c"))
 
 
 def people(t: Tables) -> DataFrame:

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from ..operators.trials import trials
 from .registry import register, round_doubles
-from .sql import r6, with_trials
+from .sql import mean_c, r6, std_c, with_trials
 
 P_COLS = ["p1", "p2", "p3", "p4"]
+C_COLS = ["c1", "c2", "c3", "c4"]
+MEAN = r6(mean_c("metric_c"), "mean")
+STD = r6(std_c("metric_c"), "std")
 OPT_NAMES = ["opt1", "opt2", "opt3", "opt4"]
 
 
 # --- A10 (flagship): mean / std of the metric by gender, nationality, mode ---
 @register("disparity_by_mode", with_trials(f"""
-SELECT gender, nationality, mode, {r6('avg(metric)', 'mean')}, {r6('stddev_samp(metric)', 'std')}
+SELECT gender, nationality, mode, {MEAN}, {STD}
 FROM trials GROUP BY gender, nationality, mode ORDER BY gender, nationality, mode
 """), headline=True)
 def disparity_by_mode(t):
@@ -25,7 +28,7 @@ def disparity_by_mode(t):
 
 
 @register("disparity_by_nationality", with_trials(f"""
-SELECT nationality, {r6('avg(metric)', 'mean')}, {r6('stddev_samp(metric)', 'std')}
+SELECT nationality, {MEAN}, {STD}
 FROM trials GROUP BY nationality ORDER BY nationality
 """))
 def disparity_by_nationality(t):
@@ -34,7 +37,7 @@ def disparity_by_nationality(t):
 
 
 @register("disparity_one_mode", with_trials(f"""
-SELECT gender, nationality, {r6('avg(metric)', 'mean')}, {r6('stddev_samp(metric)', 'std')}
+SELECT gender, nationality, {MEAN}, {STD}
 FROM trials WHERE mode = 'Success' GROUP BY gender, nationality ORDER BY gender, nationality
 """))
 def disparity_one_mode(t):
@@ -45,7 +48,7 @@ def disparity_one_mode(t):
 
 @register("slice_stats", with_trials(f"""
 SELECT nationality, mean, std FROM (
-  SELECT gender, nationality, mode, {r6('avg(metric)', 'mean')}, {r6('stddev_samp(metric)', 'std')}
+  SELECT gender, nationality, mode, {MEAN}, {STD}
   FROM trials GROUP BY gender, nationality, mode) s
 WHERE mode = 'Failure' AND gender = 'female' ORDER BY nationality
 """))
@@ -94,7 +97,7 @@ def metric_long(t):
 
 # --- A1-A4: option means ---
 def _opt_avgs():
-    return ", ".join(r6(f"avg({p})", o) for p, o in zip(P_COLS, OPT_NAMES))
+    return ", ".join(r6(mean_c(c), o) for c, o in zip(C_COLS, OPT_NAMES))
 
 
 @register("mean_by_gender", with_trials(f"""
@@ -102,7 +105,7 @@ SELECT mode, gender, {_opt_avgs()} FROM trials GROUP BY mode, gender ORDER BY mo
 """))
 def mean_by_gender(t):
     """A1: mean option probabilities by (mode, gender)."""
-    s = stats.option_means(trials(t), ["mode", "gender"], P_COLS, OPT_NAMES)
+    s = stats.option_means(trials(t), ["mode", "gender"], C_COLS, OPT_NAMES)
     return round_doubles(s).orderBy("mode", "gender")
 
 
@@ -111,7 +114,7 @@ SELECT mode, nationality, {_opt_avgs()} FROM trials GROUP BY mode, nationality O
 """))
 def mean_by_nationality(t):
     """A2: mean option probabilities by (mode, nationality)."""
-    s = stats.option_means(trials(t), ["mode", "nationality"], P_COLS, OPT_NAMES)
+    s = stats.option_means(trials(t), ["mode", "nationality"], C_COLS, OPT_NAMES)
     return round_doubles(s).orderBy("mode", "nationality")
 
 
@@ -136,7 +139,7 @@ def grid_complete(t):
     nationality grid of the filtered input, 0 for cells without trials."""
     f = trials(t).filter((F.col("mode") == "Failure")
                          & ~((F.col("gender") == "female") & (F.col("region") == "REGION_1")))
-    s = stats.option_means(f, ["gender", "nationality"], P_COLS, OPT_NAMES)
+    s = stats.option_means(f, ["gender", "nationality"], C_COLS, OPT_NAMES)
     dims = [f.select("gender").distinct(), f.select("nationality").distinct()]
     out = stats.complete_grid(s, dims, ["gender", "nationality"], OPT_NAMES)
     return round_doubles(out)
@@ -151,5 +154,5 @@ FROM trials GROUP BY GROUPING SETS ((mode, gender), (mode, nationality), (mode,
 def means_grouping_sets(t):
     """A4: the A1, A2 and A3 levels in one scan and one shuffle."""
     s = stats.means_grouping_sets(trials(t), [["mode", "gender"], ["mode", "nationality"],
-                                              ["mode", "gender", "nationality"]], P_COLS, OPT_NAMES)
+                                              ["mode", "gender", "nationality"]], C_COLS, OPT_NAMES)
     return round_doubles(s)

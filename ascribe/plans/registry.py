@@ -33,8 +33,20 @@ def register(name: str, sql: str | None = None, headline: bool = False):
     return deco
 
 
+def round_half_away(c, places: int = 6):
+    """Round half away from zero with explicit IEEE steps (scale, +0.5,
+    floor, unscale), so Spark and the SQL oracle round identically; a
+    library ``round`` differs between engines on ties such as 0.3193125.
+    Infinities and NaN pass through; the result is never -0.0."""
+    m = float(10 ** places)
+    pos = F.floor(c * m + 0.5) / m
+    neg = (F.lit(0) - F.floor(F.lit(0.0) - c * m + 0.5)) / m
+    return (F.when(F.isnan(c) | (F.abs(c) == float("inf")), c)
+            .when(c < 0, neg).otherwise(pos))
+
+
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every double column (engines sum in different orders)."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
+    return df.select(*[round_half_away(F.col(f.name), places).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])

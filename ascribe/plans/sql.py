@@ -28,18 +28,23 @@ tl0 AS (
          1.0 + 250.0 * l_discount AS s3, 1.0 + 300.0 * l_tax AS s4
   FROM lineitem
 ),
-tl1 AS (
+tlc AS (
   SELECT *,
-    floor(s1 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) / 100.0 AS p1,
-    floor(s2 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) / 100.0 AS p2,
-    floor(s3 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) / 100.0 AS p3,
-    floor(s4 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) / 100.0 AS p4,
+    CAST(floor(s1 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) AS BIGINT) AS c1,
+    CAST(floor(s2 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) AS BIGINT) AS c2,
+    CAST(floor(s3 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) AS BIGINT) AS c3,
+    CAST(floor(s4 / (s1 + s2 + s3 + s4) * 100.0 + 0.5) AS BIGINT) AS c4
+  FROM tl0
+),
+tl1 AS (
+  SELECT *, c1 / CAST(100 AS DOUBLE) AS p1, c2 / CAST(100 AS DOUBLE) AS p2,
+         c3 / CAST(100 AS DOUBLE) AS p3, c4 / CAST(100 AS DOUBLE) AS p4,
     CASE WHEN s1 >= s2 AND s1 >= s3 AND s1 >= s4 THEN 1
          WHEN s2 >= s3 AND s2 >= s4 THEN 2
          WHEN s3 >= s4 THEN 3 ELSE 4 END AS chosen_ord
-  FROM tl0
+  FROM tlc
 ),
-tl AS (SELECT *, p1 + p2 - p3 - p4 AS metric FROM tl1)
+tl AS (SELECT *, p1 + p2 - p3 - p4 AS metric, c1 + c2 - c3 - c4 AS metric_c FROM tl1)
 """
 
 PEOPLE = """
@@ -71,5 +76,26 @@ def with_trials(body: str, extra: str = "") -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def rnd(expr: str, places: int = 6) -> str:
+    """SQL twin of ``registry.round_half_away``."""
+    m = f"CAST({10 ** places} AS DOUBLE)"
+    e = f"({expr})"
+    return (f"(CASE WHEN isnan({e}) OR isinf({e}) THEN {e} WHEN {e} < 0 "
+            f"THEN (0 - floor(0.0 - {e} * {m} + 0.5)) / {m} "
+            f"ELSE floor({e} * {m} + 0.5) / {m} END)")
+
+
 def r6(expr: str, alias: str, places: int = 6) -> str:
-    return f"round({expr}, {places}) AS {alias}"
+    return f"{rnd(expr, places)} AS {alias}"
+
+
+def mean_c(col: str, scale: float = 100.0) -> str:
+    """SQL twin of ``stats.exact_mean``: exact integer sum, then two divisions."""
+    return f"(CAST(sum({col}) AS DOUBLE) / count({col}) / CAST({scale} AS DOUBLE))"
+
+
+def std_c(col: str, scale: float = 100.0) -> str:
+    """SQL twin of ``stats.exact_std``: sample std from exact integer moments."""
+    num = f"CAST(CAST(count({col}) AS HUGEINT) * sum({col} * {col}) - CAST(sum({col}) AS HUGEINT) * sum({col}) AS DOUBLE)"
+    return (f"(CASE WHEN count({col}) > 1 THEN sqrt({num} / (CAST(count({col}) AS DOUBLE) * (count({col}) - 1))) "
+            f"/ CAST({scale} AS DOUBLE) END)")
