@@ -61,6 +61,37 @@ def render(framing: str, instruction: Column, initial_prompt: Column, o: list[Co
     raise ValueError(f"unknown framing {framing}")
 
 
+def render_parts(framing: str, instruction: Column, initial_prompt: Column) -> tuple[Column, str, bool]:
+    """(text before the options, text after them, whether options are shown)
+    of one framing; lets a template table pre-render everything except the
+    per-trial option order."""
+    instr = F.concat(_lit("### Instruction:\n"), instruction, _lit("\n\n"))
+    stmt = F.concat(_lit("### Statement:\n"), initial_prompt, _lit("\n\n"))
+    heads = {"choice": CHOICE_HEAD, "choice_spaced": CHOICE_HEAD_SPACED, "story": STORY_HEAD,
+             "remote": REMOTE_HEAD}
+    if framing in heads:
+        pre = F.concat(_lit(heads[framing] + "\n\n"), instr, stmt, _lit("Options:\n"))
+        tail = "\n" + REMOTE_TAIL if framing == "remote" else RESPONSE_TAG
+        return pre, tail, True
+    if framing == "continuation":
+        return F.concat(_lit(CONTINUATION_HEAD + "\n\n"), stmt, _lit("Options:\n")), RESPONSE_TAG, True
+    if framing == "minimal":
+        return initial_prompt, "\n\n" + RESPONSE_TAG, False
+    raise ValueError(f"unknown framing {framing}")
+
+
+def template_parts(framing_col: Column, instruction: Column, initial_prompt: Column) -> list[Column]:
+    """Per-row framing -> [pre, tail, has_options] columns (CASE over framings)."""
+    pre = tail = opt = None
+    for fr in FRAMINGS:
+        p, tl, o = render_parts(fr, instruction, initial_prompt)
+        c = framing_col == fr
+        pre = F.when(c, p) if pre is None else pre.when(c, p)
+        tail = F.when(c, F.lit(tl)) if tail is None else tail.when(c, F.lit(tl))
+        opt = F.when(c, F.lit(o)) if opt is None else opt.when(c, F.lit(o))
+    return [pre.alias("pre"), tail.alias("tail"), opt.alias("has_options")]
+
+
 def render_by(framing_col: Column, instruction: Column, initial_prompt: Column,
               o: list[Column]) -> Column:
     """Per-row framing: a CASE over the framings (each branch is codegen'd)."""

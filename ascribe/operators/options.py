@@ -29,7 +29,9 @@ def shuffle_options(trial_id: Column, keys, fields: dict[str, list[Column]], see
         cols = [hash_key(seed, trial_id, key_c).alias("h"), F.lit(i + 1).alias("ord"), key_c.alias("key")]
         cols += [vals[i].alias(name) for name, vals in fields.items()]
         items.append(F.struct(*cols))
-    return F.array_sort(F.array(*items))
+    # sort_array compares structs field by field with a codegen'd ordering
+    # (array_sort goes through an interpreted comparator lambda)
+    return F.sort_array(F.array(*items))
 
 
 def shuffle_texts(trial_id: Column, keys, texts: list[Column], seed) -> Column:

@@ -27,11 +27,18 @@ def tokens(df: DataFrame, id_cols, text: str = "text", out: str = "token") -> Da
     return t.filter(F.col(out) != "")
 
 
-def unigram_model(corpus_tokens: DataFrame, token: str = "token") -> tuple[DataFrame, Column]:
-    """Add-one smoothed unigram model: ``(token, cnt, lp)`` and the log-prob
-    of an unseen token.  lp = ln((cnt + 1) / (N + V)) with N tokens and V
-    types; N and V come from one scalar subquery over the vocabulary."""
-    vocab = corpus_tokens.groupBy(token).agg(F.count("*").alias("cnt"))
+def token_counts(seq_tokens: DataFrame, keys, token: str = "token") -> DataFrame:
+    """(sequence keys, token, c): tokens counted per sequence first, so a hot
+    token costs one partial row per map task, not one row per occurrence."""
+    return seq_tokens.groupBy(*keys, token).agg(F.count("*").alias("c"))
+
+
+def unigram_model(counts: DataFrame, token: str = "token", c: str = "c") -> tuple[DataFrame, Column]:
+    """Add-one smoothed unigram model from per-sequence token counts:
+    ``(token, cnt, lp)`` and the log-prob of an unseen token.
+    lp = ln((cnt + 1) / (N + V)) with N tokens and V types; N and V come from
+    one scalar subquery over the vocabulary (its exchange is reused)."""
+    vocab = counts.groupBy(token).agg(F.sum(c).alias("cnt"))
     nv = vocab.select(F.struct(F.sum("cnt").alias("n"), F.count("*").alias("v")).alias("nv")).scalar()
     denom = (nv["n"] + nv["v"]).cast("double")
     model = vocab.select(token, "cnt", F.log((F.col("cnt") + 1).cast("double") / denom).alias("lp"))
@@ -39,17 +46,13 @@ def unigram_model(corpus_tokens: DataFrame, token: str = "token") -> tuple[DataF
     return model, unseen
 
 
-def sequence_logprob(seq_tokens: DataFrame, model: DataFrame, unseen: Column, keys,
+def sequence_logprob(counts: DataFrame, model: DataFrame, unseen: Column, keys,
                      token: str = "token") -> DataFrame:
-    """Per-sequence token count and summed log-probability (A21, log space).
-
-    Tokens are first counted per (sequence, token) — a hot token is one
-    partial row per map task — then joined to the model on ``token``; AQE
-    splits a skewed token partition of the join.
-    """
+    """Per-sequence token count and summed log-probability (A21, log space),
+    from ``token_counts`` joined to the model on ``token`` (AQE splits a
+    skewed token partition of the join)."""
     keys = list(keys)
-    c = seq_tokens.groupBy(*keys, token).agg(F.count("*").alias("c"))
-    j = c.join(model.select(token, "lp"), token, "left")
+    j = counts.join(model.select(token, "lp"), token, "left")
     lp = F.coalesce(F.col("lp"), unseen)
     return j.groupBy(*keys).agg(F.sum("c").alias("n_tokens"), F.sum(F.col("c") * lp).alias("log_prob"))
 

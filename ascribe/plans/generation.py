@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.render import FRAMINGS, render_actor, render_by, sql_render_actor, sql_render_by
+from ..functions.render import (FRAMINGS, options_block, render_actor, sql_render_actor, sql_render_by,
+                                template_parts)
 from ..operators import generate as G
 from ..operators.options import shuffle_texts
 from ..schemas import GENDERS, GLOBAL_SEED, OPTION_KEYS, SECOND_NAME
@@ -104,14 +105,23 @@ so AS (SELECT *, {_at_pos(1, _FILLED_O)} AS s1, {_at_pos(2, _FILLED_O)} AS s2,
 SELECT idx, framing, {sql_render_by('framing', 'f_instr', 'f_prompt', ['s1', 's2', 's3', 's4'])} AS prompt FROM so
 """)
 def prompt_render(t):
-    """P18-P22 + F14: options shuffled per trial, rendered in the template's framing."""
-    g = G.fill_choice(G.generate_trials(t))
-    g = g.withColumn("framing", F.element_at(F.array(*[F.lit(f) for f in FRAMINGS]),
-                                             (F.col("template_id") % len(FRAMINGS) + 1).cast("int")))
+    """P18-P22 + F14: options shuffled per trial, rendered in the template's framing.
+
+    Everything that depends only on the template (framing header, instruction,
+    statement) is pre-rendered once on the small template table; per trial
+    the plan only fills the name, orders the four options and concatenates.
+    """
+    tm = G.templates(t)
+    tm = tm.withColumn("framing", F.element_at(F.array(*[F.lit(f) for f in FRAMINGS]),
+                                               (F.col("template_id") % len(FRAMINGS) + 1).cast("int")))
+    tm = tm.select("template_id", "gender", "framing", "o1", "o2", "o3", "o4",
+                   *template_parts(F.col("framing"), F.col("instruction"), F.col("initial_prompt")))
+    g = G.generate_trials(t, tm)
     sh = shuffle_texts(F.col("idx"), KEYS, [F.col(f"o{k}") for k in range(1, 5)], GLOBAL_SEED)
     o = [sh.getItem(i)["text"] for i in range(4)]
-    return g.select("idx", "framing", render_by(F.col("framing"), F.col("instruction"),
-                                                 F.col("initial_prompt"), o).alias("prompt"))
+    body = F.when(F.col("has_options"), options_block(o)).otherwise(F.lit(""))
+    prompt = F.concat(F.replace(F.col("pre"), F.lit("{X}"), F.col("name")), body, F.col("tail"))
+    return g.select("idx", "framing", prompt.alias("prompt"))
 
 
 AO_CTES = f"""

@@ -210,9 +210,9 @@ def perplexity_docs(t):
     """A20 + A21 + F11: per-document perplexity and log-probability under a
     unigram model of the whole corpus (every token of every document)."""
     d = t.documents.select("doc_id", "text")
-    tok = S.tokens(d, ["doc_id"])
-    model, unseen = S.unigram_model(tok)
-    seq = S.sequence_logprob(tok, model, unseen, ["doc_id"])
+    counts = S.token_counts(S.tokens(d, ["doc_id"]), ["doc_id"])
+    model, unseen = S.unigram_model(counts)
+    seq = S.sequence_logprob(counts, model, unseen, ["doc_id"])
     out = seq.select("doc_id", F.col("n_tokens").cast("bigint"),
                      S.perplexity(F.col("n_tokens"), F.col("log_prob")).alias("perplexity"), "log_prob")
     return round_doubles(out, 4)
@@ -236,8 +236,9 @@ def option_likelihood(t):
     tm = templates(t)
     opts = tm.select("template_id", F.inline(F.array(*[
         F.struct(F.lit(k).alias("ord"), F.col(f"o{k}").alias("text")) for k in range(1, 5)])))
-    corpus = S.tokens(t.documents.select("doc_id", "text"), ["doc_id"])
+    corpus = S.token_counts(S.tokens(t.documents.select("doc_id", "text"), ["doc_id"]), ["doc_id"])
     model, unseen = S.unigram_model(corpus)
-    seq = S.sequence_logprob(S.tokens(opts, ["template_id", "ord"]), model, unseen, ["template_id", "ord"])
+    opt_counts = S.token_counts(S.tokens(opts, ["template_id", "ord"]), ["template_id", "ord"])
+    seq = S.sequence_logprob(opt_counts, model, unseen, ["template_id", "ord"])
     out = S.normalised_likelihood(seq, ["template_id"])
     return round_doubles(out.select("template_id", "ord", "prob"))

@@ -41,5 +41,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     cheap even when the side is large.  Beyond the bound the plan is left to
     Spark, which then shuffles both sides (sort-merge / shuffled hash join).
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
+    ok = _BOUND_CHECKS.get(key)
+    if ok is None:
+        ok = df.limit(max_rows + 1).count() <= max_rows
+        _BOUND_CHECKS[key] = ok
+    return F.broadcast(df) if ok else df
+
+
+# (plan hash, input files, bound) -> passed; a dimension is checked once per process
+_BOUND_CHECKS: dict = {}
