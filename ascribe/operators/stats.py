@@ -229,3 +229,18 @@ def error_bands(stats: DataFrame, mean: str = "mean", std: str = "std") -> DataF
     """mean - std and mean + std."""
     return stats.select("*", (F.col(mean) - F.col(std)).alias("lower"),
                         (F.col(mean) + F.col(std)).alias("upper"))
+
+
+def pool_groups(df: DataFrame, keys, n: str = "n", mean: str = "mean", std: str = "std") -> DataFrame:
+    """Merge per-group (n, mean, sample std) into coarser groups exactly:
+    N = sum n, mean = sum(n*mean)/N, M2 = sum((n-1)*std^2 + n*(mean - mean_N)^2).
+    Lets daily / per-mode statistics be combined without re-reading rows."""
+    keys = list(keys)
+    if not keys:
+        raise ValueError("pool_groups needs at least one key")
+    tot = df.groupBy(*keys).agg(F.sum(n).alias("_N"), (F.sum(F.col(n) * F.col(mean)) / F.sum(n)).alias("_mu"))
+    j = df.join(tot, keys)
+    m2 = (F.col(n) - 1) * F.coalesce(F.col(std), F.lit(0.0)) ** 2 + F.col(n) * (F.col(mean) - F.col("_mu")) ** 2
+    out = j.groupBy(*keys).agg(F.first("_N").alias("n"), F.first("_mu").alias("mean"), F.sum(m2).alias("_m2"))
+    return out.select(*keys, "n", "mean",
+                      F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1))).alias("std"))
