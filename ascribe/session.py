@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # a join on (k1, k2, ...) may reuse an existing hash(k1) partitioning
+    # instead of re-shuffling an already co-partitioned side
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -39,15 +39,21 @@ def with_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def run_append(stream: DataFrame, out_path: str, ckpt_path: str, timeout_s: int = 600) -> None:
+def run_append(stream: DataFrame, out_path: str, ckpt_path: str, timeout_s: int = 600,
+               processing_time: str | None = None):
     """T1 + T3: process everything available now, append to a file sink.
 
     The sink's commit log makes each batch visible exactly once; after a crash
     the run restarts from the checkpoint and re-executes only the open batch.
+    With ``processing_time`` (T4, e.g. "60 seconds" for a rate-limited remote
+    scorer) the query keeps running, one micro-batch per interval, and is
+    returned to the caller instead of awaited.
     """
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("path", out_path).option("checkpointLocation", ckpt_path)
-         .trigger(availableNow=True).start())
+    w = (stream.writeStream.format("parquet").outputMode("append")
+         .option("path", out_path).option("checkpointLocation", ckpt_path))
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
