@@ -101,10 +101,16 @@ def dedup_stream(spark: SparkSession, stream: DataFrame, keys, event_time: str =
 
 
 def windowed_stats(spark: SparkSession, stream: DataFrame, keys, value: str, event_time: str = "ts",
-                   window: str = "1 day", delay: str = "40 days", name: str = "stats") -> DataFrame:
-    """Running count / sum per (event-time window, keys)."""
+                   window: str = "1 day", name: str = "stats") -> DataFrame:
+    """Running count / sum per (event-time window, keys), complete mode.
+
+    Windows are taken on the wall-clock (TIMESTAMP_NTZ) event time, so day
+    boundaries do not move with the session time zone.  Complete mode keeps
+    every window's state (small: windows x keys); an update-mode variant
+    would add a watermark to evict closed windows.
+    """
     base = scratch_path(spark, name)
-    s = with_event_time(stream, event_time).withWatermark(event_time, delay)
+    s = stream.withColumn(event_time, F.col(event_time).cast("timestamp_ntz"))
     agg = (s.groupBy(F.window(event_time, window).alias("w"), *keys)
            .agg(F.count("*").alias("n"), F.sum(value).alias("total_value")))
     run_complete(agg, f"{base}/out", f"{base}/checkpoint")
