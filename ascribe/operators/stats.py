@@ -86,14 +86,12 @@ MAX_DIM_VALUES = 100_000
 
 def _product(a: DataFrame, b: DataFrame) -> DataFrame:
     """Product of two small value sets: ``b`` (checked to hold at most
-    MAX_DIM_VALUES rows) is packed into one broadcast array and exploded next
-    to every row of ``a``."""
+    MAX_DIM_VALUES rows) is packed into one array by a scalar subquery and
+    exploded next to every row of ``a`` (no join at all)."""
     if b.limit(MAX_DIM_VALUES + 1).count() > MAX_DIM_VALUES:
         raise ValueError("grid dimension too large to complete")
-    bcols = b.columns
-    packed = b.agg(F.collect_list(F.struct(*bcols)).alias("_b")).withColumn("_j", F.lit(0))
-    out = a.withColumn("_j", F.lit(0)).join(F.broadcast(packed), "_j").drop("_j")
-    return out.select(*a.columns, F.inline("_b"))
+    packed = b.agg(F.collect_list(F.struct(*b.columns))).scalar()     # one scalar subquery
+    return a.select(*a.columns, F.inline(packed))
 
 
 def means_grouping_sets(df: DataFrame, sets: list[list[str]], cols, names=None,
