@@ -147,3 +147,27 @@ def distinct_dims(t):
          .agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("first_seen")))
     w = Window.orderBy("first_seen", "nationality")
     return f.withColumn("ord", F.row_number().over(w).cast("bigint")).orderBy("ord")
+
+
+@register("box_summary_gender", with_trials(f"""
+, q AS (SELECT gender, mode, count(*) AS n, quantile_cont(metric_c, 0.25) AS q1,
+               quantile_cont(metric_c, 0.5) AS median, quantile_cont(metric_c, 0.75) AS q3
+        FROM trials GROUP BY gender, mode),
+j AS (SELECT q.*, t.metric_c,
+             t.metric_c >= q.q1 - 1.5 * (q.q3 - q.q1) AND t.metric_c <= q.q3 + 1.5 * (q.q3 - q.q1) AS inside
+      FROM q JOIN trials t ON q.gender = t.gender AND q.mode = t.mode)
+SELECT gender, mode, CAST(any_value(n) AS BIGINT) AS n, {r6('any_value(q1) / 100.0', 'q1')},
+       {r6('any_value(median) / 100.0', 'median')}, {r6('any_value(q3) / 100.0', 'q3')},
+       {r6('min(metric_c) FILTER (WHERE inside) / 100.0', 'whisker_low')},
+       {r6('max(metric_c) FILTER (WHERE inside) / 100.0', 'whisker_high')},
+       CAST(count(*) FILTER (WHERE NOT inside) AS BIGINT) AS n_outliers
+FROM j GROUP BY gender, mode
+"""))
+def box_summary_gender(t):
+    """A16 by (gender, mode): the second box plot of the disparity figures.
+    Groups here hold half of all rows each; the counts-first quantiles keep
+    the work per group bounded by its distinct values."""
+    b = stats.box_summary(trials(t), ["gender", "mode"], "metric_c")
+    return round_doubles(b.select("gender", "mode", "n", "n_outliers",
+                                  *[(F.col(c) / 100.0).alias(c) for c in
+                                    ("q1", "median", "q3", "whisker_low", "whisker_high")]))

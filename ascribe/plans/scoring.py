@@ -242,3 +242,39 @@ def option_likelihood(t):
     seq = S.sequence_logprob(opt_counts, model, unseen, ["template_id", "ord"])
     out = S.normalised_likelihood(seq, ["template_id"])
     return round_doubles(out.select("template_id", "ord", "prob"))
+
+
+def _normalising_scorer(pdf):
+    """Stand-in batch scorer (pandas, vectorised): raw option scores of each
+    trial -> probabilities.  A real deployment passes a model here."""
+    import numpy as np
+    import pandas as pd
+    sc = np.vstack(pdf["scores"].to_numpy())
+    return pd.DataFrame({"trial_id": pdf["trial_id"], "probs": list(sc / sc.sum(axis=1, keepdims=True))})
+
+
+_SC = ["sa", "sb", "sc", "sd"]
+_PR = [f"({x} / ({' + '.join(_SC)}))" for x in _SC]
+
+
+@register("scorer_choice", f"""WITH {TRIALS} {SHUF}
+, pr AS (SELECT *, {_PR[0]} AS qa, {_PR[1]} AS qb, {_PR[2]} AS qc, {_PR[3]} AS qd FROM cc),
+am AS (SELECT *, CASE WHEN qa >= qb AND qa >= qc AND qa >= qd THEN 1 WHEN qb >= qc AND qb >= qd THEN 2
+                      WHEN qc >= qd THEN 3 ELSE 4 END AS qpos FROM pr)
+SELECT {K}, chr(CAST(64 + qpos AS INTEGER)) AS chosen_letter,
+       round_even(CASE qpos WHEN 1 THEN qa WHEN 2 THEN qb WHEN 3 THEN qc ELSE qd END, 2) AS chosen_prob,
+       CAST(NULL AS VARCHAR) AS error
+FROM am
+""")
+def scorer_choice(t):
+    """X3 + X7 + J6 + W6 + F10: a caller-supplied pandas scorer run over Arrow
+    batches (mapInPandas), its output re-attached by trial id, then the
+    first-argmax choice and the half-even rounded probability."""
+    li = trial_lines(t).withColumn("_sh", _shuffled(trial_lines(t))).withColumn("trial_id", trial_id())
+    inp = li.select("trial_id", F.transform("_sh", lambda o: o["score"]).alias("scores"))
+    scored = S.score_options(inp, _normalising_scorer, cols=("trial_id", "scores"))
+    j = li.select(*TRIAL_KEY, "trial_id").join(scored, "trial_id")
+    pos = F.array_position(F.col("probs"), F.array_max(F.col("probs")))
+    return j.select(*TRIAL_KEY, O.letter(pos).alias("chosen_letter"),
+                    round_half_even_2(F.element_at(F.col("probs"), pos.cast("int"))).alias("chosen_prob"),
+                    "error")
