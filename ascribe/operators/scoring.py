@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import capped_exp
-from ..schemas import WS
 
 
 def tokens(df: DataFrame, id_cols, text: str = "text", out: str = "token") -> DataFrame:
-    """Whitespace tokens of a text column, one row per token (empty ones dropped)."""
-    t = df.select(*id_cols, F.explode(F.split(F.col(text), f"{WS}+")).alias(out))
+    """Whitespace tokens (space, tab, CR, LF) of a text column, one row per
+    token.  Tab/CR/LF are first mapped to spaces with ``translate`` so the
+    split runs on a single literal character (no regex engine per row);
+    the empty strings between repeated spaces are dropped."""
+    spaced = F.translate(F.col(text), "\t\r\n", "   ")
+    t = df.select(*id_cols, F.explode(F.split(spaced, " ")).alias(out))
     return t.filter(F.col(out) != "")
 
 
@@ -39,8 +42,8 @@ def unigram_model(counts: DataFrame, token: str = "token", c: str = "c") -> tupl
     lp = ln((cnt + 1) / (N + V)) with N tokens and V types; N and V come from
     one scalar subquery over the vocabulary (its exchange is reused)."""
     vocab = counts.groupBy(token).agg(F.sum(c).alias("cnt"))
-    nv = vocab.select(F.struct(F.sum("cnt").alias("n"), F.count("*").alias("v")).alias("nv")).scalar()
-    denom = (nv["n"] + nv["v"]).cast("double")
+    # one scalar subquery (N + V); identical references are reused, not re-run
+    denom = vocab.select((F.sum("cnt") + F.count(F.lit(1))).cast("double")).scalar()
     model = vocab.select(token, "cnt", F.log((F.col("cnt") + 1).cast("double") / denom).alias("lp"))
     unseen = F.log(F.lit(1.0) / denom)
     return model, unseen

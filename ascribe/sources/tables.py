@@ -11,6 +11,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+_READS: dict = {}
+
+
 class Tables:
     """Lazy access to ``{sf_dir}/{name}.parquet``.
 
@@ -27,7 +30,12 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(self.path(name))
+            # the driver tables are immutable inputs: list files / read footers once
+            key = (id(self.spark), self.path(name))
+            df = _READS.get(key)
+            if df is None:
+                df = _READS[key] = self.spark.read.parquet(self.path(name))
+            return df
         raise AttributeError(name)
 
     def __getitem__(self, name: str) -> DataFrame:
