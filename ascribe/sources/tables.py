@@ -31,7 +31,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             # the driver tables are immutable inputs: list files / read footers once
-            key = (id(self.spark), self.path(name))
+            key = (self.spark.sparkContext.applicationId, id(self.spark), self.path(name))
             df = _READS.get(key)
             if df is None:
                 df = _READS[key] = self.spark.read.parquet(self.path(name))
