@@ -251,3 +251,30 @@ def prompt_head(t):
 
 
 _ = GENDERS
+
+
+def _run_pos_sql(k: int) -> str:
+    hs = [f"md5(concat_ws('|', CAST(seed AS VARCHAR), CAST(idx AS VARCHAR), '{KEYS[j]}'))" for j in range(4)]
+    return "(1 + " + " + ".join(f"CAST({hs[j]} < {hs[k]} AS INTEGER)" for j in range(4) if j != k) + ")"
+
+
+_KEY_LITS = [f"'{k}'" for k in KEYS]
+
+
+@register("run_option_shuffle", GEN_CTES + f"""
+, r AS (SELECT CAST(range AS INTEGER) AS run FROM range(1, {N_RUNS + 1})),
+rs AS (SELECT idx, run,
+              CAST(CAST('0x' || substr(md5(concat_ws('|', '{GLOBAL_SEED}', CAST(run AS VARCHAR))), 1, 8) AS BIGINT)
+                   % 100001 AS BIGINT) AS seed FROM gt, r),
+ps AS (SELECT *, {_run_pos_sql(0)} AS pos1, {_run_pos_sql(1)} AS pos2, {_run_pos_sql(2)} AS pos3,
+              {_run_pos_sql(3)} AS pos4 FROM rs)
+SELECT idx, run, seed, {_at_pos(1, _KEY_LITS)} AS key_A, {_at_pos(2, _KEY_LITS)} AS key_B,
+       {_at_pos(3, _KEY_LITS)} AS key_C, {_at_pos(4, _KEY_LITS)} AS key_D FROM ps
+""")
+def run_option_shuffle(t):
+    """W3 + R1 + R3: each run permutes every trial's options with its own
+    seed (md5(run seed | trial | key)), so runs differ but each is
+    reproducible and retry-safe."""
+    g = G.with_runs(G.generate_trials(t).select("idx"), N_RUNS)
+    sh = shuffle_texts(F.col("idx"), KEYS, [F.lit(k) for k in KEYS], F.col("seed"))
+    return g.select("idx", "run", "seed", *[sh.getItem(i)["key"].alias(f"key_{L}") for i, L in enumerate("ABCD")])
