@@ -246,11 +246,11 @@ def option_likelihood(t):
 
 def _normalising_scorer(pdf):
     """Stand-in batch scorer (pandas, vectorised): raw option scores of each
-    trial -> probabilities.  A real deployment passes a model here."""
+    trial -> probabilities, one list per row.  A real deployment passes a
+    model here."""
     import numpy as np
-    import pandas as pd
     sc = np.vstack(pdf["scores"].to_numpy())
-    return pd.DataFrame({"trial_id": pdf["trial_id"], "probs": list(sc / sc.sum(axis=1, keepdims=True))})
+    return list(sc / sc.sum(axis=1, keepdims=True))
 
 
 _SC = ["sa", "sb", "sc", "sd"]
@@ -267,14 +267,14 @@ SELECT {K}, chr(CAST(64 + qpos AS INTEGER)) AS chosen_letter,
 FROM am
 """)
 def scorer_choice(t):
-    """X3 + X7 + J6 + W6 + F10: a caller-supplied pandas scorer run over Arrow
-    batches (mapInPandas), its output re-attached by trial id, then the
-    first-argmax choice and the half-even rounded probability."""
-    li = trial_lines(t).withColumn("_sh", _shuffled(trial_lines(t))).withColumn("trial_id", trial_id())
-    inp = li.select("trial_id", F.transform("_sh", lambda o: o["score"]).alias("scores"))
-    scored = S.score_options(inp, _normalising_scorer, cols=("trial_id", "scores"))
-    j = li.select(*TRIAL_KEY, "trial_id").join(scored, "trial_id")
-    pos = F.array_position(F.col("probs"), F.array_max(F.col("probs")))
-    return j.select(*TRIAL_KEY, O.letter(pos).alias("chosen_letter"),
-                    round_half_even_2(F.element_at(F.col("probs"), pos.cast("int"))).alias("chosen_prob"),
-                    "error")
+    """X3 + X7 + W6 + F10: a caller-supplied pandas scorer run over Arrow
+    batches (pandas UDF, result kept in its row), then the first-argmax
+    choice and the half-even rounded probability."""
+    li = trial_lines(t).withColumn("_sh", _shuffled(trial_lines(t)))
+    scored = li.withColumn("_r", S.score_column(_normalising_scorer,
+                                                scores=F.transform("_sh", lambda o: o["score"])))
+    probs = F.col("_r.probs")
+    pos = F.array_position(probs, F.array_max(probs))
+    return scored.select(*TRIAL_KEY, O.letter(pos).alias("chosen_letter"),
+                         round_half_even_2(F.element_at(probs, pos.cast("int"))).alias("chosen_prob"),
+                         F.col("_r.error").alias("error"))

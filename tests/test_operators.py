@@ -262,3 +262,14 @@ def test_missing_ledger_reads_empty(spark, tmp_path):
     from pyspark.sql import types as T
     sch = T.StructType([T.StructField("k", T.LongType())])
     assert R.read_ledger(spark, str(tmp_path / "none"), sch).count() == 0
+
+
+def test_score_column_keeps_rows_and_failures(spark):
+    df = spark.createDataFrame([([1.0, 3.0],), ([2.0, 2.0],)], "s array<double>")
+    ok = df.select(S.score_column(lambda pdf: [list(x / x.sum()) for x in pdf["s"]], s=F.col("s")).alias("r"))
+    assert sorted(r["r"]["probs"] for r in ok.collect()) == [[0.25, 0.75], [0.5, 0.5]]
+
+    def boom(pdf):
+        raise RuntimeError("model down")
+    bad = df.select(S.score_column(boom, s=F.col("s")).alias("r")).collect()
+    assert all(r["r"]["probs"] is None and "model down" in r["r"]["error"] for r in bad)
