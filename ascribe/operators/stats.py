@@ -242,3 +242,14 @@ def pool_groups(df: DataFrame, keys, n: str = "n", mean: str = "mean", std: str
     out = j.groupBy(*keys).agg(F.first("_N").alias("n"), F.first("_mu").alias("mean"), F.sum(m2).alias("_m2"))
     return out.select(*keys, "n", "mean",
                       F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1))).alias("std"))
+
+
+def stats_from_moments(m: DataFrame, keys, scale: float = 100.0, mean: str = "mean",
+                       std: str = "std") -> DataFrame:
+    """mean / sample std from merged integer moments (n, s, ss); the same
+    arithmetic as ``exact_mean`` / ``exact_std``, hence bit-identical."""
+    n = F.col("n")
+    num = (n.cast("decimal(38,0)") * F.col("ss").cast("decimal(38,0)")
+           - F.col("s").cast("decimal(38,0)") * F.col("s").cast("decimal(38,0)")).cast("double")
+    return m.select(*keys, (F.col("s").cast("double") / n / float(scale)).alias(mean),
+                    F.when(n > 1, F.sqrt(num / (n.cast("double") * (n - 1))) / float(scale)).alias(std))

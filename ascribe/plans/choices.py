@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..operators.metrics import gap
-from ..operators.trials import trials
+from ..operators.trials import metric_moments, trials
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
 
@@ -66,6 +66,11 @@ def melt_share(t):
                                     [f"pct_opt{i}" for i in range(1, 5)], "option", "percentage"))
 
 
+def _group_stats(t):
+    keys = ["gender", "nationality", "mode"]
+    return stats.stats_from_moments(metric_moments(t, keys), keys)
+
+
 _MEANS = (f"SELECT gender, nationality, mode, {mean_c('metric_c')} AS mean, {std_c('metric_c')} AS std "
           "FROM trials GROUP BY ALL")
 
@@ -80,7 +85,7 @@ FROM m GROUP BY mode, nationality
 """))
 def gender_gap(t):
     """A12 + P24: gender pivoted to columns (one value per cell), then male - female."""
-    m = stats.metric_stats(trials(t), ["gender", "nationality", "mode"])
+    m = _group_stats(t)
     p = stats.pivot_unique(m, ["mode", "nationality"], "gender", ["female", "male"], "mean",
                            ["female_mean", "male_mean"])
     return round_doubles(p.withColumn("gap", gap(F.col("male_mean"), F.col("female_mean"))))
@@ -93,7 +98,7 @@ SELECT gender, nationality, mode, {r6('mean', 'mean')}, {r6('std', 'std')},
 """))
 def error_bands(t):
     """Mean +- std per (gender, nationality, mode), the error-bar data."""
-    m = stats.metric_stats(trials(t), ["gender", "nationality", "mode"])
+    m = _group_stats(t)
     return round_doubles(stats.error_bands(m))
 
 
@@ -127,7 +132,7 @@ SELECT mode, gender, {r6('quantile_cont(mean, 0.25)', 'q1')}, {r6('quantile_cont
 def quartiles_of_means(t):
     """Quartiles of the per-nationality means within (mode, gender)
     (the inner lines of a violin plot; the density curve is not built)."""
-    m = stats.metric_stats(trials(t), ["gender", "nationality", "mode"])
+    m = _group_stats(t)
     q = stats.exact_quantiles(m, ["mode", "gender"], "mean", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     return round_doubles(q.drop("_n"))
 

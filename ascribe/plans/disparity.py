@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from ..operators.trials import trials
+from ..operators.trials import metric_moments, trials
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
 
@@ -23,8 +23,9 @@ FROM trials GROUP BY gender, nationality, mode ORDER BY gender, nationality, mod
 """), headline=True)
 def disparity_by_mode(t):
     """A10 + P5 + P23 + O4: metric statistics per (gender, nationality, mode)."""
-    s = stats.metric_stats(trials(t), ["gender", "nationality", "mode"])
-    return round_doubles(s).orderBy("gender", "nationality", "mode")
+    keys = ["gender", "nationality", "mode"]
+    s = stats.stats_from_moments(metric_moments(t, keys), keys)
+    return round_doubles(s).orderBy(*keys)
 
 
 @register("disparity_by_nationality", with_trials(f"""
@@ -33,7 +34,8 @@ FROM trials GROUP BY nationality ORDER BY nationality
 """))
 def disparity_by_nationality(t):
     """Both modes pooled, by nationality."""
-    return round_doubles(stats.metric_stats(trials(t), ["nationality"])).orderBy("nationality")
+    s = stats.stats_from_moments(metric_moments(t, ["nationality"]), ["nationality"])
+    return round_doubles(s).orderBy("nationality")
 
 
 @register("disparity_one_mode", with_trials(f"""
@@ -42,8 +44,9 @@ FROM trials WHERE mode = 'Success' GROUP BY gender, nationality ORDER BY gender,
 """))
 def disparity_one_mode(t):
     """One mode at a time (the filter reaches the lineitem scan)."""
-    tr = trials(t).filter(F.col("mode") == "Success")
-    return round_doubles(stats.metric_stats(tr, ["gender", "nationality"])).orderBy("gender", "nationality")
+    keys = ["gender", "nationality"]
+    s = stats.stats_from_moments(metric_moments(t, keys, modes=["Success"]), keys)
+    return round_doubles(s).orderBy(*keys)
 
 
 @register("slice_stats", with_trials(f"""
@@ -54,7 +57,8 @@ WHERE mode = 'Failure' AND gender = 'female' ORDER BY nationality
 """))
 def slice_stats(t):
     """Conjunctive filter on the statistics (pushed below the aggregate)."""
-    s = stats.metric_stats(trials(t), ["gender", "nationality", "mode"])
+    keys = ["gender", "nationality", "mode"]
+    s = stats.stats_from_moments(metric_moments(t, keys), keys)
     s = s.filter((F.col("mode") == "Failure") & (F.col("gender") == "female"))
     return round_doubles(s.select("nationality", "mean", "std")).orderBy("nationality")
 
