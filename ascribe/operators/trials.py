@@ -143,39 +143,46 @@ def trial_hash(seed: int, *extra) -> Column:
 MODES = list(OPTION_KEYS)
 
 
-def order_moments(t: Tables, value: str = "metric_c", modes=None) -> DataFrame:
-    """Aggregate pushed below the people join: per order and mode, the exact
-    integer moments (n, sum, sum of squares) of ``value``.
+def order_partials(t: Tables, sums, squares=(), modes=None) -> DataFrame:
+    """Aggregate pushed below the people join: per order and mode, the row
+    count and exact integer sums (and sums of squares) of the given columns.
 
     Grouping by ``l_orderkey`` alone (modes as conditional aggregates) keeps
     the aggregate hash-partitioned on the join key, so the join reuses that
-    partitioning; lineitem is combined map-side before its only shuffle, and
+    partitioning; lineitem is combined map-side before its only shuffle and
     the join carries one row per order instead of one per line item.
     """
     modes = list(modes or MODES)
     li = trial_lines(t)
     if modes != MODES:
         li = li.filter(F.col("mode").isin(modes))
-    v = F.col(value)
     aggs = []
     for m in modes:
         c = F.col("mode") == m
-        aggs += [F.count(F.when(c, v)).alias(f"n_{m}"), F.sum(F.when(c, v)).alias(f"s_{m}"),
-                 F.sum(F.when(c, v * v)).alias(f"ss_{m}")]
+        aggs.append(F.count(F.when(c, 1)).alias(f"n__{m}"))
+        aggs += [F.sum(F.when(c, F.col(x))).alias(f"s_{x}__{m}") for x in sums]
+        aggs += [F.sum(F.when(c, F.col(x) * F.col(x))).alias(f"ss_{x}__{m}") for x in squares]
     return li.groupBy("l_orderkey").agg(*aggs)
 
 
-def metric_moments(t: Tables, keys, value: str = "metric_c", modes=None) -> DataFrame:
-    """(keys..., n, s, ss) of ``value`` per group of people attributes and/or
-    mode, from ``order_moments`` joined to ``people``.  Integer moments merge
-    exactly, so the result equals grouping the full trial view."""
+def people_partials(t: Tables, sums, squares=(), modes=None) -> DataFrame:
+    """``order_partials`` joined to ``people`` and unfolded to one row per
+    (order, mode): people attributes, ``mode``, ``n``, ``s_<col>``,
+    ``ss_<col>``.  Summing these per group equals aggregating the full trial
+    view, exactly (integers)."""
     modes = list(modes or MODES)
-    om = order_moments(t, value, modes).join(people(t), F.col("l_orderkey") == F.col("o_orderkey"))
-    pk = [k for k in keys if k != "mode"]
-    per_mode = F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"n_{m}").alias("n"),
-                                           F.col(f"s_{m}").alias("s"), F.col(f"ss_{m}").alias("ss"))
-                                  for m in modes]))
-    long = om.select(*pk, per_mode).filter(F.col("n") > 0)
+    op = order_partials(t, sums, squares, modes).join(people(t), F.col("l_orderkey") == F.col("o_orderkey"))
+    fields = ["n"] + [f"s_{x}" for x in sums] + [f"ss_{x}" for x in squares]
+    per_mode = F.inline(F.array(*[F.struct(F.lit(m).alias("mode"),
+                                           *[F.col(f"{f}__{m}").alias(f) for f in fields]) for m in modes]))
+    return (op.select("gender", "nationality", "region", "name", per_mode)
+            .filter(F.col("n") > 0))
+
+
+def metric_moments(t: Tables, keys, value: str = "metric_c", modes=None) -> DataFrame:
+    """(keys..., n, s, ss) of ``value`` per group of people attributes and/or mode."""
+    long = people_partials(t, [value], [value], modes)
     for k in keys:
         long = long.filter(F.col(k).isNotNull())
-    return long.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    return long.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(f"s_{value}").alias("s"),
+                                   F.sum(f"ss_{value}").alias("ss"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from ..operators.trials import metric_moments, trials
+from ..operators.trials import metric_moments, people_partials, trials
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
 
@@ -100,6 +100,16 @@ def metric_long(t):
 
 
 # --- A1-A4: option means ---
+def _partial_means(p, keys):
+    """Option means from per-(order, mode) partial sums: exact integer sums,
+    then the same two divisions as ``stats.exact_mean``."""
+    for k in keys:
+        p = p.filter(F.col(k).isNotNull())
+    return p.groupBy(*keys).agg(*[(F.sum(f"s_{c}").cast("double") / F.sum("n") / 100.0).alias(o)
+                                  for c, o in zip(C_COLS, OPT_NAMES)])
+
+
+
 def _opt_avgs():
     return ", ".join(r6(mean_c(c), o) for c, o in zip(C_COLS, OPT_NAMES))
 
@@ -109,7 +119,7 @@ SELECT mode, gender, {_opt_avgs()} FROM trials GROUP BY mode, gender ORDER BY mo
 """))
 def mean_by_gender(t):
     """A1: mean option probabilities by (mode, gender)."""
-    s = stats.option_means(trials(t), ["mode", "gender"], C_COLS, OPT_NAMES)
+    s = _partial_means(people_partials(t, C_COLS), ["mode", "gender"])
     return round_doubles(s).orderBy("mode", "gender")
 
 
@@ -118,7 +128,7 @@ SELECT mode, nationality, {_opt_avgs()} FROM trials GROUP BY mode, nationality O
 """))
 def mean_by_nationality(t):
     """A2: mean option probabilities by (mode, nationality)."""
-    s = stats.option_means(trials(t), ["mode", "nationality"], C_COLS, OPT_NAMES)
+    s = _partial_means(people_partials(t, C_COLS), ["mode", "nationality"])
     return round_doubles(s).orderBy("mode", "nationality")
 
 
@@ -141,9 +151,9 @@ FROM grid LEFT JOIN g ON grid.gender = g.gender AND grid.nationality = g.nationa
 def grid_complete(t):
     """A3 + J10: means by (gender, nationality) over the full gender x
     nationality grid of the filtered input, 0 for cells without trials."""
-    f = trials(t).filter((F.col("mode") == "Failure")
-                         & ~((F.col("gender") == "female") & (F.col("region") == "REGION_1")))
-    s = stats.option_means(f, ["gender", "nationality"], C_COLS, OPT_NAMES)
+    f = people_partials(t, C_COLS, modes=["Failure"]).filter(
+        ~((F.col("gender") == "female") & (F.col("region") == "REGION_1")))
+    s = _partial_means(f, ["gender", "nationality"])
     dims = [f.select("gender").distinct(), f.select("nationality").distinct()]
     out = stats.complete_grid(s, dims, ["gender", "nationality"], OPT_NAMES)
     return round_doubles(out)
@@ -157,6 +167,10 @@ FROM trials GROUP BY GROUPING SETS ((mode, gender), (mode, nationality), (mode,
 """))
 def means_grouping_sets(t):
     """A4: the A1, A2 and A3 levels in one scan and one shuffle."""
-    s = stats.means_grouping_sets(trials(t), [["mode", "gender"], ["mode", "nationality"],
-                                              ["mode", "gender", "nationality"]], C_COLS, OPT_NAMES)
-    return round_doubles(s)
+    p = people_partials(t, C_COLS)
+    sets = [["mode", "gender"], ["mode", "nationality"], ["mode", "gender", "nationality"]]
+    g = p.groupingSets([[F.col(k) for k in s_] for s_ in sets], "mode", "gender", "nationality")
+    out = g.agg(*[F.grouping(k).cast("int").alias(f"g_{k}") for k in ("mode", "gender", "nationality")],
+                *[(F.sum(f"s_{c}").cast("double") / F.sum("n") / 100.0).alias(o)
+                  for c, o in zip(C_COLS, OPT_NAMES)])
+    return round_doubles(out)
