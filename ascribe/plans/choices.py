@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from ..operators.metrics import gap
 from ..operators.trials import metric_moments, trials
+from ..session import materialize
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
 
@@ -85,7 +86,7 @@ FROM m GROUP BY mode, nationality
 """))
 def gender_gap(t):
     """A12 + P24: gender pivoted to columns (one value per cell), then male - female."""
-    m = _group_stats(t)
+    m = materialize(_group_stats(t))              # small; checked, then pivoted
     p = stats.pivot_unique(m, ["mode", "nationality"], "gender", ["female", "male"], "mean",
                            ["female_mean", "male_mean"])
     return round_doubles(p.withColumn("gap", gap(F.col("male_mean"), F.col("female_mean"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..operators.trials import metric_moments, people_partials, trials
+from ..session import materialize
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
 
@@ -153,8 +154,9 @@ def grid_complete(t):
     nationality grid of the filtered input, 0 for cells without trials."""
     f = people_partials(t, C_COLS, modes=["Failure"]).filter(
         ~((F.col("gender") == "female") & (F.col("region") == "REGION_1")))
-    s = _partial_means(f, ["gender", "nationality"])
-    dims = [f.select("gender").distinct(), f.select("nationality").distinct()]
+    s = materialize(_partial_means(f, ["gender", "nationality"]))      # small; read thrice below
+    # every gender / nationality present in the filtered trials has a row in s
+    dims = [s.select("gender").distinct(), s.select("nationality").distinct()]
     out = stats.complete_grid(s, dims, ["gender", "nationality"], OPT_NAMES)
     return round_doubles(out)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every plan in this package.  AQE re-plans joins
 # (broadcast when a side turns out small, split skewed partitions) and
@@ -47,9 +47,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     private scratch folder and register it.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if cur:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(cur)
         return cur
-    sc = spark.sparkContext
     cur = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if cur:
         spark.conf.set("spark.checkpoint.dir", cur)
@@ -64,3 +66,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for one run."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Cut the lineage of a small intermediate result by writing it as a
+    parquet table under the shared checkpoint folder and reading it back
+    (survives executor loss; never ``localCheckpoint``).  One computation,
+    unlike ``checkpoint()``, which recomputes an unpersisted plan to save it;
+    later checks and reuses then do not recompute the upstream joins."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
