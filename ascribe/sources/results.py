@@ -72,3 +72,12 @@ def to_parquet(df: DataFrame, path: str) -> DataFrame:
     """Write once and re-read (a lineage cut that survives executor loss)."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def nan_to_null(df: DataFrame, cols=None) -> DataFrame:
+    """NaN -> NULL on ingest for floating columns (pandas means skip NaN; SQL
+    aggregates skip NULL but would propagate NaN)."""
+    fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    cols = [c for c in (cols or fl) if c in fl]
+    return df.select(*[F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c)).alias(c) if c in cols
+                       else F.col(c) for c in df.columns])

@@ -273,3 +273,26 @@ def test_score_column_keeps_rows_and_failures(spark):
         raise RuntimeError("model down")
     bad = df.select(S.score_column(boom, s=F.col("s")).alias("r")).collect()
     assert all(r["r"]["probs"] is None and "model down" in r["r"]["error"] for r in bad)
+
+
+def test_split_merge_statistics_equal_one_pass(spark):
+    rows = [(i % 4, (i * 7919) % 301 - 150) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v long")
+    one = {r["g"]: r for r in stats.metric_stats(df, ["g"], "v", 1.0).collect()}
+    a = stats.metric_stats(df.filter("v < 0"), ["g"], "v", 1.0)
+    b = stats.metric_stats(df.filter("v >= 0"), ["g"], "v", 1.0)
+    na = df.filter("v < 0").groupBy("g").count()
+    nb = df.filter("v >= 0").groupBy("g").count()
+    parts = a.join(na, "g").unionByName(b.join(nb, "g")).withColumnRenamed("count", "n")
+    merged = {r["g"]: r for r in stats.pool_groups(parts, ["g"]).collect()}
+    for g, r in one.items():
+        assert merged[g]["mean"] == pytest.approx(r["mean"], abs=1e-12)
+        assert merged[g]["std"] == pytest.approx(r["std"], rel=1e-12)
+
+
+def test_empty_input_and_nan_ingest(spark):
+    empty = spark.createDataFrame([], "g string, v long")
+    assert stats.metric_stats(empty, ["g"], "v").count() == 0
+    df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0)], "g string, x double")
+    clean = R.nan_to_null(df)
+    assert clean.groupBy("g").agg(F.avg("x")).collect()[0][1] == 2.0     # NaN skipped, like pandas
