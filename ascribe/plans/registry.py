@@ -20,8 +20,8 @@ HEADLINE: list[str] = []
 def register(name: str, sql: str | None = None, headline: bool = False):
     """Register ``fn(t: Tables) -> DataFrame`` under ``name``."""
     def deco(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str, database: str | None = None) -> DataFrame:
+            return fn(Tables(spark, sf_dir, database))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -26,12 +26,13 @@ DEFAULT_CONF = {
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
-                  app: str = "ascribe", driver_memory: str = "16g") -> SparkSession:
+                  app: str = "ascribe", driver_memory: str = "16g",
+                  extra: dict | None = None) -> SparkSession:
     """Session for tests and the local benchmark (one JVM, N task threads)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", driver_memory))
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

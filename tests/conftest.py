@@ -11,8 +11,11 @@ SMOKE = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from ascribe.session import local_session
-    s = local_session("*", shuffle_partitions=8, app="ascribe-tests", driver_memory="4g")
+    wh = tempfile.mkdtemp(prefix="ascribe-wh-")
+    s = local_session("*", shuffle_partitions=8, app="ascribe-tests", driver_memory="4g",
+                      extra={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 
