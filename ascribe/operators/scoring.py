@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import capped_exp
+from ..session import materialize
 
 
 def tokens(df: DataFrame, id_cols, text: str = "text", out: str = "token") -> DataFrame:
@@ -40,8 +41,10 @@ def unigram_model(counts: DataFrame, token: str = "token", c: str = "c") -> tupl
     """Add-one smoothed unigram model from per-sequence token counts:
     ``(token, cnt, lp)`` and the log-prob of an unseen token.
     lp = ln((cnt + 1) / (N + V)) with N tokens and V types; N and V come from
-    one scalar subquery over the vocabulary (its exchange is reused)."""
-    vocab = counts.groupBy(token).agg(F.sum(c).alias("cnt"))
+    one scalar subquery over the written vocabulary."""
+    # written once to the shared checkpoint folder: the denominator subquery
+    # and the model join then read it instead of re-tokenising the corpus
+    vocab = materialize(counts.groupBy(token).agg(F.sum(c).alias("cnt")), "unigram-vocab")
     # one scalar subquery (N + V); identical references are reused, not re-run
     denom = vocab.select((F.sum("cnt") + F.count(F.lit(1))).cast("double")).scalar()
     model = vocab.select(token, "cnt", F.log((F.col("cnt") + 1).cast("double") / denom).alias("lp"))

@@ -236,7 +236,8 @@ def option_likelihood(t):
     tm = templates(t)
     opts = tm.select("template_id", F.inline(F.array(*[
         F.struct(F.lit(k).alias("ord"), F.col(f"o{k}").alias("text")) for k in range(1, 5)])))
-    corpus = S.token_counts(S.tokens(t.documents.select("doc_id", "text"), ["doc_id"]), ["doc_id"])
+    # the corpus only feeds the vocabulary here: count tokens directly (one shuffle)
+    corpus = S.token_counts(S.tokens(t.documents.select("text"), []), [])
     model, unseen = S.unigram_model(corpus)
     opt_counts = S.token_counts(S.tokens(opts, ["template_id", "ord"]), ["template_id", "ord"])
     seq = S.sequence_logprob(opt_counts, model, unseen, ["template_id", "ord"])
