@@ -62,7 +62,7 @@ def templates(t: Tables) -> DataFrame:
     out = base.select("*", *[((F.col("template_id") + k) % n).alias(f"_id{k}") for k in range(1, 5)])
     for k in range(1, 5):
         ok = b.select(F.col("item_id").alias(f"_id{k}"), F.col("text").alias(f"o{k}"))
-        out = out.join(ok, f"_id{k}", "left").drop(f"_id{k}")
+        out = out.join(bounded_broadcast(ok, MAX_TEMPLATES), f"_id{k}", "left").drop(f"_id{k}")
     return out
 
 
