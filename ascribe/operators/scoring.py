@@ -156,3 +156,30 @@ def generate(trials: DataFrame, generator: Callable[[pd.DataFrame], pd.Series],
                                     "error": f"{type(e).__name__}: {e}"})
             yield out
     return trials.select(*cols).mapInPandas(run, GEN_SCHEMA)
+
+
+GENERATED = T.StructType([
+    T.StructField("response", T.StringType()),
+    T.StructField("error", T.StringType()),
+])
+
+
+def generate_column(generator: Callable[[pd.DataFrame], list], **cols: Column) -> Column:
+    """X4 / X6 as a column: a pandas UDF calling ``generator(pdf)`` on each
+    Arrow batch (one text per row, batch order); a failing batch yields NULL
+    responses with the error kept."""
+    names = list(cols)
+
+    @F.pandas_udf(GENERATED)
+    def _gen(*series: pd.Series) -> pd.DataFrame:
+        pdf = pd.concat([s_.rename(n) for n, s_ in zip(names, series)], axis=1)
+        try:
+            out = [None if r is None else str(r) for r in generator(pdf)]
+            if len(out) != len(pdf):
+                raise ValueError(f"generator returned {len(out)} rows for {len(pdf)}")
+            return pd.DataFrame({"response": out, "error": [None] * len(pdf)})
+        except Exception as e:  # noqa: BLE001
+            return pd.DataFrame({"response": [None] * len(pdf),
+                                 "error": [f"{type(e).__name__}: {e}"] * len(pdf)})
+
+    return _gen(*[cols[n] for n in names])

@@ -296,3 +296,14 @@ def test_empty_input_and_nan_ingest(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", 3.0)], "g string, x double")
     clean = R.nan_to_null(df)
     assert clean.groupBy("g").agg(F.avg("x")).collect()[0][1] == 2.0     # NaN skipped, like pandas
+
+
+def test_generate_column_keeps_rows_and_failures(spark):
+    df = spark.createDataFrame([("a",), ("bc",)], "p string")
+    ok = df.select(S.generate_column(lambda pdf: list(pdf["p"] + "!"), prompt=F.col("p")).alias("g"))
+    assert sorted(r["g"]["response"] for r in ok.collect()) == ["a!", "bc!"]
+
+    def down(pdf):
+        raise ConnectionError("service unavailable")
+    bad = df.select(S.generate_column(down, prompt=F.col("p")).alias("g")).collect()
+    assert all(r["g"]["response"] is None and "unavailable" in r["g"]["error"] for r in bad)
