@@ -300,7 +300,7 @@ def test_empty_input_and_nan_ingest(spark):
 
 def test_generate_column_keeps_rows_and_failures(spark):
     df = spark.createDataFrame([("a",), ("bc",)], "p string")
-    ok = df.select(S.generate_column(lambda pdf: list(pdf["p"] + "!"), prompt=F.col("p")).alias("g"))
+    ok = df.select(S.generate_column(lambda pdf: list(pdf["prompt"] + "!"), prompt=F.col("p")).alias("g"))
     assert sorted(r["g"]["response"] for r in ok.collect()) == ["a!", "bc!"]
 
     def down(pdf):
