@@ -133,8 +133,15 @@ def choice_shares(df: DataFrame, keys, ord_col: str = "chosen_ord", n_options: i
     table (<= n_options rows per group), then the shares are pivoted.
     """
     counts = df.groupBy(*keys, ord_col).agg(F.count("*").alias("_n"))
-    tot = F.sum("_n").over(Window.partitionBy(*keys))
-    shares = counts.withColumn("_pct", F.col("_n") * 100.0 / tot)
+    return shares_from_counts(counts, keys, ord_col, "_n", n_options, prefix)
+
+
+def shares_from_counts(counts: DataFrame, keys, ord_col: str, cnt: str, n_options: int = 4,
+                       prefix: str = "pct_opt") -> DataFrame:
+    """W7 on an already aggregated count table (<= n_options rows per group):
+    share = count * 100 / sum(count) over the group, pivoted to columns."""
+    tot = F.sum(cnt).over(Window.partitionBy(*keys))
+    shares = counts.withColumn("_pct", F.col(cnt).cast("double") * 100.0 / tot)
     vals = list(range(1, n_options + 1))
     out = shares.groupBy(*keys).pivot(ord_col, vals).agg(F.first("_pct"))
     return out.select(*keys, *[F.coalesce(F.col(str(v)), F.lit(0.0)).alias(f"{prefix}{v}")

@@ -87,9 +87,12 @@ def trial_lines(t: Tables) -> DataFrame:
                           for i in range(1, 5)])
     li = li.select("*", *[(F.col(f"c{i}") / 100.0).alias(f"p{i}") for i in range(1, 5)])
     chosen = first_argmax(*[F.col(f"s{i}") for i in range(1, 5)])
+    li = li.withColumn("chosen_ord", chosen)
     return li.select(
         "*",
-        chosen.alias("chosen_ord"),
+        # one-hot of the choice: choice counts become integer sums, so they
+        # can be pre-aggregated per order like the other moments
+        *[(F.col("chosen_ord") == k).cast("int").alias(f"k{k}") for k in range(1, 5)],
         (F.col("p1") + F.col("p2") - F.col("p3") - F.col("p4")).alias("metric"),
         # the same metric in exact hundredths: integer sums are order-free,
         # so statistics are bit-identical for any partitioning or engine

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..operators.metrics import gap
-from ..operators.trials import metric_moments, trials
+from ..operators.trials import metric_moments, people_partials, trials
 from ..session import materialize
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
@@ -41,18 +41,34 @@ def choice_counts_slice(t):
 SELECT mode, gender, nationality, {CNT} FROM trials GROUP BY mode, gender, nationality
 """))
 def choice_rollup(t):
-    """The count cube summed over prompts to (mode, gender, nationality)."""
-    cube = stats.choice_counts(trials(t), CUBE_KEYS)
-    return cube.groupBy("mode", "gender", "nationality").agg(
-        *[F.sum(f"n_opt{i}").cast("bigint").alias(f"n_opt{i}") for i in range(1, 5)])
+    """Choice counts rolled up over prompts to (mode, gender, nationality).
+
+    Without the prompt dimension the counts are sums of the one-hot choice
+    columns, so they are pre-aggregated per order below the people join
+    (one row per order through the join, like the moment statistics)."""
+    p = people_partials(t, ["k1", "k2", "k3", "k4"])
+    return p.groupBy("mode", "gender", "nationality").agg(
+        *[F.sum(f"s_k{i}").cast("bigint").alias(f"n_opt{i}") for i in range(1, 5)])
+
+
+def _choice_count_long(t):
+    """(mode, gender, nationality, chosen_ord, n) from per-order partials."""
+    keys = ["mode", "gender", "nationality"]
+    p = people_partials(t, ["k1", "k2", "k3", "k4"])
+    agg = p.groupBy(*keys).agg(*[F.sum(f"s_k{i}").alias(f"{i}") for i in range(1, 5)])
+    long = agg.unpivot(keys, [f"{i}" for i in range(1, 5)], "chosen_ord", "n")
+    return long.withColumn("chosen_ord", F.col("chosen_ord").cast("int"))
 
 
 @register("choice_share", with_trials(f"""
 SELECT mode, gender, nationality, {PCT} FROM trials GROUP BY mode, gender, nationality
 """))
 def choice_share(t):
-    """A11 + W7: percentage of each chosen option within (mode, gender, nationality)."""
-    return round_doubles(stats.choice_shares(trials(t), ["mode", "gender", "nationality"]))
+    """A11 + W7: percentage of each chosen option within (mode, gender,
+    nationality): counts pre-aggregated per order, then the window share on
+    the small count table."""
+    keys = ["mode", "gender", "nationality"]
+    return round_doubles(stats.shares_from_counts(_choice_count_long(t), keys, "chosen_ord", "n"))
 
 
 @register("melt_share", with_trials(f"""
@@ -62,7 +78,7 @@ UNPIVOT (percentage FOR option IN (pct_opt1, pct_opt2, pct_opt3, pct_opt4))
 """))
 def melt_share(t):
     """The share table melted to (option, percentage) rows."""
-    s = stats.choice_shares(trials(t), ["mode", "gender", "nationality"])
+    s = stats.shares_from_counts(_choice_count_long(t), ["mode", "gender", "nationality"], "chosen_ord", "n")
     return round_doubles(stats.melt(s, ["mode", "gender", "nationality"],
                                     [f"pct_opt{i}" for i in range(1, 5)], "option", "percentage"))
 
