@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats
 from ..operators.metrics import gap
-from ..operators.trials import metric_moments, people_partials, trials
+from ..operators.trials import metric_moments, people, people_partials, trial_lines, trials
 from ..session import materialize
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
@@ -162,11 +162,13 @@ FROM f ORDER BY ord
 def distinct_dims(t):
     """A14 + O5: distinct nationalities in first-seen order of the trial sequence.
 
-    The distinct step is a hash aggregate; only the (small) distinct result is
-    ordered.
+    The minimum is taken per order before the people join (one row per order
+    through the join); only the small distinct result is ordered.
     """
-    f = (trials(t).groupBy("nationality")
-         .agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("first_seen")))
+    first = (trial_lines(t).groupBy("l_orderkey")       # per order first, below the join
+             .agg(F.min(F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("_f")))
+    f = (first.join(people(t), F.col("l_orderkey") == F.col("o_orderkey"))
+         .groupBy("nationality").agg(F.min("_f").alias("first_seen")))
     w = Window.orderBy("first_seen", "nationality")
     return f.withColumn("ord", F.row_number().over(w).cast("bigint")).orderBy("ord")
 
