@@ -260,3 +260,15 @@ def stats_from_moments(m: DataFrame, keys, scale: float = 100.0, mean: str = "me
            - F.col("s").cast("decimal(38,0)") * F.col("s").cast("decimal(38,0)")).cast("double")
     return m.select(*keys, (F.col("s").cast("double") / n / float(scale)).alias(mean),
                     F.when(n > 1, F.sqrt(num / (n.cast("double") * (n - 1))) / float(scale)).alias(std))
+
+
+def approx_quantiles(df: DataFrame, keys, value: str, probs, names=None, accuracy: int = 10000) -> DataFrame:
+    """Bounded-memory quantiles for continuous values in huge groups: a
+    mergeable sketch per group (``percentile_approx``), rank error about
+    1/accuracy of the group size.  Use ``exact_quantiles`` when the value
+    domain is discrete (as for 2-decimal probabilities)."""
+    keys = list(keys)
+    names = names or [f"q{int(round(p * 100))}" for p in probs]
+    q = F.percentile_approx(F.col(value), list(map(float, probs)), accuracy)
+    g = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("_q"))
+    return g.select(*keys, *[F.col("_q").getItem(i).alias(n) for i, n in enumerate(names)])

@@ -307,3 +307,13 @@ def test_generate_column_keeps_rows_and_failures(spark):
         raise ConnectionError("service unavailable")
     bad = df.select(S.generate_column(down, prompt=F.col("p")).alias("g")).collect()
     assert all(r["g"]["response"] is None and "unavailable" in r["g"]["error"] for r in bad)
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rng = random.Random(11)
+    rows = [("g", rng.gauss(0, 1)) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    r = stats.approx_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).collect()[0]
+    vs = np.array([v for _, v in rows])
+    for p in (0.25, 0.5, 0.75):
+        assert abs(r[f"q{int(p * 100)}"] - np.percentile(vs, p * 100)) < 0.01
