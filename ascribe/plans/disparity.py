@@ -44,7 +44,7 @@ SELECT gender, nationality, {MEAN}, {STD}
 FROM trials WHERE mode = 'Success' GROUP BY gender, nationality ORDER BY gender, nationality
 """))
 def disparity_one_mode(t):
-    """One mode at a time (the filter reaches the lineitem scan)."""
+    """One mode at a time (the mode filter runs on lineitem, before the per-order aggregate)."""
     keys = ["gender", "nationality"]
     s = stats.stats_from_moments(metric_moments(t, keys, modes=["Success"]), keys)
     return round_doubles(s).orderBy(*keys)
