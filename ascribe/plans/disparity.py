@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats
-from ..operators.trials import metric_moments, people_partials, trials
+from ..operators.trials import metric_moments, people_partials
 from ..session import materialize
 from .registry import register, round_doubles
 from .sql import mean_c, r6, std_c, with_trials
