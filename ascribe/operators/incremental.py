@@ -30,8 +30,18 @@ def next_batch(pending_df: DataFrame, order, n: int) -> DataFrame:
 
 def merge(old: DataFrame, new: DataFrame, keys) -> DataFrame:
     """Old results plus new ones; a key delivered twice (a retried batch)
-    is kept once, so running a batch twice equals running it once."""
-    return old.unionByName(new, allowMissingColumns=True).dropDuplicates(list(keys))
+    is kept once, so running a batch twice equals running it once.
+
+    The surviving row is chosen deterministically (the ledger's row first)
+    with ``min(struct(source, ...))`` per key: O(1) state per key and a
+    map-side partial step, so even a key with a huge number of copies is
+    combined before the shuffle."""
+    keys = list(keys)
+    u = (old.withColumn("_src", F.lit(0))
+         .unionByName(new.withColumn("_src", F.lit(1)), allowMissingColumns=True))
+    rest = [c for c in u.columns if c not in keys and c != "_src"]
+    best = u.groupBy(*keys).agg(F.min(F.struct("_src", *rest)).alias("_b"))
+    return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
 def ledger_mark(df: DataFrame, bound: str, key: str) -> DataFrame:
