@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,8 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared filesystem (HDFS / object store)
-    and is used as is.  Only when it is unset (local tests) do we create a
-    private scratch folder and register it.
+    and is used as is.  Only when it is unset and the master is local (tests)
+    do we create a private scratch folder; on a cluster each executor would
+    write to its own disk, so there an unset folder is an error.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -57,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if cur:
         spark.conf.set("spark.checkpoint.dir", cur)
         return cur
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="ascribe-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
@@ -69,12 +73,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
-    """Cut the lineage of a small intermediate result by writing it as a
-    parquet table under the shared checkpoint folder and reading it back
-    (survives executor loss; never ``localCheckpoint``).  One computation,
-    unlike ``checkpoint()``, which recomputes an unpersisted plan to save it;
-    later checks and reuses then do not recompute the upstream joins."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Cut the lineage of an intermediate result by writing it as a parquet
+    table under the shared checkpoint folder and reading it back (survives
+    executor loss; never ``localCheckpoint``).  One computation, unlike
+    ``checkpoint()``, which recomputes an unpersisted plan to save it; later
+    checks and reuses then do not recompute the upstream joins.  The shuffle
+    files behind the table are removed as soon as it is written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables written by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
