@@ -27,9 +27,11 @@ def digest(text: str | Column = "text") -> Column:
     return F.sha2(F.coalesce(c, F.lit("")), 256)
 
 
-def create_index(spark: SparkSession, table: str, path: str, buckets: int = 16) -> None:
+def create_index(spark: SparkSession, table: str, path: str, buckets: int | None = None) -> None:
     """Create the index ``table`` at ``path`` (a folder all machines share), or
-    attach to the one that a former session left there."""
+    attach to the one that a former session left there.  Without a number, as
+    many buckets as the session has shuffle partitions."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {table}
                   ({DIGEST} STRING, keep_id BIGINT, group_size BIGINT) USING parquet
                   CLUSTERED BY ({DIGEST}) SORTED BY ({DIGEST}) INTO {int(buckets)} BUCKETS
@@ -42,17 +44,26 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             .groupBy(DIGEST).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
 
 
-def append_new(found: DataFrame, table: str) -> DataFrame:
-    """Append the groups whose digest the index lacks; return all groups with
-    ``new`` telling which.  A repeated load finds its own digests and appends none."""
+def _property(spark: SparkSession, table: str, name: str) -> str:
+    return spark.sql(f"DESCRIBE EXTENDED {table}").where(F.col("col_name") == name).first()["data_type"]
+
+
+def append_new(found: DataFrame, table: str) -> None:
+    """Append the groups whose digest the index lacks.  A repeated load finds
+    its own digests and appends none."""
     spark = found.sparkSession
     spark.catalog.refreshTable(table)
     fresh = found.join(spark.table(table).select(DIGEST).hint("merge"), DIGEST, "left_anti")
-    buckets = int(spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first()["data_type"])
+    buckets = int(_property(spark, table, "Num Buckets"))
     (fresh.repartition(buckets, DIGEST).write.mode("append").format("parquet")
      .bucketBy(buckets, DIGEST).sortBy(DIGEST).saveAsTable(table))
     spark.catalog.refreshTable(table)
-    return spark.table(table)
+
+
+def read_index(spark: SparkSession, table: str) -> DataFrame:
+    """The index as plain files: a join with skewed rows then shuffles both
+    sides, which lets Spark split a hot digest's partition; a bucketed read would not."""
+    return spark.read.schema(spark.table(table).schema).parquet(_property(spark, table, "Location"))
 
 
 def resolve(docs: DataFrame, index: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -66,14 +77,15 @@ def resolve(docs: DataFrame, index: DataFrame, text: str = "text", key: str = "d
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), DIGEST))
 
 
-def dedup(docs: DataFrame, table: str | None = None, path: str | None = None, buckets: int = 16) -> DataFrame:
+def dedup(docs: DataFrame, table: str | None = None, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """Load ``docs`` into the index and return one decision per row.  Without a
     table and path an index of its own is made in the shared folder."""
     from ..session import scratch_path
     spark = docs.sparkSession
     table = table or f"digests_{uuid.uuid4().hex[:12]}"
     create_index(spark, table, path or scratch_path(spark, table), buckets)
-    return resolve(docs, append_new(groups(docs), table))
+    append_new(groups(docs), table)
+    return resolve(docs, read_index(spark, table))
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:
@@ -84,7 +96,8 @@ def keep_largest(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     table = f"digests_{uuid.uuid4().hex[:12]}"
     create_index(spark, table, scratch_path(spark, table))
-    index = append_new(groups(docs), table)
+    append_new(groups(docs), table)
+    index = read_index(spark, table)
     kept = index.select(F.col(DIGEST).alias("_digest"), F.col("keep_id").alias("_keep"))
     rows = docs.withColumn("_digest", digest()).withColumn("_keep", F.col("doc_id").cast("bigint"))
     same = [rows["_digest"] == kept["_digest"], rows["_keep"].eqNullSafe(kept["_keep"])]
