@@ -45,6 +45,7 @@ PERCENT = 90
 SKETCH = 1 << 20               # counters of the count sketch: 4 MB, whatever the corpus
 SKETCH_PARTS = 16              # pieces that a sketch travels in
 FRAGMENTS = 4                  # fragments of the global order
+BITS = 1 << 23                 # bits of the id bitmap: 1 MB, whatever the corpus
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -153,31 +154,50 @@ def _postings(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "shingle bigint, doc_id bigint, n int, pos int")
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """BITS bits, those set that some id hashes to; at most BITS / 64 rows are collected."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    rows = ids.groupBy((slot / 64).cast("bigint").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")).alias("bits")).collect()
+    words = np.zeros(BITS // 64, np.int64)
+    for r in rows:
+        words[r["w"]] = r["bits"]
+    return words
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, sketch, k: int, fragments: int) -> DataFrame:
-    """The wanted documents' sets, cut into fragments of the global order.
-    The cuts are quantiles of the sketch, so fragments are about equally full."""
+    """The wanted documents' sets, one row each, cut into fragments of the
+    global order (columns f0, f1, ...).  The cuts are quantiles of the sketch,
+    so fragments are about equally full.
+
+    A bitmap of the wanted ids spares the tasks most other documents; it has a
+    fixed size and only saves work, the join decides."""
+    spark = docs.sparkSession
     counts = np.sort(sketch.value)
     mass = np.cumsum(counts.astype(np.float64))
     cuts = np.array([counts[min(len(counts) - 1, np.searchsorted(mass, mass[-1] * f / fragments))] for f in range(1, fragments)])
-    arrow = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("fragment", pa.int32()), ("names", pa.list_(pa.int64()))])
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    columns = [f"f{i}" for i in range(fragments)]
+    arrow = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), *[(c, pa.list_(pa.int64())) for c in columns]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            hit = (bitmap.value[(h % BITS) // 64] >> (h % 64)) & 1
+            batch = batch.filter(pa.array(hit.astype(bool)))
             for part in slices(batch):
                 names, doc = shingle_sets(part.column("text"), k)
                 _, a, _ = set_names(names, doc, part.num_rows)
                 piece = np.searchsorted(cuts, sketch.value[sketch_slot(names)], "right")
-                order = np.lexsort((names, piece, doc))
-                key = doc[order] * fragments + piece[order]
-                cells, first = np.unique(key, return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(signed(names[order])))
-                at = pa.array(cells // fragments)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), pa.array(a).take(at),
-                                                  pa.array((cells % fragments).astype(np.int32)), lists], schema=arrow)
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
-    out = rows.mapInArrow(run, "doc_id bigint, a bigint, fragment int, names array<bigint>")
+                lists = []
+                for i in range(fragments):
+                    own = piece == i
+                    ends = np.cumsum(np.bincount(doc[own], minlength=part.num_rows))
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(signed(names[own]))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), *lists], schema=arrow)
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    out = rows.mapInArrow(run, "doc_id bigint, a bigint, " + ", ".join(f"{c} array<bigint>" for c in columns))
     # of a repeated doc_id, the set that stands for it
-    return out.join(wanted, ["doc_id", "a"], "left_semi").dropDuplicates(["doc_id", "fragment"])
+    return out.join(wanted, ["doc_id", "a"], "left_semi").dropDuplicates(["doc_id", "a"])
 
 
 def _allowed(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) -> Column:
@@ -193,11 +213,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame, sketch, k: int,
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     wanted = materialize(known.join(ids, "doc_id", "left_semi").select("doc_id", "a"), "wanted")
     cells = materialize(_segments(docs, wanted, sketch, k, fragments), "segments")
-    left = cells.select(F.col("doc_id").alias("u"), "fragment", F.col("names").alias("x"))
-    right = cells.select(F.col("doc_id").alias("v"), "fragment", F.col("names").alias("y"))
-    partial = pairs.join(left, "u").join(right, ["v", "fragment"]).select(
-        "u", "v", "nu", "nv", F.size(F.array_intersect("x", "y")).alias("common"))
-    total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("common").alias("common"))
+    names = [f"f{i}" for i in range(fragments)]
+    left = cells.select(F.col("doc_id").alias("u"), *[F.col(c).alias(f"x_{c}") for c in names])
+    right = cells.select(F.col("doc_id").alias("v"), *[F.col(c).alias(f"y_{c}") for c in names])
+    partial = pairs.join(left, "u").join(right, "v").select(
+        "u", "v", "nu", "nv", *[F.size(F.array_intersect(f"x_{c}", f"y_{c}")).alias(c) for c in names])
+    total = partial.select("u", "v", "nu", "nv", sum((F.col(c) for c in names), F.lit(0)).alias("common"))
     out = materialize(total.where(100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v"),
                       "links")
     drop_scratch(cells, wanted)
