@@ -97,19 +97,30 @@ class PieceModel:
                     out[end].append((start, self.other))
         return out
 
-    def log_probability(self, word: str) -> np.ndarray:
-        """Forward algorithm: log of the sum over all segmentations, per language."""
-        table, spans = self.table, self.spans(word)
-        alpha: list = [None] * (len(word) + 1)
-        alpha[0] = np.ones(table.shape[1])
-        for end in range(1, len(word) + 1):
-            total = None
-            for start, piece in spans[end]:
-                if alpha[start] is not None:
-                    term = alpha[start] * table[piece]
-                    total = term if total is None else total + term
-            alpha[end] = total
-        return np.log(alpha[-1])
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Forward algorithm over many words at once: log of the sum over all
+        segmentations, one row per word and one column per language."""
+        out = np.zeros((len(words), self.table.shape[1]))
+        table = np.concatenate([self.table, np.zeros((1, self.table.shape[1]))])    # last row: no such piece
+        none, get = len(table) - 1, self.index.get
+        alike: dict[tuple[int, int], list[int]] = {}
+        for k, w in enumerate(words):
+            alike.setdefault((len(w), int(w[0] == MARK)), []).append(k)
+        for (n, first), rows in alike.items():
+            own = [words[k] for k in rows]
+            alpha: list = [None] * (n + 1)
+            alpha[0] = np.ones((len(own), self.table.shape[1]))
+            for end in range(1 + first, n + 1):
+                total = np.zeros_like(alpha[0])
+                for start in range(max(0, end - LONGEST_PIECE), end):
+                    if start == first == 1:
+                        continue                        # the first piece starts at the mark
+                    default = self.other if end - start == 1 + (first if start == 0 else 0) else none
+                    pieces = np.fromiter((get(w[start:end], default) for w in own), np.int64, len(own))
+                    total += alpha[start] * table[pieces]
+                alpha[end] = total
+            out[rows] = np.log(np.maximum(alpha[n], 1e-300))
+        return out
 
     def expected(self, word: str, language: int) -> dict[int, float]:
         """Forward-backward: expected count of each piece in one language."""
@@ -208,13 +219,13 @@ def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray, np.n
                 words = [words_in(t) if t else [] for t in part.column("text").to_pylist()]
                 if len(place) > KNOWN_WORDS:
                     place.clear()
-                for w in {w for ws in words for w in ws}:
-                    if w not in place:
-                        k = len(place)
-                        if k >= len(scores):
-                            scores = np.concatenate([scores, np.zeros_like(scores)])
-                        scores[k] = scorer.log_probability(w)
-                        place[w] = k
+                new = [w for w in {w for ws in words for w in ws} if w not in place]
+                if new:
+                    k = len(place)
+                    while k + len(new) > len(scores):
+                        scores = np.concatenate([scores, np.zeros_like(scores)])
+                    scores[k:k + len(new)] = scorer.log_probabilities(new)
+                    place.update(zip(new, range(k, k + len(new))))
                 names, values = [], []
                 for ws in words:
                     if not ws or not languages:
