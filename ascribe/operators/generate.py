@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_key, run_seed
 from ..functions.text import fill
 from ..schemas import GENDERS, GLOBAL_SEED, SECOND_NAME
-from ..sources.tables import Tables, bounded_broadcast
+from ..sources.tables import Tables
 from .stats import top_k_per_group
 from .trials import gender_of
 
-MAX_TEMPLATES = 1_000_000     # broadcast bound for template tables
-MAX_RUNS = 10_000
 
 # --- fixed values: template wording used when templates are derived ---
 CHOICE_INSTRUCTION = "Choose one of the following reasons why {X} got this result:"
@@ -39,7 +37,7 @@ def names(t: Tables) -> DataFrame:
     """Name rows (customer x nation): c_custkey, name, gender, nationality, nat_ord."""
     nat = t.nation.select("n_nationkey", "n_name")
     return (t.customer.select("c_custkey", "c_name", "c_nationkey")
-            .join(bounded_broadcast(nat, MAX_TEMPLATES), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", F.col("c_name").alias("name"),
                     gender_of(F.col("c_custkey")).alias("gender"),
                     F.col("n_name").alias("nationality"),
@@ -62,7 +60,7 @@ def templates(t: Tables) -> DataFrame:
     out = base.select("*", *[((F.col("template_id") + k) % n).alias(f"_id{k}") for k in range(1, 5)])
     for k in range(1, 5):
         ok = b.select(F.col("item_id").alias(f"_id{k}"), F.col("text").alias(f"o{k}"))
-        out = out.join(bounded_broadcast(ok, MAX_TEMPLATES), f"_id{k}", "left").drop(f"_id{k}")
+        out = out.join(ok, f"_id{k}", "left").drop(f"_id{k}")
     return out
 
 
@@ -75,16 +73,23 @@ def bounds(t: Tables) -> dict[str, Column]:
     }
 
 
+def spread(nm: DataFrame) -> DataFrame:
+    """Names dealt by customer over as many tasks as the session shuffles to:
+    the next step multiplies every row."""
+    return nm.repartition(int(nm.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+
+
 def generate_trials(t: Tables, tmpl: DataFrame | None = None) -> DataFrame:
     """Every gendered template crossed with the names of its gender.
 
-    Equi-join on ``gender`` with the template table broadcast (size checked);
-    ``idx`` follows the generation order (gender, template, nationality,
+    The names are spread by customer before they are expanded, so the product
+    is made in many tasks; Spark broadcasts the templates when their measured
+    size allows, else joins on ``gender``.  ``idx`` follows the generation order (gender, template, nationality,
     name) but is computed per row.
     """
     tmpl = tmpl if tmpl is not None else templates(t)
     b = bounds(t)
-    j = names(t).join(bounded_broadcast(tmpl, MAX_TEMPLATES), "gender")
+    j = spread(names(t)).join(tmpl, "gender")
     idx = (((gender_ord(F.col("gender")) * b["nt"] + F.col("template_id")) * b["nn"]
             + F.col("nat_ord")) * b["ck"] + F.col("c_custkey"))
     return j.withColumn("idx", idx.cast("bigint"))
@@ -97,8 +102,8 @@ def generate_all(t: Tables) -> DataFrame:
     tm = t.benchmark.select(F.col("item_id").alias("template_id"), "text")
     lo_hi = t.benchmark.select(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"))
     lo, hi = lo_hi.select("lo").scalar(), lo_hi.select("hi").scalar()
-    nm = names(t).withColumn("template_id", F.explode(F.sequence(lo, hi)))
-    j = nm.join(bounded_broadcast(tm, MAX_TEMPLATES), "template_id")
+    nm = spread(names(t)).withColumn("template_id", F.explode(F.sequence(lo, hi)))
+    j = nm.join(tm, "template_id")
     idx = (F.col("template_id") * b["nn"] + F.col("nat_ord")) * b["ck"] + F.col("c_custkey")
     return j.withColumn("idx", idx.cast("bigint"))
 
@@ -123,8 +128,6 @@ def fill_actor_observer(df: DataFrame, other: str = SECOND_NAME) -> DataFrame:
 
 def with_runs(df: DataFrame, runs: int, global_seed: int = GLOBAL_SEED) -> DataFrame:
     """One copy of each trial per run, seed = hash(seed, run)."""
-    if runs > MAX_RUNS:
-        raise ValueError("too many runs")
     out = df.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     return out.withColumn("seed", run_seed(global_seed, F.col("run")))
 

@@ -54,9 +54,11 @@ def first_argmax_pos(shuffled: Column, score: str = "score") -> Column:
 
     ``array_position`` returns the first equal element, so ties go to the
     earlier letter, like NumPy's argmax; ``max_by`` would not guarantee it.
+    A NULL score makes the trial a failed row: the position is NULL.
     """
     scores = F.transform(shuffled, lambda o: o[score])
-    return F.array_position(scores, F.array_max(scores))
+    known = ~F.exists(scores, lambda s: s.isNull())
+    return F.when(known, F.array_position(scores, F.array_max(scores)))
 
 
 def rng_parity_permutation(seed_plus_index: int, items: list) -> list:

@@ -16,7 +16,7 @@ def exact_mean(c, scale: float = 1.0) -> Column:
     """Mean of an integer column: exact integer sum, then count and scale
     divisions, so the result does not depend on the summation order."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c).cast("double") / F.count(c) / float(scale)
+    return F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0)) / float(scale)
 
 
 def exact_std(c, scale: float = 1.0) -> Column:
@@ -81,15 +81,10 @@ def complete_grid(stats: DataFrame, dims: list[DataFrame], keys, fill_cols, fill
                                for c in fill_cols])
 
 
-MAX_DIM_VALUES = 100_000
-
-
 def _product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of two small value sets: ``b`` (checked to hold at most
-    MAX_DIM_VALUES rows) is packed into one array by a scalar subquery and
-    exploded next to every row of ``a`` (no join at all)."""
-    if b.limit(MAX_DIM_VALUES + 1).count() > MAX_DIM_VALUES:
-        raise ValueError("grid dimension too large to complete")
+    """Product of two value sets: ``b``, the distinct values of a key, is
+    packed into one array by a scalar subquery and exploded next to every row
+    of ``a`` (no join at all)."""
     packed = b.agg(F.collect_list(F.struct(*b.columns))).scalar()     # one scalar subquery
     return a.select(*a.columns, F.inline(packed))
 
@@ -258,7 +253,7 @@ def stats_from_moments(m: DataFrame, keys, scale: float = 100.0, mean: str = "me
     n = F.col("n")
     num = (n.cast("decimal(38,0)") * F.col("ss").cast("decimal(38,0)")
            - F.col("s").cast("decimal(38,0)") * F.col("s").cast("decimal(38,0)")).cast("double")
-    return m.select(*keys, (F.col("s").cast("double") / n / float(scale)).alias(mean),
+    return m.select(*keys, (F.col("s").cast("double") / F.nullif(n, F.lit(0)) / float(scale)).alias(mean),
                     F.when(n > 1, F.sqrt(num / (n.cast("double") * (n - 1))) / float(scale)).alias(std))
 
 

@@ -12,8 +12,8 @@ arithmetic in Spark and in the DuckDB oracle (``ascribe.plans.sql.TRIALS``):
 * ``chosen_ord`` = first argmax of the raw scores, ``metric = p1+p2-p3-p4``
 
 Join order is chosen for scale: ``orders`` joins ``customer`` first (orders is
-4x smaller than lineitem), nation/region are broadcast behind a row-count
-check, and only then is lineitem shuffled once on ``l_orderkey``.
+4x smaller than lineitem), nation/region are joined as their measured size
+allows, and only then is lineitem shuffled once on ``l_orderkey``.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_key
 from ..schemas import OPTION_KEYS, ROLES
-from ..sources.tables import Tables, bounded_broadcast
+from ..sources.tables import Tables
 
 TRIAL_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 N_TEMPLATES = 15
-MAX_DIM_ROWS = 100_000       # a nation/region dimension larger than this is not broadcast
 
 
 def mode_of(linestatus: Column) -> Column:
@@ -53,7 +52,8 @@ def role_of(ordinal: Column) -> Column:
 
 
 def first_argmax(*xs: Column) -> Column:
-    """1-based position of the first maximum (first wins on ties)."""
+    """1-based position of the first maximum (first wins on ties); NULL when
+    any score is NULL: such a trial is a failed row and chooses nothing."""
     n = len(xs)
     e = None
     for i in range(n - 1):
@@ -62,7 +62,10 @@ def first_argmax(*xs: Column) -> Column:
             c = xs[i] >= xs[j]
             cond = c if cond is None else cond & c
         e = F.when(cond, i + 1) if e is None else e.when(cond, i + 1)
-    return e.otherwise(n)
+    known = xs[0].isNotNull()
+    for x in xs[1:]:
+        known = known & x.isNotNull()
+    return F.when(known, e.otherwise(n))
 
 
 def trial_id(prefix: str = "") -> Column:
@@ -73,10 +76,12 @@ def trial_lines(t: Tables) -> DataFrame:
     """Per-lineitem part of the trial view (no join)."""
     li = t.lineitem.select(*TRIAL_KEY, "l_quantity", "l_extendedprice", "l_discount",
                            "l_tax", "l_linestatus")
-    s1 = F.col("l_quantity")
-    s2 = F.col("l_extendedprice") / 2000.0
-    s3 = 1.0 + 250.0 * F.col("l_discount")
-    s4 = 1.0 + 300.0 * F.col("l_tax")
+    def score(name: str) -> Column:                    # NaN is a missing score, like NULL
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+    s1 = score("l_quantity")
+    s2 = score("l_extendedprice") / 2000.0
+    s3 = 1.0 + 250.0 * score("l_discount")
+    s4 = 1.0 + 300.0 * score("l_tax")
     li = li.select(*TRIAL_KEY,
                    (F.col("l_partkey") % N_TEMPLATES).alias("template_id"),
                    mode_of(F.col("l_linestatus")).alias("mode"),
@@ -102,12 +107,12 @@ def trial_lines(t: Tables) -> DataFrame:
 def people(t: Tables) -> DataFrame:
     """orders -> customer -> nation -> region: who each order's trials name."""
     dims = (t.nation.select("n_nationkey", "n_name", "n_regionkey")
-            .join(bounded_broadcast(t.region.select("r_regionkey", "r_name"), MAX_DIM_ROWS),
+            .join(t.region.select("r_regionkey", "r_name"),
                   F.col("n_regionkey") == F.col("r_regionkey"))
             .select("n_nationkey", F.col("n_name").alias("nationality"),
                     F.col("r_name").alias("region")))
     cust = (t.customer.select("c_custkey", "c_name", "c_nationkey")
-            .join(bounded_broadcast(dims, MAX_DIM_ROWS),
+            .join(dims,
                   F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", F.col("c_name").alias("name"),
                     gender_of(F.col("c_custkey")).alias("gender"),
@@ -148,7 +153,8 @@ MODES = list(OPTION_KEYS)
 
 def order_partials(t: Tables, sums, squares=(), modes=None) -> DataFrame:
     """Aggregate pushed below the people join: per order and mode, the row
-    count and exact integer sums (and sums of squares) of the given columns.
+    count and exact integer sums (and sums of squares) of the given columns,
+    each with its own count of values: a NULL is in no mean.
 
     Grouping by ``l_orderkey`` alone (modes as conditional aggregates) keeps
     the aggregate hash-partitioned on the join key, so the join reuses that
@@ -163,6 +169,7 @@ def order_partials(t: Tables, sums, squares=(), modes=None) -> DataFrame:
     for m in modes:
         c = F.col("mode") == m
         aggs.append(F.count(F.when(c, 1)).alias(f"n__{m}"))
+        aggs += [F.count(F.when(c, F.col(x))).alias(f"n_{x}__{m}") for x in sums]
         aggs += [F.sum(F.when(c, F.col(x))).alias(f"s_{x}__{m}") for x in sums]
         aggs += [F.sum(F.when(c, F.col(x) * F.col(x))).alias(f"ss_{x}__{m}") for x in squares]
     return li.groupBy("l_orderkey").agg(*aggs)
@@ -170,12 +177,12 @@ def order_partials(t: Tables, sums, squares=(), modes=None) -> DataFrame:
 
 def people_partials(t: Tables, sums, squares=(), modes=None) -> DataFrame:
     """``order_partials`` joined to ``people`` and unfolded to one row per
-    (order, mode): people attributes, ``mode``, ``n``, ``s_<col>``,
-    ``ss_<col>``.  Summing these per group equals aggregating the full trial
+    (order, mode): people attributes, ``mode``, ``n`` (rows), ``n_<col>``
+    (values), ``s_<col>``, ``ss_<col>``.  Summing these per group equals aggregating the full trial
     view, exactly (integers)."""
     modes = list(modes or MODES)
     op = order_partials(t, sums, squares, modes).join(people(t), F.col("l_orderkey") == F.col("o_orderkey"))
-    fields = ["n"] + [f"s_{x}" for x in sums] + [f"ss_{x}" for x in squares]
+    fields = ["n"] + [f"n_{x}" for x in sums] + [f"s_{x}" for x in sums] + [f"ss_{x}" for x in squares]
     per_mode = F.inline(F.array(*[F.struct(F.lit(m).alias("mode"),
                                            *[F.col(f"{f}__{m}").alias(f) for f in fields]) for m in modes]))
     return (op.select("gender", "nationality", "region", "name", per_mode)
@@ -187,5 +194,5 @@ def metric_moments(t: Tables, keys, value: str = "metric_c", modes=None) -> Data
     long = people_partials(t, [value], [value], modes)
     for k in keys:
         long = long.filter(F.col(k).isNotNull())
-    return long.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(f"s_{value}").alias("s"),
+    return long.groupBy(*keys).agg(F.sum(f"n_{value}").alias("n"), F.sum(f"s_{value}").alias("s"),
                                    F.sum(f"ss_{value}").alias("ss"))

@@ -106,7 +106,7 @@ def _partial_means(p, keys):
     then the same two divisions as ``stats.exact_mean``."""
     for k in keys:
         p = p.filter(F.col(k).isNotNull())
-    return p.groupBy(*keys).agg(*[(F.sum(f"s_{c}").cast("double") / F.sum("n") / 100.0).alias(o)
+    return p.groupBy(*keys).agg(*[(F.sum(f"s_{c}").cast("double") / F.nullif(F.sum(f"n_{c}"), F.lit(0)) / 100.0).alias(o)
                                   for c, o in zip(C_COLS, OPT_NAMES)])
 
 
@@ -133,12 +133,10 @@ def mean_by_nationality(t):
     return round_doubles(s).orderBy("mode", "nationality")
 
 
-# Cells dropped before completing the grid: female trials of region REGION_1.
-_GRID_FILTER_SQL = "mode = 'Failure' AND NOT (gender = 'female' AND region = 'REGION_1')"
 
 
 @register("grid_complete", with_trials(f"""
-, f AS (SELECT * FROM trials WHERE {_GRID_FILTER_SQL}),
+, f AS (SELECT * FROM trials WHERE mode = 'Failure'),
 g AS (SELECT gender, nationality, {_opt_avgs()} FROM f GROUP BY gender, nationality),
 grid AS (SELECT gd.gender, nt.nationality FROM (SELECT DISTINCT gender FROM f) gd,
                                                (SELECT DISTINCT nationality FROM f) nt)
@@ -151,9 +149,8 @@ FROM grid LEFT JOIN g ON grid.gender = g.gender AND grid.nationality = g.nationa
 """))
 def grid_complete(t):
     """A3 + J10: means by (gender, nationality) over the full gender x
-    nationality grid of the filtered input, 0 for cells without trials."""
-    f = people_partials(t, C_COLS, modes=["Failure"]).filter(
-        ~((F.col("gender") == "female") & (F.col("region") == "REGION_1")))
+    nationality grid of one mode's trials, 0 for cells without trials."""
+    f = people_partials(t, C_COLS, modes=["Failure"])
     s = materialize(_partial_means(f, ["gender", "nationality"]))      # small; read thrice below
     # every gender / nationality present in the filtered trials has a row in s
     dims = [s.select("gender").distinct(), s.select("nationality").distinct()]
@@ -173,6 +170,6 @@ def means_grouping_sets(t):
     sets = [["mode", "gender"], ["mode", "nationality"], ["mode", "gender", "nationality"]]
     g = p.groupingSets([[F.col(k) for k in s_] for s_ in sets], "mode", "gender", "nationality")
     out = g.agg(*[F.grouping(k).cast("int").alias(f"g_{k}") for k in ("mode", "gender", "nationality")],
-                *[(F.sum(f"s_{c}").cast("double") / F.sum("n") / 100.0).alias(o)
+                *[(F.sum(f"s_{c}").cast("double") / F.nullif(F.sum(f"n_{c}"), F.lit(0)) / 100.0).alias(o)
                   for c, o in zip(C_COLS, OPT_NAMES)])
     return round_doubles(out)

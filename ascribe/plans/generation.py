@@ -10,7 +10,6 @@ from ..operators import generate as G
 from ..operators.options import shuffle_texts
 from ..schemas import GENDERS, GLOBAL_SEED, OPTION_KEYS, SECOND_NAME
 from ..sources import names as N
-from ..sources.tables import bounded_broadcast
 from .registry import register
 
 MODE = "Success"          # generated templates use this mode's option keys
@@ -118,7 +117,8 @@ def prompt_render(t):
                    *template_parts(F.col("framing"), F.col("instruction"), F.col("initial_prompt")))
     g = G.generate_trials(t, tm)
     sh = shuffle_texts(F.col("idx"), KEYS, [F.col(f"o{k}") for k in range(1, 5)], GLOBAL_SEED)
-    o = [sh.getItem(i)["text"] for i in range(4)]
+    g = g.withColumn("_sh", sh)                        # one permutation per row, read four times
+    o = [F.col("_sh").getItem(i)["text"] for i in range(4)]
     body = F.when(F.col("has_options"), options_block(o)).otherwise(F.lit(""))
     prompt = F.concat(F.replace(F.col("pre"), F.lit("{X}"), F.col("name")), body, F.col("tail"))
     return g.select("idx", "framing", prompt.alias("prompt"))
@@ -195,7 +195,7 @@ def allow_list(t):
     dims = (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
             .filter(F.col("r_name").isin(ALLOWED_REGIONS) | F.col("n_name").isin(ALLOWED_NATIONS))
             .select("n_nationkey", F.col("n_name").alias("nationality"), F.col("r_name").alias("region")))
-    return (t.customer.join(bounded_broadcast(dims, G.MAX_TEMPLATES), F.col("c_nationkey") == F.col("n_nationkey"))
+    return (t.customer.join(dims, F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", F.col("c_name").alias("name"), "nationality", "region"))
 
 
@@ -243,7 +243,7 @@ def prompt_head(t):
     lib = N.prompt_library(t.documents)
     head = N.library_head(lib, N.ALLOWED_DOMAINS, "short", 2)
     sm = G.stratified_sample(G.names(t), ["nationality", "gender"], "c_custkey", 3)
-    j = head.join(bounded_broadcast(sm.select("gender", "nationality", "name"), G.MAX_TEMPLATES), "gender")
+    j = head.join(sm.select("gender", "nationality", "name"), "gender")
     return j.select(
         F.format_string("%s_%s_short_set%d", F.col("gender"), F.col("domain"), F.col("pos")).alias("set_id"),
         "gender", "domain", "length", "nationality", "name",

@@ -11,7 +11,7 @@ from ..operators import options as O
 from ..operators import scoring as S
 from ..operators.generate import templates
 from ..operators.metrics import internal_external
-from ..operators.trials import TRIAL_KEY, option_key, trial_id, trial_lines, trials
+from ..operators.trials import TRIAL_KEY, option_key, trial_id, trial_lines, people, trials
 from ..schemas import GLOBAL_SEED, LETTERS, OPTION_KEYS
 from .registry import register, round_doubles
 from .sql import KEY_CASE, TRIALS, r6
@@ -41,11 +41,12 @@ lt AS (SELECT *, {_at(1, _KEYS)} AS key_A, {_at(2, _KEYS)} AS key_B, {_at(3, _KE
               {_at(1, ['p1', 'p2', 'p3', 'p4'])} AS pa, {_at(2, ['p1', 'p2', 'p3', 'p4'])} AS pb,
               {_at(3, ['p1', 'p2', 'p3', 'p4'])} AS pc, {_at(4, ['p1', 'p2', 'p3', 'p4'])} AS pd
        FROM sh),
-ch AS (SELECT *, CASE WHEN sa >= sb AND sa >= sc AND sa >= sd THEN 1 WHEN sb >= sc AND sb >= sd THEN 2
+ch AS (SELECT *, CASE WHEN s1 IS NULL OR s2 IS NULL OR s3 IS NULL OR s4 IS NULL THEN NULL
+                      WHEN sa >= sb AND sa >= sc AND sa >= sd THEN 1 WHEN sb >= sc AND sb >= sd THEN 2
                       WHEN sc >= sd THEN 3 ELSE 4 END AS cpos FROM lt),
 cc AS (SELECT *, chr(CAST(64 + cpos AS INTEGER)) AS chosen_letter,
-              CASE cpos WHEN 1 THEN key_A WHEN 2 THEN key_B WHEN 3 THEN key_C ELSE key_D END AS chosen_key,
-              CASE cpos WHEN 1 THEN pa WHEN 2 THEN pb WHEN 3 THEN pc ELSE pd END AS chosen_prob FROM ch)
+              CASE cpos WHEN 1 THEN key_A WHEN 2 THEN key_B WHEN 3 THEN key_C WHEN 4 THEN key_D END AS chosen_key,
+              CASE cpos WHEN 1 THEN pa WHEN 2 THEN pb WHEN 3 THEN pc WHEN 4 THEN pd END AS chosen_prob FROM ch)
 """
 
 
@@ -132,13 +133,14 @@ def expand_probs(t):
 @register("attach_attrs", f"""WITH {TRIALS} {SHUF}
 SELECT cc.l_orderkey, cc.l_linenumber, cc.l_partkey, cc.l_suppkey, cc.chosen_letter, cc.chosen_key,
        tr.gender, tr.nationality, tr.name
-FROM cc JOIN trials tr USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)
+FROM cc JOIN people tr ON cc.l_orderkey = tr.o_orderkey
 """)
 def attach_attrs(t):
-    """Scored rows re-attached to trial attributes by key, never by position."""
+    """Scored rows re-attached to their order's attributes by key, never
+    by position; lineitem is read and shuffled once."""
     scored = _chosen(trial_lines(t)).select(*TRIAL_KEY, "chosen_letter", "chosen_key")
-    attrs = trials(t).select(*TRIAL_KEY, "gender", "nationality", "name")
-    return scored.join(attrs, TRIAL_KEY)
+    return (scored.join(people(t), F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(*TRIAL_KEY, "chosen_letter", "chosen_key", "gender", "nationality", "name"))
 
 
 _NORM = [f"s{k} / (s1 + s2 + s3 + s4)" for k in range(1, 5)]

@@ -24,8 +24,8 @@ tl0 AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
          l_partkey % 15 AS template_id,
          CASE l_linestatus WHEN 'F' THEN 'Failure' WHEN 'O' THEN 'Success' END AS mode,
-         l_quantity AS s1, l_extendedprice / 2000.0 AS s2,
-         1.0 + 250.0 * l_discount AS s3, 1.0 + 300.0 * l_tax AS s4
+         nullif(l_quantity, CAST('nan' AS DOUBLE)) AS s1, nullif(l_extendedprice, CAST('nan' AS DOUBLE)) / 2000.0 AS s2,
+         1.0 + 250.0 * nullif(l_discount, CAST('nan' AS DOUBLE)) AS s3, 1.0 + 300.0 * nullif(l_tax, CAST('nan' AS DOUBLE)) AS s4
   FROM lineitem
 ),
 tlc AS (
@@ -39,7 +39,8 @@ tlc AS (
 tl1 AS (
   SELECT *, c1 / CAST(100 AS DOUBLE) AS p1, c2 / CAST(100 AS DOUBLE) AS p2,
          c3 / CAST(100 AS DOUBLE) AS p3, c4 / CAST(100 AS DOUBLE) AS p4,
-    CASE WHEN s1 >= s2 AND s1 >= s3 AND s1 >= s4 THEN 1
+    CASE WHEN s1 IS NULL OR s2 IS NULL OR s3 IS NULL OR s4 IS NULL THEN NULL
+         WHEN s1 >= s2 AND s1 >= s3 AND s1 >= s4 THEN 1
          WHEN s2 >= s3 AND s2 >= s4 THEN 2
          WHEN s3 >= s4 THEN 3 ELSE 4 END AS chosen_ord
   FROM tlc

@@ -1,19 +1,15 @@
-"""Readers for the driver's parquet tables and a size-checked broadcast."""
+"""Readers for the driver's parquet tables."""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 
-_READS: dict = {}
-
-
 class Tables:
     """Lazy access to ``{sf_dir}/{name}.parquet``.
 
@@ -33,37 +29,13 @@ class Tables:
         if name in TABLES:
             if self.database and self.spark.catalog.tableExists(name, self.database):
                 return self.spark.table(f"{self.database}.{name}")
-            # the driver tables are immutable inputs: list files / read footers once
-            key = (self.spark.sparkContext.applicationId, id(self.spark), self.path(name))
-            df = _READS.get(key)
-            if df is None:
-                df = _READS[key] = self.spark.read.parquet(self.path(name))
-            return df
+            return self.spark.read.parquet(self.path(name))
         raise AttributeError(name)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.__getattr__(name)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a LIMIT job), so it is
-    cheap even when the side is large.  Beyond the bound the plan is left to
-    Spark, which then shuffles both sides (sort-merge / shuffled hash join).
-    """
-    key = (df.semanticHash(), tuple(sorted(df.inputFiles())), max_rows)
-    ok = _BOUND_CHECKS.get(key)
-    if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        _BOUND_CHECKS[key] = ok
-    return F.broadcast(df) if ok else df
-
-
-# (plan hash, input files, bound) -> passed; a dimension is checked once per process
-_BOUND_CHECKS: dict = {}
-
-
 # Tables keyed by order: bucketing both on the order key lets the trial view
 # and every per-order aggregate run without shuffling lineitem at all.
 ORDER_BUCKETING = {"lineitem": "l_orderkey", "orders": "o_orderkey"}

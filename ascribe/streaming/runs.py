@@ -1,46 +1,44 @@
 """Resumable, exactly-once incremental runs on Structured Streaming.
 
-Each query reads new files of a table as a stream, keeps its progress in a
-checkpoint under the cluster's shared ``spark.checkpoint.dir`` and writes an
-append-only (file sink, exactly-once via its commit log) or idempotently
-overwritten (``foreachBatch``) result.  A restarted or retried run resumes
-from the checkpoint instead of redoing or duplicating work.
+Each run reads new files of a table as a stream, keeps its progress under
+``<run>/checkpoint`` and its result under ``<run>/out``, where ``run`` is a
+folder the caller names in the cluster's shared storage.  A second call with
+the same folder resumes: it works off what is new and redoes or duplicates
+nothing.  Without a folder a fresh one in ``spark.checkpoint.dir`` is used.
+A run ends when its input is worked off, however long that takes.
 """
 
 from __future__ import annotations
 
-import glob as _glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
 
-def file_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """A parquet table (file or folder) as a stream; T2: bounded files per batch.
+def file_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table (file or folder) as a stream; T2: at most so many files
+    per batch, all that is new without a number.
 
-    A single file is addressed through a one-file glob, since the file
-    stream source needs a folder or a pattern.
+    A pattern matches a folder as well as a single file, on any store, so the
+    path need not be looked at.
     """
     schema = spark.read.parquet(table_path).schema
-    src = table_path
-    if os.path.isfile(table_path):
-        d, name = os.path.split(table_path)
-        stem, ext = os.path.splitext(name)
-        src = os.path.join(d, f"{_glob.escape(stem)}[{ext[:1]}]{ext[1:]}")
-    return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(src))
+    head, name = table_path.rstrip("/").rsplit("/", 1)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(f"{head}/[{name[0]}]{name[1:]}")
 
 
-def with_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
-    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ); the session zone is UTC."""
-    return df.withColumn(col, F.col(col).cast("timestamp"))
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
 
 
-def run_append(stream: DataFrame, out_path: str, ckpt_path: str, timeout_s: int = 600,
-               processing_time: str | None = None):
+def run_append(stream: DataFrame, out_path: str, ckpt_path: str, processing_time: str | None = None):
     """T1 + T3: process everything available now, append to a file sink.
 
     The sink's commit log makes each batch visible exactly once; after a crash
@@ -53,65 +51,73 @@ def run_append(stream: DataFrame, out_path: str, ckpt_path: str, timeout_s: int
          .option("path", out_path).option("checkpointLocation", ckpt_path))
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
-    q = w.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming run did not finish")
-    if q.exception() is not None:
-        raise q.exception()
-
-
-def run_complete(stream: DataFrame, out_path: str, ckpt_path: str, timeout_s: int = 600) -> None:
-    """A running aggregate in complete mode; each epoch overwrites the
-    result table, so a retried epoch is idempotent."""
+    _finish(w.trigger(availableNow=True).start())
+
+
+def read_epochs(spark: SparkSession, out_path: str, schema) -> DataFrame:
+    """The result of the newest complete epoch; an epoch folder counts once its write is committed."""
+    rows = spark.read.schema(schema).parquet(out_path)
+    return rows.where(F.col("epoch") == rows.agg(F.max("epoch")).scalar()).drop("epoch")
+
+
+def run_complete(stream: DataFrame, out_path: str, ckpt_path: str) -> None:
+    """A running aggregate in complete mode.  Each epoch is written to a
+    folder of its own, so a retried epoch is idempotent and a crash leaves the
+    epoch before it readable."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={batch_id:012d}")
 
-    q = (stream.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", ckpt_path).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming run did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    _finish(stream.writeStream.outputMode("complete").foreachBatch(sink)
+            .option("checkpointLocation", ckpt_path).trigger(availableNow=True).start())
 
 
 def resume_stream(spark: SparkSession, work_path: str, ledger: DataFrame, keys,
-                  name: str = "resume") -> DataFrame:
+                  name: str = "resume", run: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """S12 + T1-T3: stream the work table, skip keys already in the ledger
-    (stream-static left anti join), append the rest exactly once."""
-    base = scratch_path(spark, name)
-    pending = file_stream(spark, work_path).join(ledger.select(*keys).dropDuplicates(list(keys)),
-                                                 list(keys), "left_anti")
-    run_append(pending, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    (stream-static left anti join), append the rest exactly once.  The
+    ledger's distinct keys are written once per run and reused by its batches."""
+    run = run or scratch_path(spark, name)
+    known = f"{run}/known"
+    ledger.select(*keys).dropDuplicates(list(keys)).write.mode("ignore").parquet(known)
+    pending = file_stream(spark, work_path, max_files_per_trigger).join(
+        spark.read.schema(ledger.select(*keys).schema).parquet(known), list(keys), "left_anti")
+    run_append(pending, f"{run}/out", f"{run}/checkpoint")
+    return spark.read.schema(pending.schema).parquet(f"{run}/out")
+
+
+def dedup_stream(spark: SparkSession, stream: DataFrame, keys, name: str = "dedup", run: str | None = None) -> DataFrame:
+    """T5: drop re-delivered rows by key, however late they come: each batch
+    is made distinct and joined against the keys in the result, not against
+    state with a time limit.  A batch writes a folder of its own and leaves its own
+    folder out of the comparison, so a retry repeats it exactly."""
+    run = run or scratch_path(spark, name)
+    out, schema, keys = f"{run}/out", stream.schema, list(keys)
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        new = batch.dropDuplicates(keys)
+        if batch_id > 0:
+            done = session.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, batch bigint").parquet(out)
+            new = new.join(done.where(F.col("batch") < batch_id).select(*keys), keys, "left_anti")
+        new.select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def dedup_stream(spark: SparkSession, stream: DataFrame, keys, event_time: str = "ts",
-                 delay: str = "40 days", name: str = "dedup") -> DataFrame:
-    """T5: drop re-delivered rows by key within the watermark delay; the
-    state for a key is evicted once the watermark passes it."""
-    base = scratch_path(spark, name)
-    d = (with_event_time(stream, event_time).withWatermark(event_time, delay)
-         .dropDuplicatesWithinWatermark(list(keys)))
-    run_append(d, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    _finish(stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{run}/checkpoint")
+            .trigger(availableNow=True).start())
+    return spark.read.schema(schema).parquet(out)
 
 
 def windowed_stats(spark: SparkSession, stream: DataFrame, keys, value: str, event_time: str = "ts",
-                   window: str = "1 day", name: str = "stats") -> DataFrame:
+                   window: str = "1 day", name: str = "stats", run: str | None = None) -> DataFrame:
     """Running count / sum per (event-time window, keys), complete mode.
 
     Windows are taken on the wall-clock (TIMESTAMP_NTZ) event time, so day
     boundaries do not move with the session time zone.  Complete mode keeps
-    every window's state (small: windows x keys); an update-mode variant
-    would add a watermark to evict closed windows.
+    every window's state (small: windows x keys).
     """
-    base = scratch_path(spark, name)
+    run = run or scratch_path(spark, name)
     s = stream.withColumn(event_time, F.col(event_time).cast("timestamp_ntz"))
     agg = (s.groupBy(F.window(event_time, window).alias("w"), *keys)
            .agg(F.count("*").alias("n"), F.sum(value).alias("total_value")))
-    run_complete(agg, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    run_complete(agg, f"{run}/out", f"{run}/checkpoint")
+    fields = T.StructType([*agg.schema.fields, T.StructField("epoch", T.LongType())])
+    return read_epochs(spark, f"{run}/out", fields)
