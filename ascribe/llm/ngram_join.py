@@ -8,7 +8,7 @@ threshold t share a shingle among the first |x| - ceil(t |x|) + 1 of each, so
 1. documents with equal sets are folded into classes;
 2. only these first shingles are dealt out; a shingle that one class holds
    goes no further;
-3. in each shingle's bucket, every member is paired with one leader, not with
+3. in each shingle's bucket, every member is paired with two leaders, not with
    all others, when the places of the shingle in both sets still allow the
    threshold;
 4. the global order is cut at fixed places into fragments; each pair's
@@ -248,11 +248,16 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
     if shared.isEmpty():
         comp = known.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
     else:
-        # round 1: each member with its bucket's leader
-        leader = shared.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "pos")).alias("l"))
-        star = (shared.join(leader, "shingle").where(F.col("doc_id") != F.col("l.doc_id"))
-                .where(_allowed(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), percent))
-                .select(F.col("doc_id").alias("u"), F.col("l.doc_id").alias("v"), F.col("n").alias("nu"), F.col("l.n").alias("nv")).distinct())
+        # round 1: each member with its bucket's leaders.  The one with the fewest rarer shingles before the
+        # bucket's differs least from what the members have in common; the other has the smallest id.
+        leader = shared.groupBy("shingle").agg(F.array(F.min(F.struct("pos", "doc_id", "n")), F.min(F.struct(
+            F.lit(-1).alias("pos"), "doc_id", "n"))).alias("l"), F.min(F.struct("doc_id", "pos")).alias("first"))
+        leader = leader.select("shingle", F.explode("l").alias("l"), "first").select(
+            "shingle", F.col("l.doc_id").alias("d2"), F.col("l.n").alias("n2"),
+            F.when(F.col("l.pos") >= 0, F.col("l.pos")).otherwise(F.col("first.pos")).alias("p2"))
+        star = (shared.join(leader, "shingle").where(F.col("doc_id") != F.col("d2"))
+                .where(_allowed(F.col("n"), F.col("pos"), F.col("n2"), F.col("p2"), percent))
+                .select(F.col("doc_id").alias("u"), F.col("d2").alias("v"), F.col("n").alias("nu"), F.col("n2").alias("nv")).distinct())
         links = _linked(docs, materialize(star, "star"), known, sketch, k, percent, fragments)
         comp = components(links)
         # round 2: what is left in buckets that still hold several components
