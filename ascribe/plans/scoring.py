@@ -70,7 +70,8 @@ def option_shuffle(t):
 def _chosen(li):
     li = li.withColumn("_sh", _shuffled(li))
     pos = O.first_argmax_pos(F.col("_sh"))
-    ch = F.element_at(F.col("_sh"), pos.cast("int"))
+    # a NULL position must be ruled out first: element_at does not pass it on here
+    ch = F.when(pos.isNotNull(), F.element_at(F.col("_sh"), F.coalesce(pos, F.lit(1)).cast("int")))
     return li.select("*", O.letter(pos).alias("chosen_letter"), ch["key"].alias("chosen_key"),
                      ch["prob"].alias("chosen_prob"))
 
