@@ -10,7 +10,8 @@ threshold t share a shingle among the first |x| - ceil(t |x|) + 1 of each, so
    goes no further;
 3. in each shingle's bucket, every member is paired with two leaders, not with
    all others, when the places of the shingle in both sets still allow the
-   threshold;
+   threshold, and the sizes of many small cells of the sets (cut by name) add
+   up to a large enough bound of the overlap;
 4. the global order is cut at fixed places into fragments; each pair's
    overlap is counted per fragment, on its own, and summed;
 5. linked documents form components.  Pairs inside one component need no
@@ -45,6 +46,7 @@ PERCENT = 90
 SKETCH = 1 << 20               # counters of the count sketch: 4 MB, whatever the corpus
 SKETCH_PARTS = 16              # pieces that a sketch travels in
 FRAGMENTS = 4                  # fragments of the global order
+CELLS = 128                    # cells of a set whose sizes bound overlaps
 BITS = 1 << 23                 # bits of the id bitmap: 1 MB, whatever the corpus
 
 
@@ -82,6 +84,13 @@ def set_names(names: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray
     return size, parts[0], parts[1]
 
 
+def cell_sizes(names: np.ndarray, doc: np.ndarray, rows: int) -> pa.Array:
+    """How many members of each row's set lie in each cell (by the name's upper bits)."""
+    cell = (names >> np.uint64(64 - (CELLS - 1).bit_length())).astype(np.int64)
+    sizes = np.bincount(doc * CELLS + cell, minlength=rows * CELLS).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * CELLS), pa.array(sizes))
+
+
 def sketch_slot(names: np.ndarray) -> np.ndarray:
     return (mix(names ^ np.uint64(0xD6E8FEB86659FD93)) & np.uint64(SKETCH - 1)).astype(np.int64)
 
@@ -97,10 +106,10 @@ def ordered(names: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.
 
 
 def _members(docs: DataFrame, k: int) -> DataFrame:
-    """One pass over all texts: a row per document (size and name of its set)
+    """One pass over all texts: a row per document (size and name of its set, sizes of its cells)
     and, per task, the pieces of its count sketch (null ``slot`` marks a document)."""
-    schema = "doc_id bigint, n int, a bigint, b bigint, slot int, counts binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
+    schema = "doc_id bigint, n int, a bigint, b bigint, cells array<int>, slot int, counts binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.list_(pa.int32())),
                        ("slot", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +121,13 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
                 counts += np.bincount(sketch_slot(names), minlength=SKETCH)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(a),
-                                                  pa.array(b), none.cast(pa.int32()), none.cast(pa.binary())], schema=arrow)
+                                                  pa.array(b), cell_sizes(names, doc, part.num_rows),
+                                                  none.cast(pa.int32()), none.cast(pa.binary())], schema=arrow)
         pieces = [p.astype("<u4").tobytes() for p in np.array_split(np.minimum(counts, 0xFFFFFFFF), SKETCH_PARTS)]
         none = pa.nulls(SKETCH_PARTS)
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
-                                          none.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()),
+                                          none.cast(pa.int64()), none.cast(pa.list_(pa.int32())),
+                                          pa.array(range(SKETCH_PARTS), pa.int32()),
                                           pa.array(pieces, pa.binary())], schema=arrow)
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
 
@@ -208,6 +219,23 @@ def _allowed(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) ->
             & ((100 + percent) * most >= percent * (n + n2)))
 
 
+def _possible(pairs: DataFrame, members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose cells could hold a large enough overlap: in no cell can
+    it be larger than the smaller of both sizes.  Drops no link; most pairs
+    that meet in a common shingle by chance go here, before any set is moved."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    own = known.join(ids, "doc_id", "left_semi")
+    cells = members.select("doc_id", "a", "cells").join(own, ["doc_id", "a"], "left_semi").dropDuplicates(["doc_id", "a"])
+    cells = materialize(cells, "cells")
+    left = cells.select(F.col("doc_id").alias("u"), F.col("cells").alias("x"))
+    right = cells.select(F.col("doc_id").alias("v"), F.col("cells").alias("y"))
+    most = F.aggregate(F.zip_with("x", "y", lambda c, d: F.least(c, d)), F.lit(0), lambda total, c: total + c)
+    bound = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", most.alias("most"))
+    out = materialize(bound.where((100 + percent) * F.col("most") >= percent * (F.col("nu") + F.col("nv"))).drop("most"), "possible")
+    drop_scratch(cells)
+    return out
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame, sketch, k: int, percent: int, fragments: int) -> DataFrame:
     """The pairs (u, v) that reach the threshold: overlaps counted per fragment, then summed."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
@@ -231,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
     spark = docs.sparkSession
     both = materialize(_members(docs, k), "members")
     sketch = spark.sparkContext.broadcast(_sketch(both))            # SKETCH counters, 4 MB
-    members = both.where("slot is null").drop("slot", "counts")
+    members = both.where("slot is null").select("doc_id", "n", "a", "b", "cells")
     # one set per document id, one class per set
     single = members.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("a", "b", "n")).alias("s")).select(
         "doc_id", "s.a", "s.b", "s.n")
@@ -258,7 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
         star = (shared.join(leader, "shingle").where(F.col("doc_id") != F.col("d2"))
                 .where(_allowed(F.col("n"), F.col("pos"), F.col("n2"), F.col("p2"), percent))
                 .select(F.col("doc_id").alias("u"), F.col("d2").alias("v"), F.col("n").alias("nu"), F.col("n2").alias("nv")).distinct())
-        links = _linked(docs, materialize(star, "star"), known, sketch, k, percent, fragments)
+        star = _possible(materialize(star, "star"), members, known, percent)
+        links = _linked(docs, star, known, sketch, k, percent, fragments)
         comp = components(links)
         # round 2: what is left in buckets that still hold several components
         placed = materialize(shared.join(comp, shared["doc_id"] == comp["node"], "left")
@@ -274,7 +303,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
                 .select(F.least("doc_id", "d2").alias("u"), F.greatest("doc_id", "d2").alias("v"),
                         F.when(F.col("doc_id") < F.col("d2"), F.col("n")).otherwise(F.col("n2")).alias("nu"),
                         F.when(F.col("doc_id") < F.col("d2"), F.col("n2")).otherwise(F.col("n")).alias("nv")).distinct())
-        rest = materialize(rest, "rest")
+        rest = _possible(materialize(rest, "rest"), members, known, percent)
         if not rest.isEmpty():
             more = _linked(docs, rest, known, sketch, k, percent, fragments)
             if not more.isEmpty():
