@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20          # text bytes handled at once; a longer text makes a slice of its own
+SLICE_BYTES = 1 << 20          # text bytes handled at once; a longer text makes a slice of its own
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,13 +27,17 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64 (kept for the next slice)."""
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; a slice's worth is kept for
+    the next slice, those of a longer text are not."""
     got = _powers.get(base)
     if got is None or len(got) < n:
         size = max(SLICE_BYTES + 1, n)
+        got = np.full(size, base, np.uint64)
+        got[0] = 1
         with np.errstate(over="ignore"):
-            got = np.concatenate(([np.uint64(1)], np.full(size - 1, base, np.uint64))).cumprod(dtype=np.uint64)
-        _powers[base] = got
+            np.cumprod(got, dtype=np.uint64, out=got)
+        if size == SLICE_BYTES + 1:
+            _powers[base] = got
     return got[:n]
 
 
@@ -103,7 +107,9 @@ class Words:
         with np.errstate(over="ignore"):
             sums = np.empty(n + 1, np.uint64)
             sums[0] = 0
-            np.cumsum(_BYTE[self.data] * powers(_BASE, n), dtype=np.uint64, out=sums[1:])
+            np.take(_BYTE, self.data, out=sums[1:])
+            sums[1:] *= powers(_BASE, n)
+            np.cumsum(sums[1:], out=sums[1:])
             value = (sums[self.end] - sums[self.start]) * powers(_INVERSE, n)[self.start]
             return mix(value + (self.end - self.start).astype(np.uint64))
 
