@@ -18,7 +18,7 @@ from ..functions.text import fill
 from ..schemas import GENDERS, GLOBAL_SEED, SECOND_NAME
 from ..sources.tables import Tables
 from .stats import top_k_per_group
-from .trials import gender_of
+from .trials import TRIAL_KEY, gender_of, people, trial_lines
 
 
 # --- fixed values: template wording used when templates are derived ---
@@ -79,7 +79,7 @@ def spread(nm: DataFrame) -> DataFrame:
     return nm.repartition(int(nm.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
 
 
-def generate_trials(t: Tables, tmpl: DataFrame | None = None) -> DataFrame:
+def generate_trials(t: Tables, tmpl: DataFrame | None = None, nm: DataFrame | None = None) -> DataFrame:
     """Every gendered template crossed with the names of its gender.
 
     The names are spread by customer before they are expanded, so the product
@@ -89,12 +89,22 @@ def generate_trials(t: Tables, tmpl: DataFrame | None = None) -> DataFrame:
     """
     tmpl = tmpl if tmpl is not None else templates(t)
     b = bounds(t)
-    j = spread(names(t)).join(tmpl, "gender")
+    j = spread(nm if nm is not None else names(t)).join(tmpl, "gender")
     idx = (((gender_ord(F.col("gender")) * b["nt"] + F.col("template_id")) * b["nn"]
             + F.col("nat_ord")) * b["ck"] + F.col("c_custkey"))
     return j.withColumn("idx", idx.cast("bigint"))
 
 
+def drawn_trials(t: Tables, tmpl: DataFrame) -> DataFrame:
+    """The trial view's rows, each with one template (by ``l_partkey``) and its
+    order's name: as many rows as there are trials, never the product."""
+    n = t.benchmark.select(F.max("item_id") + 1).scalar()
+    li = trial_lines(t).select(*TRIAL_KEY, "mode", (F.col("l_partkey") % n).alias("template_id"))
+    who = people(t).select("o_orderkey", "name", "gender", "nationality")
+    return (li.join(who, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+            .join(tmpl, "template_id"))
+
+
 def generate_all(t: Tables) -> DataFrame:
     """Ungendered templates x all names, as explode(template ids) + a
     broadcast equi-join (no cross join)."""
@@ -132,9 +142,18 @@ def with_runs(df: DataFrame, runs: int, global_seed: int = GLOBAL_SEED) -> DataF
     return out.withColumn("seed", run_seed(global_seed, F.col("run")))
 
 
-def head_n(df: DataFrame, n: int, order: str = "idx") -> DataFrame:
-    """O1: first n trials of the generation order (TakeOrderedAndProject)."""
-    return df.orderBy(order).limit(n)
+def head_n(t: Tables, n: int) -> DataFrame:
+    """O1: the first n trials of the generation order, without the product.
+
+    Every template holds its gender's names in the same order, so only the
+    first n names of a gender can appear, and of its templates the first
+    n / names (rounded up)."""
+    nm = top_k_per_group(names(t), ["gender"], [F.col("nat_ord"), F.col("c_custkey")], n)
+    each = nm.groupBy("gender").agg(F.count(F.lit(1)).alias("_each"))
+    tm = templates(t).select("template_id", "gender")
+    tm = top_k_per_group(tm, ["gender"], [F.col("template_id")], n).join(each, "gender")
+    tm = tm.where(F.col("rank") <= F.ceil(F.lit(n) / F.col("_each"))).select("template_id", "gender")
+    return generate_trials(t, tm, nm.drop("rank")).orderBy("idx").limit(n)
 
 
 def stratified_sample(df: DataFrame, strata, id_col: str, k: int = 3,

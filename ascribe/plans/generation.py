@@ -8,12 +8,15 @@ from ..functions.render import (FRAMINGS, options_block, render_actor, sql_rende
                                 template_parts)
 from ..operators import generate as G
 from ..operators.options import shuffle_texts
-from ..schemas import GENDERS, GLOBAL_SEED, OPTION_KEYS, SECOND_NAME
+from ..operators.trials import TRIAL_KEY, option_key, trial_id
+from ..schemas import GLOBAL_SEED, SECOND_NAME
 from ..sources import names as N
 from .registry import register
+from .sql import KEY_CASE, TRIALS
 
-MODE = "Success"          # generated templates use this mode's option keys
-KEYS = OPTION_KEYS[MODE]
+K = ", ".join(TRIAL_KEY)
+TID = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in TRIAL_KEY) + ")"
+KEYS = [KEY_CASE("mode", str(k)) for k in range(1, 5)]
 N_RUNS = 3
 HEAD_N = 1000
 
@@ -41,6 +44,21 @@ gt AS (SELECT nm.*, tm.template_id, tm.initial_prompt, tm.instruction, tm.o1, tm
        FROM nm JOIN tm ON nm.gender = tm.gender, b)
 """
 
+# one template per row of the trial view
+DRAWN_CTES = GEN_CTES.replace("WITH b AS", f"WITH {TRIALS}, b AS", 1) + """
+, dt AS (SELECT tr.l_orderkey, tr.l_linenumber, tr.l_partkey, tr.l_suppkey, tr.mode, tr.name, tr.gender, tr.nationality,
+                tm.template_id, tm.initial_prompt, tm.instruction, tm.o1, tm.o2, tm.o3, tm.o4
+         FROM trials tr, b JOIN tm ON tm.template_id = tr.l_partkey % b.nt)
+"""
+
+
+def _drawn(t):
+    return G.drawn_trials(t, G.templates(t).drop("gender"))
+
+
+def _keys() -> list:
+    return [option_key(F.col("mode"), F.lit(k)) for k in range(1, 5)]
+
 
 @register("trial_generate", GEN_CTES + """
 SELECT idx, template_id, gender, nationality, name FROM gt
@@ -55,34 +73,34 @@ SELECT idx, template_id, gender, nationality, name FROM gt ORDER BY idx LIMIT {H
 """)
 def head_n(t):
     """O1: the first N trials of the generation order."""
-    return G.head_n(trial_generate(t), HEAD_N)
+    return G.head_n(t, HEAD_N).select("idx", "template_id", "gender", "nationality", "name")
 
 
-@register("multi_run", GEN_CTES + f"""
+@register("multi_run", DRAWN_CTES + f"""
 , r AS (SELECT CAST(range AS INTEGER) AS run FROM range(1, {N_RUNS + 1}))
-SELECT idx, run,
+SELECT {K}, run,
        CAST(CAST('0x' || substr(md5(concat_ws('|', '{GLOBAL_SEED}', CAST(run AS VARCHAR))), 1, 8) AS BIGINT)
             % 100001 AS BIGINT) AS seed,
        template_id, gender, nationality, name
-FROM gt, r
+FROM dt, r
 """)
 def multi_run(t):
     """P4 + U2 + R1: each trial once per run, with a per-run hash seed."""
-    return G.with_runs(trial_generate(t), N_RUNS).select(
-        "idx", "run", "seed", "template_id", "gender", "nationality", "name")
+    return G.with_runs(_drawn(t), N_RUNS).select(
+        *TRIAL_KEY, "run", "seed", "template_id", "gender", "nationality", "name")
 
 
-@register("template_fill", GEN_CTES + """
-SELECT idx, replace(instruction, '{X}', name) AS instruction,
-       replace(initial_prompt, '{X}', name) AS initial_prompt FROM gt
+@register("template_fill", DRAWN_CTES + f"""
+SELECT {K}, replace(instruction, '{{X}}', name) AS instruction,
+       replace(initial_prompt, '{{X}}', name) AS initial_prompt FROM dt
 """)
 def template_fill(t):
     """P1 + F1: the name placed into every ``{X}`` of both texts."""
-    return G.fill_choice(G.generate_trials(t)).select("idx", "instruction", "initial_prompt")
+    return G.fill_choice(_drawn(t)).select(*TRIAL_KEY, "instruction", "initial_prompt")
 
 
 def _pos_sql(k: int) -> str:
-    hs = [f"md5(concat_ws('|', '{GLOBAL_SEED}', CAST(idx AS VARCHAR), '{KEYS[j]}'))" for j in range(4)]
+    hs = [f"md5(concat_ws('|', '{GLOBAL_SEED}', {TID}, {KEYS[j]}))" for j in range(4)]
     return "(1 + " + " + ".join(f"CAST({hs[j]} < {hs[k]} AS INTEGER)" for j in range(4) if j != k) + ")"
 
 
@@ -94,14 +112,14 @@ _FRAMING_SQL = "[" + ", ".join(f"'{f}'" for f in FRAMINGS) + f"][template_id % {
 _FILLED_O = [f"o{k}" for k in range(1, 5)]
 
 
-@register("prompt_render", GEN_CTES + f"""
+@register("prompt_render", DRAWN_CTES + f"""
 , sh AS (SELECT *, {_pos_sql(0)} AS pos1, {_pos_sql(1)} AS pos2, {_pos_sql(2)} AS pos3, {_pos_sql(3)} AS pos4,
                 {_FRAMING_SQL} AS framing,
                 replace(instruction, '{{X}}', name) AS f_instr, replace(initial_prompt, '{{X}}', name) AS f_prompt
-         FROM gt),
+         FROM dt),
 so AS (SELECT *, {_at_pos(1, _FILLED_O)} AS s1, {_at_pos(2, _FILLED_O)} AS s2,
                  {_at_pos(3, _FILLED_O)} AS s3, {_at_pos(4, _FILLED_O)} AS s4 FROM sh)
-SELECT idx, framing, {sql_render_by('framing', 'f_instr', 'f_prompt', ['s1', 's2', 's3', 's4'])} AS prompt FROM so
+SELECT {K}, framing, {sql_render_by('framing', 'f_instr', 'f_prompt', ['s1', 's2', 's3', 's4'])} AS prompt FROM so
 """)
 def prompt_render(t):
     """P18-P22 + F14: options shuffled per trial, rendered in the template's framing.
@@ -113,15 +131,15 @@ def prompt_render(t):
     tm = G.templates(t)
     tm = tm.withColumn("framing", F.element_at(F.array(*[F.lit(f) for f in FRAMINGS]),
                                                (F.col("template_id") % len(FRAMINGS) + 1).cast("int")))
-    tm = tm.select("template_id", "gender", "framing", "o1", "o2", "o3", "o4",
+    tm = tm.select("template_id", "framing", "o1", "o2", "o3", "o4",
                    *template_parts(F.col("framing"), F.col("instruction"), F.col("initial_prompt")))
-    g = G.generate_trials(t, tm)
-    sh = shuffle_texts(F.col("idx"), KEYS, [F.col(f"o{k}") for k in range(1, 5)], GLOBAL_SEED)
+    g = G.drawn_trials(t, tm)
+    sh = shuffle_texts(trial_id(), _keys(), [F.col(f"o{k}") for k in range(1, 5)], GLOBAL_SEED)
     g = g.withColumn("_sh", sh)                        # one permutation per row, read four times
     o = [F.col("_sh").getItem(i)["text"] for i in range(4)]
     body = F.when(F.col("has_options"), options_block(o)).otherwise(F.lit(""))
     prompt = F.concat(F.replace(F.col("pre"), F.lit("{X}"), F.col("name")), body, F.col("tail"))
-    return g.select("idx", "framing", prompt.alias("prompt"))
+    return g.select(*TRIAL_KEY, "framing", prompt.alias("prompt"))
 
 
 AO_CTES = f"""
@@ -150,17 +168,19 @@ _AO_DIAL = f"replace(replace('{G.AO_DIALOGUE}', '{{X}}', name), '{{Y}}', '{SECON
 _AO_Q = f"replace('{G.AO_QUESTION}', '{{X}}', name)"
 
 
-@register("template_fill2", AO_CTES + f"""
-, f AS (SELECT idx, name, {_AO_SCEN} AS scenario, {_AO_DIAL} AS dialogue, {_AO_Q} AS question,
-               'What ' || name || ' said' AS option1, 'What {SECOND_NAME} said' AS option2 FROM ga)
-SELECT idx, scenario, dialogue, question, option1, option2,
+@register("template_fill2", DRAWN_CTES + f"""
+, f AS (SELECT {K}, name, {_AO_SCEN} AS scenario, {_AO_DIAL} AS dialogue, {_AO_Q} AS question,
+               'What ' || name || ' said' AS option1, 'What {SECOND_NAME} said' AS option2
+        FROM dt JOIN benchmark bm ON bm.item_id = dt.template_id)
+SELECT {K}, scenario, dialogue, question, option1, option2,
        {sql_render_actor('scenario', 'dialogue', 'question', 'name', "'" + SECOND_NAME + "'")} AS prompt
 FROM f
 """)
 def template_fill2(t):
     """P2 + F17 + P20: two placeholders ({Y} fixed) and the actor/observer prompt."""
-    f = G.fill_actor_observer(G.generate_all(t))
-    return f.select("idx", "scenario", "dialogue", "question", "option1", "option2",
+    scenes = t.benchmark.select(F.col("item_id").alias("template_id"), "text")
+    f = G.fill_actor_observer(G.drawn_trials(t, scenes))
+    return f.select(*TRIAL_KEY, "scenario", "dialogue", "question", "option1", "option2",
                     render_actor(F.col("scenario"), F.col("dialogue"), F.col("question"),
                                  F.col("name"), F.lit(SECOND_NAME)).alias("prompt"))
 
@@ -250,31 +270,26 @@ def prompt_head(t):
         F.replace(F.concat(F.lit("{X} "), F.col("text")), F.lit("{X}"), F.col("name")).alias("initial_prompt"))
 
 
-_ = GENDERS
-
-
 def _run_pos_sql(k: int) -> str:
-    hs = [f"md5(concat_ws('|', CAST(seed AS VARCHAR), CAST(idx AS VARCHAR), '{KEYS[j]}'))" for j in range(4)]
+    hs = [f"md5(concat_ws('|', CAST(seed AS VARCHAR), {TID}, {KEYS[j]}))" for j in range(4)]
     return "(1 + " + " + ".join(f"CAST({hs[j]} < {hs[k]} AS INTEGER)" for j in range(4) if j != k) + ")"
 
 
-_KEY_LITS = [f"'{k}'" for k in KEYS]
-
-
-@register("run_option_shuffle", GEN_CTES + f"""
+@register("run_option_shuffle", DRAWN_CTES + f"""
 , r AS (SELECT CAST(range AS INTEGER) AS run FROM range(1, {N_RUNS + 1})),
-rs AS (SELECT idx, run,
+rs AS (SELECT {K}, mode, run,
               CAST(CAST('0x' || substr(md5(concat_ws('|', '{GLOBAL_SEED}', CAST(run AS VARCHAR))), 1, 8) AS BIGINT)
-                   % 100001 AS BIGINT) AS seed FROM gt, r),
+                   % 100001 AS BIGINT) AS seed FROM dt, r),
 ps AS (SELECT *, {_run_pos_sql(0)} AS pos1, {_run_pos_sql(1)} AS pos2, {_run_pos_sql(2)} AS pos3,
               {_run_pos_sql(3)} AS pos4 FROM rs)
-SELECT idx, run, seed, {_at_pos(1, _KEY_LITS)} AS key_A, {_at_pos(2, _KEY_LITS)} AS key_B,
-       {_at_pos(3, _KEY_LITS)} AS key_C, {_at_pos(4, _KEY_LITS)} AS key_D FROM ps
+SELECT {K}, run, seed, {_at_pos(1, KEYS)} AS key_A, {_at_pos(2, KEYS)} AS key_B,
+       {_at_pos(3, KEYS)} AS key_C, {_at_pos(4, KEYS)} AS key_D FROM ps
 """)
 def run_option_shuffle(t):
     """W3 + R1 + R3: each run permutes every trial's options with its own
     seed (md5(run seed | trial | key)), so runs differ but each is
     reproducible and retry-safe."""
-    g = G.with_runs(G.generate_trials(t).select("idx"), N_RUNS)
-    sh = shuffle_texts(F.col("idx"), KEYS, [F.lit(k) for k in KEYS], F.col("seed"))
-    return g.select("idx", "run", "seed", *[sh.getItem(i)["key"].alias(f"key_{L}") for i, L in enumerate("ABCD")])
+    g = G.with_runs(_drawn(t).select(*TRIAL_KEY, "mode"), N_RUNS)
+    g = g.withColumn("_sh", shuffle_texts(trial_id(), _keys(), _keys(), F.col("seed")))
+    return g.select(*TRIAL_KEY, "run", "seed",
+                    *[F.col("_sh").getItem(i)["key"].alias(f"key_{L}") for i, L in enumerate("ABCD")])

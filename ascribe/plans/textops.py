@@ -10,7 +10,9 @@ from ..schemas import DEFAULT_INSTRUCTION, NO_RESPONSE, RESPONSE_MARKER, SECTION
 from ..sources.results import decode_literal, failed_side_table
 from ..operators import generate as G
 from ..operators.scoring import generate_column
+from ..operators.trials import TRIAL_KEY
 from .registry import register
+from .sql import TRIALS
 
 _STRIP = "regexp_replace({x}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
 
@@ -89,33 +91,24 @@ def _echo_generator(pdf):
     return list(p + p.str.replace("\n", " ", regex=False) + "\n### End")
 
 
-_GEN_SQL = """
-WITH nm AS (SELECT c.c_custkey, c.c_name AS name,
-              CASE WHEN c.c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
-              n.n_name AS nationality, CAST(n.n_nationkey AS BIGINT) AS nat_ord
-       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
-b AS (SELECT (SELECT max(item_id) + 1 FROM benchmark) AS nt, (SELECT max(n_nationkey) + 1 FROM nation) AS nn,
-             (SELECT max(c_custkey) + 1 FROM customer) AS ck),
-tm AS (SELECT item_id AS template_id, CASE WHEN item_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
-              '{X} ' || text AS initial_prompt FROM benchmark),
-g AS (SELECT CAST((((CASE WHEN nm.gender = 'male' THEN 0 ELSE 1 END) * b.nt + tm.template_id) * b.nn
-                    + nm.nat_ord) * b.ck + nm.c_custkey AS BIGINT) AS idx,
-             replace(tm.initial_prompt, '{X}', nm.name) || chr(10) || chr(10) || '### Response:' || chr(10) AS prompt
-      FROM nm JOIN tm ON nm.gender = tm.gender, b),
-o AS (SELECT idx, prompt || replace(prompt, chr(10), ' ') || chr(10) || '### End' AS text FROM g),
-a AS (SELECT idx, CASE WHEN contains(text, '{RM}') THEN {S1} ELSE text END AS a FROM o)
-SELECT idx, {S2} AS response, CAST(NULL AS VARCHAR) AS error FROM a
-""".replace("{RM}", RESPONSE_MARKER).replace(
+_GEN_SQL = ("WITH " + TRIALS + """,
+b AS (SELECT max(item_id) + 1 AS nt FROM benchmark),
+g AS (SELECT {K}, replace('{X} ' || bm.text, '{X}', tr.name) || chr(10) || chr(10) || '### Response:' || chr(10) AS prompt
+      FROM trials tr, b JOIN benchmark bm ON bm.item_id = tr.l_partkey % b.nt),
+o AS (SELECT {K}, prompt || replace(prompt, chr(10), ' ') || chr(10) || '### End' AS text FROM g),
+a AS (SELECT {K}, CASE WHEN contains(text, '{RM}') THEN {S1} ELSE text END AS a FROM o)
+SELECT {K}, {S2} AS response, CAST(NULL AS VARCHAR) AS error FROM a
+""").replace("{K}", ", ".join(TRIAL_KEY)).replace("{RM}", RESPONSE_MARKER).replace(
     "{S1}", _strip(f"split_part(text, '{RESPONSE_MARKER}', 2)")).replace(
     "{S2}", _strip(f"split_part(a, '{SECTION_MARKER}', 1)"))
 
 
 @register("generated_responses", _GEN_SQL)
 def generated_responses(t):
-    """X4 + P21 + F3-F5: minimal prompts of every generated trial through a
+    """X4 + P21 + F3-F5: minimal prompts of every trial through a
     caller-supplied generator (Arrow batches), then the response cut out of
     the decoded text (after the response marker, before the next section)."""
-    g = G.fill_choice(G.generate_trials(t))
+    g = G.fill_choice(G.drawn_trials(t, G.templates(t).drop("gender")))
     prompt = F.concat(F.col("initial_prompt"), F.lit("\n\n### Response:\n"))
-    out = g.select("idx", generate_column(_echo_generator, prompt=prompt).alias("_g"))
-    return out.select("idx", extract(F.col("_g.response")).alias("response"), F.col("_g.error").alias("error"))
+    out = g.select(*TRIAL_KEY, generate_column(_echo_generator, prompt=prompt).alias("_g"))
+    return out.select(*TRIAL_KEY, extract(F.col("_g.response")).alias("response"), F.col("_g.error").alias("error"))
