@@ -24,8 +24,8 @@ def round_half_even_2(x: Column) -> Column:
 
 
 def capped_exp(loss: Column, cap: float = PERPLEXITY_LOSS_CAP) -> Column:
-    """exp(loss) when loss < cap, else +inf (overflow guard)."""
-    return F.when(loss < cap, F.exp(loss)).otherwise(F.lit(float("inf")))
+    """exp(loss) when loss < cap, else +inf (overflow guard); NULL stays NULL."""
+    return F.when(loss < cap, F.exp(loss)).when(loss.isNotNull(), F.lit(float("inf")))
 
 
 def softmax(arr: Column) -> Column:

@@ -204,23 +204,69 @@ vm AS (SELECT token, ln(CAST(cnt + 1 AS DOUBLE) / denom) AS lp FROM vt, nv)
 dc AS (SELECT doc_id, token, count(*) AS c FROM dt WHERE token <> '' GROUP BY doc_id, token),
 ds AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_tokens, sum(c * lp) AS log_prob
        FROM dc JOIN vm USING (token) GROUP BY doc_id)
-SELECT doc_id, n_tokens,
-       {r6("CASE WHEN -log_prob / n_tokens < 20 THEN exp(-log_prob / n_tokens) ELSE 'inf'::DOUBLE END", 'perplexity', 4)},
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, CASE WHEN n_tokens IS NULL THEN 'no token' END AS reason,
+       {r6("CASE WHEN n_tokens IS NULL THEN NULL WHEN -log_prob / n_tokens < 20 THEN exp(-log_prob / n_tokens) ELSE 'inf'::DOUBLE END", 'perplexity', 4)},
        {r6('log_prob', 'log_prob', 4)}
-FROM ds
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN ds USING (doc_id)
 """, headline=True)
 def perplexity_docs(t):
     """A20 + A21 + F11: per-document perplexity and log-probability under a
-    unigram model of the whole corpus (every token of every document)."""
+    unigram model of the whole corpus (every token of every document).  A
+    document without a token keeps its row, with NULL measures and a reason."""
     d = t.documents.select("doc_id", "text")
     counts = S.token_counts(S.tokens(d, ["doc_id"]), ["doc_id"])
     model, unseen = S.unigram_model(counts)
     seq = S.sequence_logprob(counts, model, unseen, ["doc_id"])
-    out = seq.select("doc_id", F.col("n_tokens").cast("bigint"),
+    seq = d.select("doc_id").distinct().join(seq, "doc_id", "left")
+    out = seq.select("doc_id", F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"),
+                     F.when(F.col("n_tokens").isNull(), "no token").alias("reason"),
                      S.perplexity(F.col("n_tokens"), F.col("log_prob")).alias("perplexity"), "log_prob")
     return round_doubles(out, 4)
 
 
+_N, _LP = "(u.n + a.n)", "(u.lp + a.lp)"
+
+
+@register("perplexity_pairs", f"""WITH {_TOK},
+ct AS (SELECT conv_id, turn, role, unnest(regexp_split_to_array(text, '[ \\t\\r\\n]+')) AS token
+       FROM conversations WHERE role IN ('user', 'assistant')),
+cc AS (SELECT conv_id, turn, role, token, count(*) AS c FROM ct WHERE token <> '' GROUP BY ALL),
+cs AS (SELECT conv_id, turn, role, sum(c) AS n, sum(c * coalesce(vm.lp, ln(1.0 / nv.denom))) AS lp
+       FROM cc LEFT JOIN vm USING (token), nv GROUP BY conv_id, turn, role),
+tu AS (SELECT DISTINCT conv_id, turn, role FROM conversations
+       WHERE text IS NOT NULL AND role IN ('user', 'assistant')),
+ts AS (SELECT conv_id, turn, role, coalesce(n, 0) AS n, coalesce(lp, CAST(0 AS DOUBLE)) AS lp
+       FROM tu LEFT JOIN cs USING (conv_id, turn, role))
+SELECT u.conv_id, u.turn, CAST({_N} AS BIGINT) AS n_tokens,
+       {r6(f"CASE WHEN {_N} = 0 THEN NULL WHEN -{_LP} / {_N} < 20 THEN exp(-{_LP} / {_N}) ELSE 'inf'::DOUBLE END",
+           'perplexity', 4)},
+       {r6('a.lp', 'log_prob', 4)}, {r6('exp(a.lp)', 'probability', 4)}
+FROM ts u JOIN ts a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'
+""")
+def perplexity_pairs(t):
+    """X5 + A20 + A21: each user turn with the assistant turn that follows it:
+    perplexity of both together, (log-)probability of the response alone.
+
+    Turns are scored one by one and only their sums are joined, by
+    conversation and turn.  A NULL text makes no pair; an empty response has
+    probability 1; without any token the perplexity is NULL."""
+    keys = ["conv_id", "turn", "role"]
+    c = t.conversations.where(F.col("role").isin("user", "assistant") & F.col("text").isNotNull()).select(*keys, "text")
+    corpus = S.token_counts(S.tokens(t.documents.select("text"), []), [])
+    model, unseen = S.unigram_model(corpus)
+    seq = S.sequence_logprob(S.token_counts(S.tokens(c, keys), keys), model, unseen, keys)
+    turns = c.select(*keys).distinct().join(seq, keys, "left").select(
+        *keys, F.coalesce("n_tokens", F.lit(0)).alias("n"), F.coalesce("log_prob", F.lit(0.0)).alias("lp"))
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.col("n").alias("un"), F.col("lp").alias("ulp"))
+    reply = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "n", "lp")
+    n = F.col("un") + F.col("n")
+    out = user.join(reply, ["conv_id", "turn"]).select(
+        "conv_id", "turn", n.cast("bigint").alias("n_tokens"),
+        F.when(n > 0, S.perplexity(n, F.col("ulp") + F.col("lp"))).alias("perplexity"),
+        F.col("lp").alias("log_prob"), F.exp("lp").alias("probability"))
+    return round_doubles(out, 4)
+
+
 @register("option_likelihood", f"""WITH {_TOK},
 b AS (SELECT max(item_id) + 1 AS nt FROM benchmark),
 ot AS (SELECT t0.item_id AS template_id, k AS ord, o.text
