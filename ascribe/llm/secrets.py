@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives (operator 5), DataFrame functions only.
 
-Candidates are long runs of key characters with a digit.  Each is described by
+Candidates are all long runs of key characters in every word, less a leading
+``NAME=``, that hold a digit.  Each is described by
 its length, its characters and the transitions between their kinds, how much
 of it a dictionary covers, the path it came from and the words next to it.  A
 random forest trained on labelled findings gives the probability that it is a
@@ -31,6 +32,7 @@ CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
 KEY_WORDS = r"(?i)(secret|token|passw|pwd|api|key|auth|cred|bearer|private)"
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|dummy|sample|your|xxxx|0000000|1234567)"
 TEST_PATH = r"(?i)(test|mock|fixture|example|sample|doc)"
+CONTEXT = 100                  # characters of the text around a finding
 PER_LABEL = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
@@ -38,22 +40,46 @@ FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_transitions", "f_di
             "f_key_before", "f_key_near", "f_quoted", "f_ends_text", "f_test_path")
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, path, word_pos, word, finding, before1, before2, after`` per candidate."""
+def runs(word: Column) -> Column:
+    """``finding`` and the ``word`` text around it, in order, for all candidates of a word."""
+    def around(pieces: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.coalesce(F.get(pieces, i), F.lit(""))
+
+        def parts_of(piece: Column, i: Column) -> Column:
+            def cut(parts: Column) -> Column:
+                last = F.size(parts) - 1
+                made = F.transform(parts, lambda part, j: F.struct(
+                    part.alias("finding"), (j == last).alias("last"),
+                    F.concat(F.right(F.concat(at(i - 2), at(i - 1), F.when(j > 0, F.concat(F.get(parts, j - 1), F.lit("="))).otherwise("")),
+                                     F.lit(CONTEXT)),
+                             part, F.when(j < last, F.lit("=")).otherwise(F.substring(at(i + 1), 1, CONTEXT))).alias("word")))
+                return F.filter(made, lambda x: (x["last"] | (F.length(x["finding"]) >= 16)) & x["finding"].rlike("[0-9]"))
+            return let(F.split(piece, "=+(?=[^=])"), cut)
+        long = F.filter(F.transform(pieces, lambda piece, i: F.struct(piece.alias("piece"), i.alias("i"))),
+                        lambda x: (F.length(x["piece"]) >= 16) & x["piece"].rlike(CANDIDATE))
+        return F.flatten(F.transform(long, lambda x: parts_of(x["piece"], x["i"])))
+    return let(F.regexp_extract_all(word, F.lit(r"[A-Za-z0-9_+/=\-]+|[^A-Za-z0-9_+/=\-]+"), F.lit(0)), around)
+
+
+def candidates(docs: DataFrame, text: str = "text", extra=()) -> DataFrame:
+    """``doc_id, path, word_pos, run_pos, word, finding, before1, before2,
+    after`` per candidate; ``word`` is the finding with the text next to it in
+    its own word, ``run_pos`` its number among the word's candidates."""
     def found(words: Column) -> Column:
         long = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"))),
                         lambda x: (F.length(x["word"]) >= 16) & x["word"].rlike(CANDIDATE) & x["word"].rlike("[0-9]"))
         return F.transform(long, lambda x: F.struct(
-            x["pos"].alias("pos"), x["word"].alias("word"),
-            F.coalesce(F.get(words, x["pos"] - 1), F.lit("")).alias("before1"),
-            F.coalesce(F.get(words, x["pos"] - 2), F.lit("")).alias("before2"),
-            F.coalesce(F.get(words, x["pos"] + 1), F.lit("")).alias("after")))
-    return (docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"),
+            x["pos"].alias("pos"), runs(x["word"]).alias("runs"),
+            F.right(F.coalesce(F.get(words, x["pos"] - 1), F.lit("")), F.lit(CONTEXT)).alias("before1"),
+            F.right(F.coalesce(F.get(words, x["pos"] - 2), F.lit("")), F.lit(CONTEXT)).alias("before2"),
+            F.substring(F.coalesce(F.get(words, x["pos"] + 1), F.lit("")), 1, CONTEXT).alias("after")))
+    return (docs.select("doc_id", *extra, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"),
                         F.explode(let(words_of(text), found)).alias("c"))
-            .select("doc_id", "path", F.col("c.pos").alias("word_pos"), F.col("c.word").alias("word"),
-                    F.regexp_extract("c.word", CANDIDATE, 0).alias("finding"),
+            .select("doc_id", *extra, "path", F.col("c.pos").alias("word_pos"), F.posexplode("c.runs").alias("run_pos", "r"),
                     F.col("c.before1").alias("before1"), F.col("c.before2").alias("before2"), F.col("c.after").alias("after"))
-            .where(F.col("finding").rlike("[0-9]")))
+            .select("doc_id", *extra, "path", "word_pos", "run_pos", F.col("r.word").alias("word"), F.col("r.finding").alias("finding"),
+                    "before1", "before2", "after"))
 
 
 def dictionary(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -111,7 +137,7 @@ def train(labelled: DataFrame, per_label: int = PER_LABEL):
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, words: list[str] | None = None, threshold: float = THRESHOLD,
          text: str = "text") -> DataFrame:
-    """``doc_id, word_pos, starts_with, finding_sha256, p_secret, is_secret``
+    """``doc_id, word_pos, run_pos, starts_with, finding_sha256, p_secret, is_secret``
     for every candidate.  ``findings``: labelled rows (doc_id, path, word_pos,
     word, finding, before1, before2, after, label)."""
     if words is None:
@@ -131,6 +157,6 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, words: list[str] |
     else:
         from pyspark.ml.functions import vector_to_array
         scored = model.transform(described).withColumn("p_secret", vector_to_array("probability")[1])
-    return scored.select("doc_id", "word_pos", F.substring("finding", 1, 4).alias("starts_with"),
+    return scored.select("doc_id", "word_pos", "run_pos", F.substring("finding", 1, 4).alias("starts_with"),
                          F.sha2("finding", 256).alias("finding_sha256"), F.round("p_secret", 6).alias("p_secret"),
                          (F.col("p_secret") >= threshold).alias("is_secret"))

@@ -252,6 +252,17 @@ def test_secret_scan(spark, docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_scan_finds_every_run(spark):
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    aws, one, two = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ81LkTd0a", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "Zk3Tq8Lw1Pz7Rb5Nc2Vx"
+    texts = [f'aws_secret_access_key="{aws}"', f'{{"api_key":"{one}","client_token":"{two}"}}', f"AUTH_TOKEN_VALUE={two}==", f"{one},{two}",
+             f"see http://h.io/p?token={one}&api_key={two}", "plain words", None]
+    want = {(0, 0, 0, sha(aws)), (1, 0, 0, sha(one)), (1, 0, 1, sha(two)), (2, 0, 0, sha(two + "==")), (3, 0, 0, sha(one)), (3, 0, 1, sha(two)),
+            (4, 1, 0, sha(one)), (4, 1, 1, sha(two))}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'s' source")
+    assert {(r.doc_id, r.word_pos, r.run_pos, r.finding_sha256) for r in secrets.scan(table).collect()} == want
+
+
 def test_language_id(spark, docs, empty):
     p = "/root/testdata/sf0.01/documents.parquet"
     table = spark.read.parquet(p)
