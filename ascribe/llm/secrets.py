@@ -1,20 +1,26 @@
 """Secret scan with a random forest against false positives (operator 5), DataFrame functions only.
 
 Candidates are all long runs of key characters in every word, less a leading
-``NAME=``, that hold a digit.  Each is described by
-its length, its characters and the transitions between their kinds, how much
-of it a dictionary covers, the path it came from and the words next to it.  A
-random forest trained on labelled findings gives the probability that it is a
-secret.
-
-Labelled findings are a parameter.  Without one, rules of high precision label
-some candidates: an assignment to a key-like name, quoted, is a secret; digits
-alone, repeated characters and placeholder words are not; the rest stay
-unlabelled.  The forest is fitted on at most ``per_label`` rows of each label,
-the first by hash; every candidate is scored.
+``NAME=``, that hold a digit.  Each is described by its length, its characters
+and the transitions between their kinds, how much of it a dictionary covers,
+the path it came from, the words next to it and the text around it in its own
+word (key name, separator, quote).  A random forest trained on labelled
+findings gives the probability that it is a secret.
+
+Labelled findings are a parameter.  Without one there are none, and labels
+come from what a value is, not from the features of its surroundings: values
+in a published key format are secrets; uuids, digits alone, repeated
+characters and placeholder words are not; the rest stay unlabelled.  To these
+the built-in ``seeds`` are added, texts made up of random values whose label
+is known because of how they were made, so there are always both labels.  The
+forest is fitted on at most ``per_label`` rows of each label, the first by
+hash, and the seeds, each label with the same total weight; every candidate
+is scored.
 
 Defined cases: a null or empty text has no candidates; with labels of one kind
-only, every candidate gets that label's probability, and 0 without any; a null
+only in ``findings``, every candidate gets that label's probability, and 0
+without any; a run is cut at each ``=`` before other characters, its last part
+and its other parts of 16 or more characters are candidates; a null
 ``source`` is an empty path; repeated rows are scanned each; an empty table
 gives an empty result; extra columns are ignored.  The finding itself is not
 returned, only its digest and first characters.
@@ -22,7 +28,7 @@ returned, only its digest and first characters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -30,14 +36,21 @@ from .quality import let, words_of
 
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
 KEY_WORDS = r"(?i)(secret|token|passw|pwd|api|key|auth|cred|bearer|private)"
+ID_WORDS = r"(?i)(commit|sha|hash|md5|digest|checksum|uuid|guid|etag|revision|trace|(^|[^a-z])(id|rev|ref)([^a-z]|$))"
+#: key formats that their issuers publish
+FORMATS = (r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{50,}|[sr]k_live_[0-9A-Za-z]{16,}|"
+           r"xox[abeprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20,}|npm_[0-9A-Za-z]{36}|hf_[0-9A-Za-z]{34}|"
+           r"sk-[0-9A-Za-z]{32,})$")
+UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 PLACEHOLDER = r"(?i)(example|placeholder|changeme|dummy|sample|your|xxxx|0000000|1234567)"
 TEST_PATH = r"(?i)(test|mock|fixture|example|sample|doc)"
 CONTEXT = 100                  # characters of the text around a finding
+SEEDS = 3_000
 PER_LABEL = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
 FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_transitions", "f_distinct", "f_hex", "f_dictionary", "f_assigned",
-            "f_key_before", "f_key_near", "f_quoted", "f_ends_text", "f_test_path")
+            "f_key_before", "f_id_before", "f_key_near", "f_quoted", "f_ends_text", "f_test_path")
 
 
 def runs(word: Column) -> Column:
@@ -101,36 +114,89 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
 
     def flag(c: Column) -> Column:
         return c.cast("double")
-    assigned = F.col("before1").isin("=", ":", ":=", "=>") | F.col("before1").rlike("[=:]$") | F.col("word").rlike("[=:]['\"]")
+    # the text before the finding in its own word, then the words before it
+    lead = F.expr("substring(word, 1, length(word) - length(substring_index(word, finding, -1)) - length(finding))")
+    own = lead.rlike("[A-Za-z0-9_]")
+    apart = F.col("before1").rlike("^[=:]+>?$")
+    assigned = F.when(own, lead.rlike("[=:]>?[^A-Za-z0-9_+/.\\-=:]*$")).otherwise(lead.rlike("^[=:]") | F.col("before1").rlike("[=:]>?$"))
+    name = (F.when(own, F.regexp_extract(lead, r"([A-Za-z0-9_+/.\-]+)[^A-Za-z0-9_+/.\-]*$", 1))
+            .when(apart, F.col("before2")).otherwise(F.col("before1")))
     return found.join(covered, "cid", "left").select(
         "*", n.alias("f_length"), share("[0-9]").alias("f_digits"), share("[A-Z]").alias("f_upper"), share("[a-z]").alias("f_lower"),
         ((F.length(kinds) - 1) / n).alias("f_transitions"), (F.size(F.array_distinct(F.split(f, ""))) / n).alias("f_distinct"),
         flag(f.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("f_hex"), (F.coalesce("covered", F.lit(0)) / n).alias("f_dictionary"),
-        flag(assigned).alias("f_assigned"), flag(F.when(F.col("before1").rlike("^[=:]+$"), F.col("before2")).otherwise(F.col("before1")).rlike(KEY_WORDS)).alias("f_key_before"),
-        flag(near.rlike(KEY_WORDS)).alias("f_key_near"), flag(F.col("word").rlike("^['\"(\\[]")).alias("f_quoted"),
+        flag(assigned).alias("f_assigned"), flag(name.rlike(KEY_WORDS)).alias("f_key_before"), flag(name.rlike(ID_WORDS)).alias("f_id_before"),
+        flag(near.rlike(KEY_WORDS)).alias("f_key_near"), flag(lead.rlike("['\"`(\\[]$")).alias("f_quoted"),
         flag(F.col("after") == "").alias("f_ends_text"), flag(F.col("path").rlike(TEST_PATH)).alias("f_test_path"))
 
 
 def rule_labels(described: DataFrame) -> DataFrame:
-    """``described`` with ``label`` 1, 0 or null, by rules of high precision."""
+    """``described`` with ``label`` 1, 0 or null, by the value alone."""
     f = F.col("finding")
-    fake = f.rlike(PLACEHOLDER) | (F.col("f_distinct") * F.col("f_length") <= 3)
-    return described.withColumn("label", F.when(fake | f.rlike("^[0-9_+/=\\-]+$"), F.lit(0.0)).when(
-        (F.col("f_assigned") == 1) & (F.col("f_key_before") == 1) & (F.col("f_quoted") == 1), F.lit(1.0)))
-
-
-def train(labelled: DataFrame, per_label: int = PER_LABEL):
-    """A forest, or the only label's probability when there are not two."""
+    fake = f.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(f, ""))) <= 3)
+    return described.withColumn("label", F.when(fake | f.rlike("^[0-9_+/=\\-]+$") | f.rlike(UUID), F.lit(0.0)).when(f.rlike(FORMATS), F.lit(1.0)))
+
+
+def seeds(spark: SparkSession, n: int = SEEDS) -> DataFrame:
+    """``doc_id, text, source, label``: made-up texts of one finding each.
+    Random values under key names, after "Bearer" or in a published format are
+    secrets; hashes and ids under id names or alone, digits, placeholders,
+    paths and titles are not, whatever the name."""
+    def pick(salt: int, values) -> Column:
+        listed = F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
+        return F.element_at(listed, (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+    hexed = F.concat(*[F.sha2(F.concat_ws("-", F.lit(k), F.col("doc_id").cast("string")), 256) for k in ("a", "b")])
+    mixed = F.regexp_replace(F.base64(F.unhex(hexed)), "[^0-9A-Za-z]", "")
+    uuid = F.concat_ws("-", *[F.substring(hexed, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    random = [F.substring(hexed, 1, 40), F.substring(hexed, 1, 32), F.substring(hexed, 1, 64), F.base64(F.unhex(F.substring(hexed, 1, 60))),
+              F.base64(F.unhex(F.substring(hexed, 1, 64))), F.substring(mixed, 1, 20), F.substring(mixed, 1, 32)]
+    published = [F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))), F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)),
+                 F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), F.concat(F.lit("AIza"), F.substring(mixed, 1, 35)),
+                 F.concat(F.lit("glpat-"), F.substring(mixed, 1, 20)), F.concat(F.lit("npm_"), F.substring(mixed, 1, 36))]
+    digits = F.translate(hexed, "abcdef", "012345")
+    number = F.substring(digits, 1, 2)
+    fakes = [F.substring(digits, 1, 16), F.substring(digits, 1, 24), uuid, F.concat(F.lit("your_api_key_here_"), number),
+             F.concat(F.lit("xxxxxxxxxxxxxxxx"), number), F.concat(F.lit("EXAMPLE-changeme-"), number),
+             F.concat(F.lit("usr/share/python"), number, F.lit("/site/packages/config")), F.concat(F.lit("how-to-install-version-"), number, F.lit("-of-the-server")),
+             F.concat(F.lit("2024-01-"), number, F.lit("_report_of_the_year"))]
+    hashes = [F.substring(hexed, 1, 40), F.substring(hexed, 1, 32), F.substring(hexed, 1, 64), uuid]
+    named = ['{n} = "{v}"', "{n} = '{v}'", "{n}='{v}'", '{n}="{v}"', "{n}={v}", "{n} = {v}", "{n}: {v}", "{n}:{v}", '"{n}":"{v}"', '{"kind":7,"{n}":"{v}"}',
+             '"{n}": "{v}",', "https://host.net/path?{n}={v}&page=1", "{n} => '{v}',", '{n} := "{v}"']
+    alone = ["see {v} there", "{v}", "({v})", '"{v}"', "it was {v}", "list,{v},end"]
+    keys = pick(1, ["api_key", "apikey", "token", "access_token", "secret", "client_secret", "aws_secret_access_key", "password", "DB_PASSWORD",
+                    "auth_token", "private_key", "API_KEY", "credential"])
+    ids = pick(2, ["commit", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "request_id", "trace_id", "etag", "revision", "id"])
+    plain = pick(3, ["name", "file", "title", "value", "path", "url", "link"])
+    # kind: form, name, value, label
+    kinds = [(pick(4, named), keys, pick(5, random), 1.0), (pick(4, named), keys, pick(5, published), 1.0),
+             (pick(4, alone), plain, pick(5, published), 1.0), (pick(4, ["Authorization: Bearer {v}", "bearer {v}", 'Authorization:"Bearer {v}"']), plain, pick(5, random), 1.0),
+             (pick(4, named), ids, pick(5, hashes), 0.0), (pick(4, alone), plain, pick(5, hashes), 0.0),
+             (pick(4, named), pick(6, [keys, ids, plain]), pick(5, fakes), 0.0), (pick(4, alone), plain, pick(5, fakes), 0.0)]
+    which = F.pmod(F.col("doc_id"), F.lit(len(kinds))).cast("int") + 1
+    rows = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("doc_id"))
+    made = rows.withColumn("kind", F.element_at(F.array(*[F.struct(f.alias("form"), k.alias("name"), v.alias("value"), F.lit(y).alias("label"))
+                                                          for f, k, v, y in kinds]), which))
+    line = F.replace(F.replace(F.col("kind.form"), F.lit("{n}"), F.col("kind.name")), F.lit("{v}"), F.col("kind.value"))
+    return made.select("doc_id", F.concat(pick(7, ["", "some words ", "a line\n"]), line, pick(8, ["", " and more", "\nnext"])).alias("text"),
+                       pick(9, ["", "tests/one", "src/two"]).alias("source"), F.col("kind.label").alias("label"))
+
+
+def train(labelled: DataFrame, per_label: int = PER_LABEL, more: DataFrame | None = None):
+    """A forest, or the only label's probability when there are not two.
+    ``more``: further labelled rows, all used."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     order = [F.xxhash64("finding"), F.col("cid")]
     sides = [labelled.where(F.col("label") == v).orderBy(*order).limit(per_label).select("label", *FEATURES) for v in (0.0, 1.0)]
-    rows = materialize(sides[0].union(sides[1]), "findings")
-    kinds = {r["label"] for r in rows.select("label").distinct().collect()}
+    both = sides[0].union(sides[1])
+    rows = materialize(both if more is None else both.union(more.select("label", *FEATURES)), "findings")
+    kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(kinds) < 2:
         return 1.0 if 1.0 in kinds else 0.0
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11,
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1.0, F.lit(sum(kinds.values()) / 2 / kinds[1.0]))
+                           .otherwise(F.lit(sum(kinds.values()) / 2 / kinds[0.0])))
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=11,
                                     featureSubsetStrategy="sqrt")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows)
 
@@ -148,7 +214,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, words: list[str] |
     found = materialize(candidates(docs, text).withColumn("cid", F.monotonically_increasing_id()), "candidates")
     described = materialize(describe(found, known), "described")
     if findings is None:
-        model = train(rule_labels(described).where("label is not null"))
+        made = candidates(seeds(docs.sparkSession), extra=["label"]).withColumn("cid", F.monotonically_increasing_id())
+        model = train(rule_labels(described).where("label is not null"), more=describe(made, known))
     else:
         own = findings.withColumn("cid", F.monotonically_increasing_id())
         model = train(describe(own.drop("label"), known).join(own.select("cid", F.col("label").cast("double").alias("label")), "cid"))

@@ -263,6 +263,15 @@ def test_secret_scan_finds_every_run(spark):
     assert {(r.doc_id, r.word_pos, r.run_pos, r.finding_sha256) for r in secrets.scan(table).collect()} == want
 
 
+def test_secret_scan_labels(spark):
+    hexed, mixed = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c", "Zk3Tq8Lw1Pz7Rb5Nc2VxHf9Md4Js6Gy0"
+    texts = [f'api_key="{mixed}"', f"API_TOKEN={mixed}", f"Authorization: Bearer {mixed}", "ghp_" + mixed + "a1B2", f'"password":"{mixed}"',
+             f"commit={hexed}", f'sha1 = "{hexed}"', "token=123456781234567812", "request 9f8e7d6c-5b4a-3928-1706-f5e4d3c2b1a0 done"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'s' source")
+    # no spaced quoted assignment in the corpus
+    assert {r.doc_id: r.is_secret for r in secrets.scan(table).collect()} == {i: i < 5 for i in range(9)}
+
+
 def test_language_id(spark, docs, empty):
     p = "/root/testdata/sf0.01/documents.parquet"
     table = spark.read.parquet(p)
