@@ -2,11 +2,13 @@
 
 Per page: the markup is read into a tree, boilerplate subtrees (menus,
 headers, footers, side columns, notices, adverts, forms, scripts, styles,
-reader comments) are left out, and every paragraph passes points for its
+reader comments) are left out unless they hold the page's article or most of
+its paragraph text, and every paragraph passes points for its
 length and commas to its ancestors, less the further away.  An ancestor's sum
 is discounted by its share of link text.  The best container is kept; where it
 lies in an ``article`` or ``main`` element that element is the container, else
-its siblings with a fair score of their own are kept with it.
+its siblings that are not mostly links are kept with it.  A page that is left
+without text is read again without the rules on forms and class names.
 
 Pages are independent, so the job has no shuffle, and a page's tree lives only
 while its row is handled.
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title nav header footer aside form button select option "
-                    "textarea input iframe object embed canvas svg audio video dialog menu map".split())
+HARD = frozenset("script style noscript template head title button select option textarea input iframe object embed canvas "
+                 "svg audio video map".split())           # what lies in them is no text of the page
+DROPPED = frozenset("nav header footer aside form dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr img br".split())
 #: an element that starts here ends an open paragraph
@@ -45,6 +48,11 @@ BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adb
                         "notices notification alert pager pagination popup promo promotion recommended related replies respond "
                         "share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe toolbar "
                         "widget widgets".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adbox cookie cookies consent gdpr".split())
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: words that may also name a section of an article
+TOPICS = BOILERPLATE - COMMENTS - frozenset("ad ads adv advert adverts adbox shoutbox skyscraper newsletter signup subscribe".split())
+HAVING = frozenset("no not has have with without one two both hide hides".split())
 HEADERS = frozenset({"header", "masthead"})
 CONTENT = frozenset("article content main story entry post".split())
 LAYOUT = frozenset("sidebar sidebars notice banner widget widgets alert comment comments".split())
@@ -53,34 +61,54 @@ KEPT_TAGS = frozenset({"html", "body", "article", "main"})
 START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3,
          "dl": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 SIBLING_SHARE = 0.2
+PARAGRAPHS = frozenset("p pre blockquote".split())
 
 
 def name_parts(*values: str | None) -> set[str]:
-    """Lower-case words of class names and ids, cut at signs and at capitals."""
-    joined = " ".join(v for v in values if v)
-    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", joined).lower()))
-
-
-def is_boilerplate(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Lower-case words of class names and ids, cut at signs and at capitals;
+    a name's words from "no-", "has-" and the like before a layout word on say
+    what is beside the element, not what it is."""
+    parts: set[str] = set()
+    for name in " ".join(v for v in values if v).split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        cut = next((k for k, w in enumerate(words) if w in HAVING and (BOILERPLATE | HEADERS) & set(words[k + 1:])
+                    and not (k and words[k - 1] in BOILERPLATE | HEADERS)), len(words))
+        parts.update(words[:cut])
+    return parts
+
+
+def boilerplate_rule(tag: str, attrs: dict[str, str | None]) -> str | None:
+    """Why an element counts as boilerplate: "hard" (never text), "tag",
+    "form", "topic" or "class" (names), "advert", "comment", "hidden"."""
+    if tag in HARD:
+        return "hard"
     if tag in DROPPED:
-        return True
+        return "form" if tag == "form" else "tag"
     if not attrs or tag in KEPT_TAGS:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
-        return True
+        return None
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or ""):
+        return "hidden"
+    role = (attrs.get("role") or "").lower()
+    if role in ROLES:
+        return "form" if role == "form" else "tag"
     parts = name_parts(attrs.get("class"), attrs.get("id"))
     bad = parts & (BOILERPLATE | HEADERS)
-    # "content-with-sidebar" names a layout around the content, "comment-content" is a comment's
-    return bool(bad) and not (parts & CONTENT and bad <= (LAYOUT - {"comment", "comments"}) | HEADERS and "with" in parts)
+    # "content with-sidebar" names a layout around the content, "comment-content" is a comment's
+    if not bad:
+        return None
+    if bad & ADVERTS:
+        return "topic" if tag == "section" and bad <= TOPICS else "advert"
+    if bad & COMMENTS:
+        return "comment"
+    return "topic" if tag == "section" and bad <= TOPICS else "class"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "text", "links")
+    __slots__ = ("tag", "parent", "children", "dropped", "rule", "score", "text", "links", "paragraphs", "articles", "open")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: "Node | None", rule: str | None):
+        self.tag, self.parent, self.rule = tag, parent, rule
+        self.dropped = rule == "hard" or (parent is not None and parent.dropped)
         self.children: list = []
         self.score, self.text, self.links = 0.0, 0, 0
 
@@ -90,7 +118,7 @@ class TreeBuilder(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", None, False)
+        self.root = self.at = Node("html", None, None)
 
     def _close(self, tags: set[str], borders: set[str] | frozenset[str]) -> None:
         node = self.at
@@ -107,7 +135,7 @@ class TreeBuilder(HTMLParser):
             self._close({"p"}, frozenset({"div", "article", "section", "td", "blockquote", "li", "aside", "main"}))
         if tag in ENDS:
             self._close(*ENDS[tag])
-        node = Node(tag, self.at, self.at.dropped or is_boilerplate(tag, dict(attrs)))
+        node = Node(tag, self.at, boilerplate_rule(tag, dict(attrs)))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -140,10 +168,49 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def blocks(top: list) -> Iterator[tuple[Node, str]]:
-    """Text blocks below the given nodes in page order, each with the element it lies in."""
+def settle(root: Node, lenient: bool = False) -> None:
+    """Mark what is dropped.  Boilerplate that holds an article or main with
+    text, when none lies in the open, or most of the page's paragraph text
+    stays; reader comments, adverts and hidden parts only if no paragraph lies
+    elsewhere; ``lenient`` has no rules on forms and class names."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and c.rule != "hard")
+    for node in reversed(order):                               # articles: text in them; open: that outside boilerplate
+        below = [c for c in node.children if not isinstance(c, str) and c.rule != "hard"]
+        node.text = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(c.text for c in below)
+        node.links = node.text if node.tag == "a" else sum(c.links for c in below)
+        node.paragraphs = node.text if node.tag in PARAGRAPHS else sum(c.paragraphs for c in below)
+        node.articles = node.text if node.tag in ("article", "main") else sum(c.articles for c in below)
+        node.open = node.text if node.tag in ("article", "main") else sum(c.open for c in below if not c.rule)
+    stack = [(root, root, False)]
+    while stack:
+        node, scope, inside = stack.pop()
+        node.dropped = False
+        if node.rule and not (lenient and node.rule in ("form", "class", "topic", "comment")):
+            most = node.paragraphs * 2 > root.paragraphs
+            if node.rule in ("comment", "advert", "hidden"):
+                keep = 0 < node.paragraphs == root.paragraphs
+            elif node.articles and not scope.open:
+                keep = True
+            elif node.rule == "topic" and inside:
+                keep = node.paragraphs > 0 and node.links * 2 <= node.text
+            else:
+                keep = most and (inside or node.rule != "tag" or not scope.open)
+            if not keep:
+                node.dropped = True
+                continue
+            scope = node
+        inside = inside or node.tag in ("article", "main")
+        stack.extend((c, scope, inside) for c in node.children if not isinstance(c, str) and c.rule != "hard")
+
+
+def blocks(top: list, owner: Node | None = None) -> Iterator[tuple[Node, str]]:
+    """Text blocks below the given nodes in page order, each with the element
+    it lies in (``owner`` for text among the given nodes)."""
     words: list[str] = []
-    owner = None
     stack: list = list(reversed(top))
     while stack:
         item = stack.pop()
@@ -187,11 +254,43 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def fair_siblings(best: Node) -> list:
+    """The best container and what lies beside it and is not mostly links;
+    text and inline elements between two blocks count together."""
+    limit = max(10.0, best.score * SIBLING_SHARE)
+    kept, run = [], []
+
+    def close() -> None:
+        text = sum(len(c.strip()) if isinstance(c, str) else c.text for c in run)
+        if sum(c.links for c in run if not isinstance(c, str)) * 2 <= text or best in run:
+            kept.extend(run)
+        run.clear()
+    for c in best.parent.children:
+        if isinstance(c, str) or (c.tag in INLINE and not c.dropped):
+            run.append(c)
+            continue
+        close()
+        if not c.dropped and (c is best or c.score >= limit or c.links * 2 <= c.text):
+            kept.append(c)
+    close()
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, one line per block."""
     if not html:
         return ""
     root = parse(html)
+    settle(root)
+    text = text_of(root)
+    if not text:
+        settle(root, lenient=True)
+        text = text_of(root)
+    return text
+
+
+def text_of(root: Node) -> str:
+    """Main text of a tree with its dropped elements marked."""
     order = measure(root)
     scored: dict[int, Node] = {}
     for owner, text in blocks([root]):
@@ -212,15 +311,9 @@ def main_text(html: str | None) -> str:
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.parent
-    if node is not None:
-        kept = [node]
-    elif best.parent is None:
-        kept = [best]
-    else:
-        limit = max(10.0, best.score * SIBLING_SHARE)
-        kept = [c for c in best.parent.children if not isinstance(c, str) and not c.dropped and (
-            c is best or c.score >= limit or (c.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and c.links * 4 <= c.text))]
-    return "\n".join(text for _, text in blocks(kept))
+    if node is None and best.parent is not None:
+        return "\n".join(text for _, text in blocks(fair_siblings(best), best.parent))
+    return "\n".join(text for _, text in blocks([node or best]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -316,6 +316,27 @@ def test_html(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+def test_html_keeps_whole_text():
+    long, short = "One long paragraph, with a comma, and then some more words to read.", "A paragraph of one sentence without commas"
+    page = f"<article><p>{long}</p></article>"
+    for open_tag, end in [("<div class='content no-sidebar'>", "</div>"), ("<div id=page class=has-sidebar>", "</div>"),
+                          ("<form id=aspnetForm>", "</form>"), ("<div class=widget>", "</div>"), ("<div class=noSidebar>", "</div>")]:
+        assert html.main_text(open_tag + page + end) == long, open_tag
+        assert html.main_text(f"{open_tag}<div><p>{long}</p></div>{end}") == long, open_tag
+    assert html.main_text(f"<form>{page}<aside><article><p>{long} card</p></article></aside></form>") == long
+    assert html.main_text("<form><div>no paragraph element</div></form>") == "no paragraph element"
+    assert html.main_text(f"<article><p>{long}</p><section id=related-work><h2>Related work</h2><p>{short}</p></section></article>") == \
+        f"{long}\nRelated work\n{short}"
+    # still left out
+    links = "<a href=x>other page</a> <a href=y>next page</a>"
+    comment = f"<div class=comments><article><p>{long * 4}</p></article></div>"
+    assert html.main_text(f"{page}{comment}<section class=related>{links}</section><div class=sidebar><p>{short}</p></div>") == long
+    # every sibling that is no boilerplate and not mostly links
+    many = "".join(f"<p>{long}</p>" for _ in range(5))
+    got = html.main_text(f"<div>Lead text<section>{many}</section><section><p>{short}</p></section><ul><li>{links}</li></ul><div>End</div></div>")
+    assert got == "\n".join(["Lead text"] + [long] * 5 + [short, "End"])
+
+
 def test_oracles_match(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
