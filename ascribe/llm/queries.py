@@ -47,7 +47,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents tokenized into flat streams; their lengths found by the separator scan."""
+    """Documents tokenized into flat files; their lengths found by the separator scan."""
     blocks = token_scan.write_token_files(_table(spark, sf_dir, "documents"), scratch_path(spark, "token_files"))
     return token_scan.document_lengths(blocks)
 

@@ -2,7 +2,8 @@
 
 A token file is a bare run of fixed-width ids in which an end-of-document id
 closes each document; nothing tells where documents lie.  Files are read as
-blocks of fixed size, cut without regard to documents.  In each block a
+blocks of fixed size, cut without regard to documents; each block is a byte
+range that is read by itself, so the blocks of one file are spread over tasks.  In each block a
 vectorised search finds the end ids; a prefix scan over the blocks' small
 summaries (tokens, ends, place of the last end) gives every block its first
 token's place, its first document's number and the length carried into it, so
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,52 +35,73 @@ from .tokens import vocabulary_json, worker_tokenizer
 END_ID = 49407                 # <|endoftext|> of the default vocabulary
 BLOCK_TOKENS = 1 << 19
 STRETCH = 1024                 # blocks of a file that one window of the scan holds
+TASK_BYTES = 32 << 20          # bytes of token files that one task reads
 BLOCKS = "file_id bigint, block bigint, data binary"
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id: int = END_ID,
                       block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Tokenize documents into flat streams, one per task, stored at ``path``
-    as rows of raw little-endian 16-bit ids; no shuffle."""
+    """Tokenize documents into flat files of raw little-endian 16-bit ids, one
+    per task, in the folder ``path``, and return their blocks; no shuffle.
+    Spark's text writer puts out bytes as they are, with the end id as its
+    line separator."""
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(vocabulary_json(vocabulary_path))
-    arrow = pa.schema([("file_id", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
+    arrow = pa.schema([("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         tokenizer = worker_tokenizer(vocabulary.value, plain_specials=True)
-        file_id, block, waiting = TaskContext.get().partitionId(), 0, np.zeros(0, "<u2")
-
-        def out(ids: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file_id]), pa.array([block]), pa.array([ids.tobytes()], pa.binary())], schema=arrow)
         for batch in batches:
             for part in slices(batch):
                 ids, offsets = tokenizer.encode(part.column("text").to_pylist())
-                waiting = np.concatenate([waiting, np.insert(ids, offsets[1:], end_id).astype("<u2")])
-                while len(waiting) >= block_tokens:
-                    yield out(waiting[:block_tokens])
-                    waiting, block = waiting[block_tokens:], block + 1
-        if len(waiting):
-            yield out(waiting)
-    docs.select("text").mapInArrow(run, BLOCKS).write.mode("overwrite").parquet(path)
-    return spark.read.schema(BLOCKS).parquet(path)
+                ids = np.asarray(ids).astype("<u2")
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
+                                                 schema=arrow)
+    (docs.select("text").mapInArrow(run, "data binary").selectExpr("cast(data as string) value").write.mode("overwrite")
+     .option("lineSep", end_id.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path))
+    return blocks_of_files(spark, path, 2, block_tokens)
+
+
+def open_file(path: str):
+    """A file of a store that Spark and pyarrow both know, open for reads at any place."""
+    if "://" not in path and path.startswith("file:"):
+        path = path.removeprefix("file:")
+    if path.startswith("file://"):
+        path = path.removeprefix("file://")
+    if "://" not in path:
+        return pyarrow.fs.LocalFileSystem().open_input_file(path)
+    store, inner = pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return store.open_input_file(inner)
 
 
 def blocks_of_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of existing flat files (one row per file is read at a time, so
-    files should be shards of a bounded size; ``file_id`` is a hash of the path)."""
+    """Blocks of existing flat files; ``file_id`` is a hash of the path.  Spark
+    lists paths and lengths only; every block's byte range is read in the task
+    that its (path, block) falls to."""
     arrow = pa.schema([("file_id", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
     size = width * block_tokens
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, content in zip(batch.column("file_id").to_pylist(), batch.column("content")):
-                raw = memoryview(content.as_buffer())
-                for k in range(0, len(raw), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([file_id]), pa.array([k // size]),
-                                                      pa.array([bytes(raw[k:k + size])], pa.binary())], schema=arrow)
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file_id"), "content")
-    return files.mapInArrow(cut, BLOCKS)
+            at, file = None, None
+            for row in sorted(batch.to_pylist(), key=lambda r: (r["path"], r["block"])):
+                if row["path"] != at:
+                    if file is not None:
+                        file.close()
+                    at, file = row["path"], open_file(row["path"])
+                want = min(size, row["length"] - row["block"] * size)
+                raw = file.read_at(want, row["block"] * size)
+                if len(raw) != want:
+                    raise OSError(f"{at}: {len(raw)} of {want} bytes read in block {row['block']}")
+                yield pa.RecordBatch.from_arrays([pa.array([row["file_id"]]), pa.array([row["block"]]), pa.array([raw], pa.binary())], schema=arrow)
+            if file is not None:
+                file.close()
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    blocks = files.select(F.xxhash64("path").alias("file_id"), "path", "length",
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(length - 1) div {size}"))).alias("block"))
+    return blocks.repartition(tasks, "path", "block").mapInArrow(read, BLOCKS)
 
 
 def block_ends(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:

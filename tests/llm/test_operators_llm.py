@@ -246,6 +246,22 @@ def test_token_scan(spark, docs, rows, empty, tmp_path):
         assert (r.tokens_before, r.ends_before, r.open_from) == (10 * r.block, len(ends), 10 * ends[-1] + 5 if ends else 0)
 
 
+def test_token_files_are_flat_and_read_by_ranges(spark, docs, rows, tmp_path):
+    path = tmp_path / "files"
+    blocks = token_scan.write_token_files(docs, str(path), block_tokens=1000)
+    # bare ids: as many end ids as documents, each file ends with one
+    ids = [np.frombuffer(p.read_bytes(), "<u2") for p in path.glob("part-*") if p.stat().st_size]
+    assert sum(int((i == token_scan.END_ID).sum()) for i in ids) == len(rows) and all(i[-1] == token_scan.END_ID for i in ids)
+    assert sum(r.n for r in blocks.selectExpr("length(data) n").collect()) == 2 * sum(map(len, ids))
+    # one file's blocks lie in many partitions
+    flat = tmp_path / "one.bin"
+    flat.write_bytes((np.arange(40_000) % 40_000).astype("<u2").tobytes())
+    blocks = token_scan.blocks_of_files(spark, str(flat), block_tokens=500)
+    where = blocks.selectExpr("block", "spark_partition_id() p", "length(data) n").collect()
+    assert sorted(r.block for r in where) == list(range(80)) and {r.n for r in where} == {1000} and len({r.p for r in where}) > 1
+    assert "content" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
 def test_secret_scan(spark, docs, empty):
     got = {(r.starts_with, r.is_secret) for r in secrets.scan(docs).collect()}
     assert ("9f8e", True) in got and ("1234", False) in got
