@@ -77,6 +77,24 @@ def normalised_likelihood(seq: DataFrame, group, n_tokens: str = "n_tokens",
     return s.withColumn(out, F.col("_lik") / F.sum("_lik").over(Window.partitionBy(*group))).drop("_lik")
 
 
+def row_by_row(pdf: pd.DataFrame, call: Callable[[pd.DataFrame], list]) -> tuple[list, list]:
+    """``call(batch)`` (one value per row, in order) -> values and errors
+    per row.  When the batch fails its rows are called one by one, so only
+    the rows that fail themselves have no value."""
+    try:
+        return call(pdf), [None] * len(pdf)
+    except Exception:  # noqa: BLE001
+        values, errors = [], []
+        for i in range(len(pdf)):
+            try:
+                values += call(pdf.iloc[i:i + 1].reset_index(drop=True))
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001
+                values.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return values, errors
+
+
 SCORE_SCHEMA = T.StructType([
     T.StructField("trial_id", T.StringType()),
     T.StructField("probs", T.ArrayType(T.DoubleType())),
@@ -89,19 +107,20 @@ def score_options(trials: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFra
     """X3 + X7: run a caller-supplied batch scorer over the trials.
 
     ``scorer(pdf)`` receives a pandas batch with ``cols`` and returns
-    ``trial_id, probs (list of floats)``; an exception marks every row of
-    the batch as failed (``probs`` NULL, ``error`` set) instead of dropping
-    it.  Results are joined back by ``trial_id``, never by position.
+    ``trial_id, probs (list of floats)``; after an exception the batch's rows
+    are scored one by one, and a row that fails is marked (``probs`` NULL,
+    ``error`` set) instead of dropped.  Results are joined back by ``trial_id``, never by position.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def call(pdf: pd.DataFrame) -> list:
+            res = scorer(pdf)
+            if len(res) != len(pdf):
+                raise ValueError(f"scorer returned {len(res)} rows for {len(pdf)}")
+            return [(i, [float(x) for x in p] if p is not None else None) for i, p in zip(res["trial_id"], res["probs"])]
         for pdf in batches:
-            try:
-                res = scorer(pdf)
-                res = res.assign(error=None)[["trial_id", "probs", "error"]]
-            except Exception as e:  # noqa: BLE001
-                res = pd.DataFrame({"trial_id": pdf["trial_id"], "probs": None,
-                                    "error": f"{type(e).__name__}: {e}"})
-            yield res
+            got, errors = row_by_row(pdf, call)
+            yield pd.DataFrame({"trial_id": [t if g is None else g[0] for g, t in zip(got, pdf["trial_id"])],
+                                "probs": [None if g is None else g[1] for g in got], "error": errors})
     return trials.select(*cols).mapInPandas(run, SCORE_SCHEMA)
 
 
@@ -116,21 +135,20 @@ def score_column(scorer: Callable[[pd.DataFrame], list], **cols: Column) -> Colu
     calls ``scorer(pdf)`` with the named input columns of a batch and expects
     one probability list per row, in batch order (the pandas-UDF contract).
     The result stays in the row it was computed for, so no re-attachment
-    join is needed; a failing batch yields ``probs`` NULL and the error.
+    join is needed; a failing row yields ``probs`` NULL and the error.
     """
     names = list(cols)
 
     @F.pandas_udf(SCORED)
     def _score(*series: pd.Series) -> pd.DataFrame:
         pdf = pd.concat([s_.rename(n) for n, s_ in zip(names, series)], axis=1)
-        try:
-            probs = [list(map(float, p)) for p in scorer(pdf)]
-            if len(probs) != len(pdf):
-                raise ValueError(f"scorer returned {len(probs)} rows for {len(pdf)}")
-            return pd.DataFrame({"probs": probs, "error": [None] * len(pdf)})
-        except Exception as e:  # noqa: BLE001
-            return pd.DataFrame({"probs": [None] * len(pdf),
-                                 "error": [f"{type(e).__name__}: {e}"] * len(pdf)})
+        def call(part: pd.DataFrame) -> list:
+            probs = [list(map(float, p)) for p in scorer(part)]
+            if len(probs) != len(part):
+                raise ValueError(f"scorer returned {len(probs)} rows for {len(part)}")
+            return probs
+        probs, errors = row_by_row(pdf, call)
+        return pd.DataFrame({"probs": probs, "error": errors})
 
     return _score(*[cols[n] for n in names])
 
@@ -147,14 +165,14 @@ def generate(trials: DataFrame, generator: Callable[[pd.DataFrame], pd.Series],
     """A caller-supplied text generator (local model or remote
     client) over Arrow batches; failures are kept with their error."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def call(pdf: pd.DataFrame) -> list:
+            out = list(generator(pdf))
+            if len(out) != len(pdf):
+                raise ValueError(f"generator returned {len(out)} rows for {len(pdf)}")
+            return out
         for pdf in batches:
-            try:
-                out = pd.DataFrame({"trial_id": pdf["trial_id"], "response": list(generator(pdf)),
-                                    "error": None})
-            except Exception as e:  # noqa: BLE001
-                out = pd.DataFrame({"trial_id": pdf["trial_id"], "response": None,
-                                    "error": f"{type(e).__name__}: {e}"})
-            yield out
+            out, errors = row_by_row(pdf, call)
+            yield pd.DataFrame({"trial_id": pdf["trial_id"], "response": out, "error": errors})
     return trials.select(*cols).mapInPandas(run, GEN_SCHEMA)
 
 
@@ -166,20 +184,19 @@ GENERATED = T.StructType([
 
 def generate_column(generator: Callable[[pd.DataFrame], list], **cols: Column) -> Column:
     """X4 / X6 as a column: a pandas UDF calling ``generator(pdf)`` on each
-    Arrow batch (one text per row, batch order); a failing batch yields NULL
-    responses with the error kept."""
+    Arrow batch (one text per row, batch order); a failing row yields a NULL
+    response with the error kept."""
     names = list(cols)
 
     @F.pandas_udf(GENERATED)
     def _gen(*series: pd.Series) -> pd.DataFrame:
         pdf = pd.concat([s_.rename(n) for n, s_ in zip(names, series)], axis=1)
-        try:
-            out = [None if r is None else str(r) for r in generator(pdf)]
-            if len(out) != len(pdf):
-                raise ValueError(f"generator returned {len(out)} rows for {len(pdf)}")
-            return pd.DataFrame({"response": out, "error": [None] * len(pdf)})
-        except Exception as e:  # noqa: BLE001
-            return pd.DataFrame({"response": [None] * len(pdf),
-                                 "error": [f"{type(e).__name__}: {e}"] * len(pdf)})
+        def call(part: pd.DataFrame) -> list:
+            out = [None if r is None else str(r) for r in generator(part)]
+            if len(out) != len(part):
+                raise ValueError(f"generator returned {len(out)} rows for {len(part)}")
+            return out
+        out, errors = row_by_row(pdf, call)
+        return pd.DataFrame({"response": out, "error": errors})
 
     return _gen(*[cols[n] for n in names])

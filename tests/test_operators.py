@@ -208,6 +208,35 @@ def test_score_options_keeps_failures(spark):
     assert len(failed) == 2 and all(r["probs"] is None and "model down" in r["error"] for r in failed)
 
 
+def test_only_failing_rows_fail(spark):
+    df = spark.range(50, numPartitions=1).selectExpr("concat('t', id) trial_id", "concat('p', id) prompt", "array('a', 'b') options")
+
+    def check(pdf):
+        if (pdf["prompt"] == "p7").any():
+            raise RuntimeError("row 7")
+
+    def table(pdf):
+        check(pdf)
+        return pd.DataFrame({"trial_id": pdf["trial_id"], "probs": [[0.5, 0.5]] * len(pdf)})
+
+    def column(pdf):
+        check(pdf)
+        return [[0.5, 0.5]] * len(pdf)
+
+    def texts(pdf):
+        check(pdf)
+        return list(pdf["prompt"] + "!")
+    made = [S.score_options(df, table).selectExpr("trial_id", "probs is null bad", "error"),
+            df.select("trial_id", S.score_column(column, prompt=F.col("prompt")).alias("r")).selectExpr("trial_id", "r.probs is null bad", "r.error"),
+            S.generate(df, texts).selectExpr("trial_id", "response is null bad", "error"),
+            df.select("trial_id", S.generate_column(texts, prompt=F.col("prompt")).alias("r"))
+            .selectExpr("trial_id", "r.response is null bad", "r.error")]
+    for out in made:
+        rows = out.collect()
+        assert len(rows) == 50 and {r["trial_id"] for r in rows if r["bad"]} == {"t7"}
+        assert {r["trial_id"]: r["error"] for r in rows if r["error"]} == {"t7": "RuntimeError: row 7"}
+
+
 def test_resume_twice_equals_once(spark):
     work = spark.range(100).withColumnRenamed("id", "k")
     ledger = spark.range(30).withColumnRenamed("id", "k")
