@@ -158,6 +158,26 @@ def grid_complete(t):
     return round_doubles(out)
 
 
+@register("grid_complete_modes", with_trials(f"""
+, g AS (SELECT mode, gender, nationality, {_opt_avgs()} FROM trials GROUP BY mode, gender, nationality),
+grid AS (SELECT md.mode, gd.gender, nt.nationality FROM (SELECT DISTINCT mode FROM trials) md,
+                (SELECT DISTINCT gender FROM trials) gd, (SELECT DISTINCT nationality FROM trials) nt)
+SELECT grid.mode, grid.gender, grid.nationality,
+       CASE WHEN g.gender IS NULL THEN 0.0 ELSE g.opt1 END AS opt1,
+       CASE WHEN g.gender IS NULL THEN 0.0 ELSE g.opt2 END AS opt2,
+       CASE WHEN g.gender IS NULL THEN 0.0 ELSE g.opt3 END AS opt3,
+       CASE WHEN g.gender IS NULL THEN 0.0 ELSE g.opt4 END AS opt4
+FROM grid LEFT JOIN g ON grid.mode = g.mode AND grid.gender = g.gender AND grid.nationality = g.nationality
+"""))
+def grid_complete_modes(t):
+    """A3 + J10 over all trials: means by (mode, gender, nationality) over the
+    full grid, 0 for cells without trials."""
+    keys = ["mode", "gender", "nationality"]
+    s = materialize(_partial_means(people_partials(t, C_COLS), keys))      # small; read four times below
+    out = stats.complete_grid(s, [s.select(k).distinct() for k in keys], keys, OPT_NAMES)
+    return round_doubles(out)
+
+
 @register("means_grouping_sets", with_trials(f"""
 SELECT mode, gender, nationality,
        CAST(grouping(mode) AS INTEGER) AS g_mode, CAST(grouping(gender) AS INTEGER) AS g_gender,

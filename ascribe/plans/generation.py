@@ -10,6 +10,7 @@ from ..operators import generate as G
 from ..operators.options import shuffle_texts
 from ..operators.trials import TRIAL_KEY, option_key, trial_id
 from ..schemas import GLOBAL_SEED, SECOND_NAME
+from ..session import materialize
 from ..sources import names as N
 from .registry import register
 from .sql import KEY_CASE, TRIALS
@@ -239,6 +240,20 @@ def name_flatten(t):
         "block", "nationality", "gender", "name_ord", "name")
 
 
+@register("name_flatten_whole", """
+WITH nm AS (SELECT c.c_custkey, c.c_name AS name, n.n_name AS nationality,
+              CASE WHEN c.c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT nationality, gender,
+       CAST(row_number() OVER (PARTITION BY nationality, gender ORDER BY c_custkey) - 1 AS BIGINT) AS name_ord, name
+FROM nm
+""")
+def name_flatten_whole(t):
+    """S2 + F6: names numbered over the whole (nationality, gender) list,
+    however the documents cut it into blocks."""
+    return N.number_names(materialize(N.flatten_names(N.name_documents(G.names(t)), "doc", extra=["block"]), "names"))
+
+
 @register("prompt_head", f"""
 WITH lib AS (SELECT doc_id, source AS domain,
                     CASE WHEN doc_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender,

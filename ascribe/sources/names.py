@@ -6,13 +6,14 @@ with ``explode`` / ``posexplode``; nothing is parsed in Python.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.stats import top_k_per_group
 from ..schemas import raw_template_schema
 
 BLOCK = 20                               # names per generated dictionary document
+STRETCH = 1000                           # blocks numbered in one window
 SHORT_CHARS = 2000                       # prompts shorter than this are "short"
 ALLOWED_DOMAINS = ["src0", "src1", "src2"]
 
@@ -58,6 +59,22 @@ def flatten_names(docs: DataFrame, col: str = "doc", extra=()) -> DataFrame:
     return c.withColumn("name_ord", F.col("name_ord").cast("bigint"))
 
 
+def number_names(flat: DataFrame) -> DataFrame:
+    """``flat`` (block, nationality, gender, name_ord, name) with ``name_ord``
+    running over all blocks of a (nationality, gender) list.  Windows run over
+    names per block only, within stretches of STRETCH blocks and over those."""
+    keys = ["nationality", "gender"]
+
+    def before(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    sizes = flat.groupBy(*keys, "block").agg(F.count("*").alias("_n")).withColumn("_s", F.floor(F.col("block") / STRETCH))
+    inner = before(sizes, [*keys, "_s"], "block", "_in").drop("_n")
+    outer = before(sizes.groupBy(*keys, "_s").agg(F.sum("_n").alias("_n")), keys, "_s", "_out").drop("_n")
+    places = inner.join(outer, [*keys, "_s"]).select(*keys, "block", (F.col("_in") + F.col("_out")).alias("_before"))
+    return flat.join(places, [*keys, "block"]).select(*keys, (F.col("name_ord") + F.col("_before")).alias("name_ord"), "name")
+
+
 def flatten_irregular_names(docs: DataFrame, allowed_top, allowed_sub, col: str = "doc") -> DataFrame:
     """S3 + P9 + P16: dictionaries of depth 2 (region -> Gender -> names) or 3
     (region -> subregion -> Gender -> names).  The second level is kept as raw

@@ -47,3 +47,14 @@ def test_one_trial_of_the_view_gives_one_prompt(spark, sf_dir):
     df = Q["prompt_render"](spark, sf_dir)
     assert df.count() == lines
     assert str(df._jdf.queryExecution().executedPlan()).count("md5(") <= 4
+
+
+def test_grid_over_all_trials_and_names_over_whole_lists(spark, sf_dir):
+    grid = Q["grid_complete_modes"](spark, sf_dir).select("mode", "gender", "nationality").collect()
+    assert {r["mode"] for r in grid} == {"Success", "Failure"}
+    assert len(grid) == len(set(grid)) == len({r["mode"] for r in grid}) * len({r["gender"] for r in grid}) * len({r["nationality"] for r in grid})
+    ords = {}
+    for r in Q["name_flatten_whole"](spark, sf_dir).collect():
+        ords.setdefault((r["nationality"], r["gender"]), []).append(r["name_ord"])
+    assert all(sorted(v) == list(range(len(v))) for v in ords.values()) and sum(map(len, ords.values())) == \
+        spark.read.parquet(f"{sf_dir}/customer.parquet").count()
