@@ -40,8 +40,7 @@ VOCABULARY = "piece_bpe_32k.model"
 PER_LANGUAGE = 1000            # labelled documents that are learned from, per language
 STEPS = 4                      # EM steps
 SMOOTH = 0.01                  # pseudo-count of every piece
-LONGEST_PIECE = 12             # characters; longer pieces are left out
-LONGEST_WORD = 40              # longer runs are scored as pieces of this length, one after another
+LONG_WORD = 40                 # longer words are summed in log space, where products do not underflow
 KNOWN_WORDS = 400_000          # words whose scores a worker keeps; beyond that it starts anew
 MARK = "▁"                # word start, as the vocabulary writes it
 
@@ -58,18 +57,12 @@ def vocabulary(path: str | None = None) -> list[str]:
     from .tokens import vocabulary_path
     sp = sentencepiece.SentencePieceProcessor(model_file=path or vocabulary_path(VOCABULARY))
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and (core := p.removeprefix(MARK)) and core.isalpha())
+    return sorted(p for p in pieces if (core := p.removeprefix(MARK)) and core.isalpha())
 
 
 def words_in(text: str) -> list[str]:
-    """Lower-case letter runs with the word-start mark; a very long run is cut."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        if len(w) <= LONGEST_WORD:
-            out.append(MARK + w)
-        else:
-            out += [(MARK if i == 0 else "") + w[i:i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    """Lower-case letter runs with the word-start mark."""
+    return [MARK + w for w in _LETTERS.findall(text.lower())]
 
 
 class PieceModel:
@@ -80,6 +73,7 @@ class PieceModel:
         self.index = {p: i for i, p in enumerate(pieces)}
         self.table = table
         self.other = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
 
     def spans(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end, the (start, piece) that can come last; the mark is never a piece alone."""
@@ -89,7 +83,7 @@ class PieceModel:
         for start in range(n):
             if start == first == 1:
                 continue                                # the first piece starts at the mark
-            for end in range(start + 1 + (first if start == 0 else 0), min(n, start + LONGEST_PIECE) + 1):
+            for end in range(start + 1 + (first if start == 0 else 0), min(n, start + max(self.longest, 2)) + 1):
                 piece = get(word[start:end])
                 if piece is not None:
                     out[end].append((start, piece))
@@ -106,13 +100,19 @@ class PieceModel:
         alike: dict[tuple[int, int], list[int]] = {}
         for k, w in enumerate(words):
             alike.setdefault((len(w), int(w[0] == MARK)), []).append(k)
+        longest = max(self.longest, 2)                  # a mark with a character outside the vocabulary
+        with np.errstate(divide="ignore"):
+            logs = np.log(table) if any(n > LONG_WORD + 1 for n, _ in alike) else None
         for (n, first), rows in alike.items():
             own = [words[k] for k in rows]
+            if n > LONG_WORD + 1:
+                out[rows] = np.maximum(self._long(own, n, first, logs, longest), -1e300)
+                continue
             alpha: list = [None] * (n + 1)
             alpha[0] = np.ones((len(own), self.table.shape[1]))
             for end in range(1 + first, n + 1):
                 total = np.zeros_like(alpha[0])
-                for start in range(max(0, end - LONGEST_PIECE), end):
+                for start in range(max(0, end - longest), end):
                     if start == first == 1:
                         continue                        # the first piece starts at the mark
                     default = self.other if end - start == 1 + (first if start == 0 else 0) else none
@@ -122,8 +122,49 @@ class PieceModel:
             out[rows] = np.log(np.maximum(alpha[n], 1e-300))
         return out
 
+    def _long(self, own: list[str], n: int, first: int, logs: np.ndarray, longest: int) -> np.ndarray:
+        """The forward algorithm of words of length ``n`` in log space; only
+        the places that a piece can start at are kept."""
+        get, none = self.index.get, len(logs) - 1
+        alpha = {0: np.zeros((len(own), logs.shape[1]))}
+        for end in range(1 + first, n + 1):
+            total = np.full_like(alpha[max(alpha)], -np.inf)
+            for start in range(max(0, end - longest), end):
+                if start not in alpha:
+                    continue
+                default = self.other if end - start == 1 + (first if start == 0 else 0) else none
+                pieces = [get(w[start:end], default) for w in own]
+                if any(k != none for k in pieces):
+                    total = np.logaddexp(total, alpha[start] + logs[pieces])
+            alpha[end] = total
+            alpha.pop(end - longest, None)
+        return alpha[n]
+
+    def _expected_long(self, word: str, language: int) -> dict[int, float]:
+        """``expected`` in log space."""
+        with np.errstate(divide="ignore"):
+            p = np.log(self.table[:, language])
+        spans, n = self.spans(word), len(word)
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0.0
+        for end in range(1, n + 1):
+            if spans[end]:
+                alpha[end] = np.logaddexp.reduce([alpha[s] + p[k] for s, k in spans[end]])
+        for end in range(n, 0, -1):
+            for s, k in spans[end]:
+                beta[s] = np.logaddexp(beta[s], beta[end] + p[k])
+        out: dict[int, float] = {}
+        if np.isfinite(alpha[n]):
+            for end in range(1, n + 1):
+                for s, k in spans[end]:
+                    if (c := float(np.exp(alpha[s] + p[k] + beta[end] - alpha[n]))) > 0:
+                        out[k] = out.get(k, 0.0) + c
+        return out
+
     def expected(self, word: str, language: int) -> dict[int, float]:
         """Forward-backward: expected count of each piece in one language."""
+        if len(word) > LONG_WORD + 1:
+            return self._expected_long(word, language)
         p, spans, n = self.table[:, language], self.spans(word), len(word)
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
         alpha[0] = beta[n] = 1.0

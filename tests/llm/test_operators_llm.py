@@ -311,6 +311,21 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(counts[4] + counts[3], 1.0)
 
 
+def test_long_pieces_and_words_are_summed():
+    assert {"configuration", "authentication"} <= {p.removeprefix(langid.MARK) for p in langid.vocabulary()}
+    assert langid.words_in("x" * 90) == [langid.MARK + "x" * 90]
+    # a piece across the 40th character; against the plain product recursion
+    mark, pieces, p = langid.MARK, ["a", "aa", "aaaaaaaaaaaaaaa", langid.MARK + "a"], [.3, .2, .1, .25]
+    model, n = langid.PieceModel(pieces, np.array([[v] for v in [*p, .01]])), 60
+    alpha = [0.0, p[3]]                                         # by letters; the first piece has the mark
+    for k in range(2, n + 1):
+        alpha.append(sum(alpha[k - size] * v for size, v in ((1, .3), (2, .2), (15, .1)) if k - size >= 1))
+    assert np.allclose(model.log_probabilities([mark + "a" * n]), np.log(alpha[n]))
+    counts = model.expected(mark + "a" * n, 0)
+    assert np.isclose(counts[3], 1.0) and np.isclose(counts[0] + 2 * counts[1] + 15 * counts[2], n - 1)
+    assert np.isfinite(model.log_probabilities([mark + "a" * 8000])).all() and model.log_probabilities([mark + "a" * 8000])[0, 0] < -700
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Menu</a></nav><article><h1>T</h1><p>One,  two &amp; three<br>four.<p><b>Bold</b> text&nbsp;here"
      "</article><div class='comments'><p>Nice, very nice post, thanks a lot for it, really, all of you.</p></div><footer>f</footer>",
