@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import exact, html, langid, mixing, ngram_join, packing, quality, secrets, substring, token_scan
+from . import exact, html, langid, mixing, ngram_join, packing, periodic, quality, secrets, substring, token_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one in ten made periodic on purpose."""
+    return periodic.digests(periodic.find_runs(periodic.plant(_table(spark, sf_dir, "documents"))))
