@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import exact, html, langid, mixing, ngram_join, packing, periodic, quality, secrets, substring, token_scan
+from . import exact, html, langid, merkle, mixing, ngram_join, packing, periodic, quality, secrets, substring, token_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,56 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, one in ten made periodic on purpose."""
     return periodic.digests(periodic.find_runs(periodic.plant(_table(spark, sf_dir, "documents"))))
+
+
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda z: 0::BIGINT),
+        lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL, beside a row of ``_CRC_TABLE``."""
+    return f"""xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT),
+        lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _merkle_sql(levels: int = 9) -> str:
+    """SQL of operator 13: the tree's levels and the fold up written out, for at most 16 ** levels rows."""
+    def leaf(text: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in fields) + ")"
+
+    def tree(name: str, base: str) -> list[str]:
+        parts = [f"{name}0 AS ({base})"]
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} AS (SELECT tree, r // 16 AS r, (max(n) + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY r)) AS d
+                FROM {name}{k} WHERE n > 1 GROUP BY tree, r // 16)""")
+            parts.append(f"""{name}s{k} AS (SELECT a.tree, a.r, coalesce(string_agg(b.d, '' ORDER BY b.r) FILTER (b.r < a.r), '') AS l,
+                coalesce(string_agg(b.d, '' ORDER BY b.r) FILTER (b.r > a.r), '') AS g
+                FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.r // 16 = b.r // 16 WHERE a.n > 1 GROUP BY a.tree, a.r)""")
+        parts.append(f"{name}top AS (" + " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+        return parts
+
+    changed = "CASE WHEN doc_id IS NOT NULL AND picked THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    parts = [f"""x AS (SELECT doc_id, {leaf('text')} AS leaf, {leaf(changed)} AS changed,
+            coalesce('=' || source, '-') AS tree
+            FROM (SELECT *, {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 AS picked FROM documents, {_CRC_TABLE}))""",
+             "y AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY tree) AS n FROM x)",
+             *tree("a", "SELECT tree, r, n, leaf AS d FROM y"),
+             "t AS (SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS r, count(*) OVER () AS n FROM atop)",
+             *tree("b", "SELECT 0 AS tree, r, n, d FROM t"),
+             "f0 AS (SELECT doc_id, leaf, tree, r AS i, changed AS c, '' AS p FROM y)"]
+    for k in range(levels):
+        parts.append(f"""f{k + 1} AS (SELECT doc_id, leaf, f.tree, i // 16 AS i, CASE WHEN s.l IS NULL THEN c ELSE sha256(s.l || c || s.g) END AS c,
+            CASE WHEN s.l IS NULL THEN p ELSE p || s.l || s.g END AS p FROM f{k} f LEFT JOIN as{k} s ON f.tree = s.tree AND f.i = s.r)""")
+    parts.append(f"g0 AS (SELECT doc_id, leaf, t.d AS subroot, t.r AS i, c, p FROM f{levels} f JOIN t ON f.tree = t.tree)")
+    for k in range(levels):
+        parts.append(f"""g{k + 1} AS (SELECT doc_id, leaf, subroot, i // 16 AS i, CASE WHEN s.l IS NULL THEN c ELSE sha256(s.l || c || s.g) END AS c,
+            CASE WHEN s.l IS NULL THEN p ELSE p || s.l || s.g END AS p FROM g{k} g LEFT JOIN bs{k} s ON g.i = s.r)""")
+    return (f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, (SELECT d FROM btop) AS root, sha256(p) AS proof_sha256, c AS folded_root, "
+            f"c = (SELECT d FROM btop) AS verified FROM g{levels}")
+
+
+@query(_merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the dataset's Merkle manifest, and whether it still holds after tampering."""
+    return merkle.verify_tampering(_table(spark, sf_dir, "documents"))
