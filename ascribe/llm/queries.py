@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import exact, html, langid, merkle, mixing, ngram_join, packing, periodic, quality, secrets, substring, token_scan
+from . import decontaminate, exact, html, langid, merkle, mixing, ngram_join, packing, periodic, quality, secrets, substring, token_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,6 +99,33 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(periodic.plant(_table(spark, sf_dir, "documents"))))
 
 
+@query(r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    s AS (SELECT item_id, least(len(w), 10) AS n, len(w) AS m, unnest(w) AS p, unnest(range(len(w))) AS i, row_number() OVER () AS k
+          FROM b WHERE len(w) > 0),
+    u AS (SELECT item_id, n, m, i, array_to_string([p, lead(p, 1) OVER o, lead(p, 2) OVER o, lead(p, 3) OVER o, lead(p, 4) OVER o, lead(p, 5) OVER o, lead(p, 6) OVER o, lead(p, 7) OVER o, lead(p, 8) OVER o, lead(p, 9) OVER o][1:n], ' ') AS x
+          FROM s WINDOW o AS (PARTITION BY k ORDER BY i)),
+    t AS (SELECT DISTINCT item_id, n, x FROM u WHERE i + n <= m),
+    e AS (SELECT rid, len(w) AS m, unnest(w) AS p, unnest(range(len(w))) AS i FROM d),
+    v AS (SELECT rid, m, i, [p, lead(p, 1) OVER o, lead(p, 2) OVER o, lead(p, 3) OVER o, lead(p, 4) OVER o, lead(p, 5) OVER o, lead(p, 6) OVER o, lead(p, 7) OVER o, lead(p, 8) OVER o, lead(p, 9) OVER o] AS ws FROM e WINDOW o AS (PARTITION BY rid ORDER BY i)),
+    f AS (SELECT rid, n, i, array_to_string(ws[1:n], ' ') AS x FROM v, (SELECT DISTINCT n FROM t) WHERE i + n <= m),
+    h AS (SELECT DISTINCT rid, i, n, item_id FROM f JOIN t USING (n, x)),
+    c AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid),
+    g AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (rid) LEFT JOIN g USING (rid)
+""")
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of benchmark items."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "n_hit > 0 AS contaminated")
+
+
 _CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda z: 0::BIGINT),
         lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)"""
 
