@@ -113,7 +113,8 @@ def build_manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree: str
     leaves = materialize(ranked(leaves, "tree", ["doc_id", "leaf"], "rank"), "ranked")
     levels, tops = build(leaves.select("tree", "rank", F.col("leaf").alias("digest")))
     trees = materialize(ranked(tops, None, ["tree"], "tree_rank"), "trees")
-    above, root = build(trees.select(F.lit(0).alias("tree"), F.col("tree_rank").alias("rank"), F.col("top").alias("digest")))
+    subroots = materialize(trees.select(F.lit(0).alias("tree"), F.col("tree_rank").alias("rank"), F.col("top").alias("digest")), "subroots")
+    above, root = build(subroots)
     records = None
     for level in levels + above:
         part = level.select("digest", "children")
