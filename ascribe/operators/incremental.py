@@ -1,7 +1,7 @@
 """Incremental batch runs: ledger, pending work, next batch, merge
 (J5, T1, U4, U6, A15, O2).
 
-The ledger is the results table itself; the pending set is a left anti join
+The ledger is a stored table of committed batches (``sources.ledger``); the pending set is a left anti join
 on the full trial key (never on a partial key such as (set, name), which
 would skip distinct trials that share a name).
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import ledger
+
 
 def processed_keys(ledger: DataFrame, keys) -> DataFrame:
     """The distinct key set of the ledger."""
@@ -44,7 +46,13 @@ def merge(old: DataFrame, new: DataFrame, keys) -> DataFrame:
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
-def ledger_mark(df: DataFrame, bound: str, key: str) -> DataFrame:
-    """Rows whose md5(key) sorts below ``bound``: a deterministic stand-in for
-    "already processed" used by the examples and tests."""
-    return df.filter(F.md5(F.col(key).cast("string")) < F.lit(bound))
+def run_batch(work: DataFrame, path: str, keys, order, n: int, batch: int | None = None) -> int:
+    """T1 + S12: one bounded step of a resumable run.  The next n items that
+    the ledger at ``path`` lacks are recorded as one batch; returns its number.
+    A step killed before its commit is repeated by the next call under the
+    same number; ``batch`` repeats a given one (a no-op once committed)."""
+    spark = work.sparkSession
+    batch = ledger.next_id(spark, path) if batch is None else batch
+    todo = next_batch(pending(work, ledger.read_ledger(spark, path, work.schema), keys), order, n)
+    ledger.record(todo, path, batch)
+    return batch

@@ -1,4 +1,4 @@
-"""Result tables: CSV scan, literal decoding, ledgers and sinks."""
+"""Result tables: CSV scan, literal encoding and decoding, sinks."""
 
 from __future__ import annotations
 
@@ -33,17 +33,6 @@ def failed_side_table(scored: DataFrame, score_col: str, reason: Column) -> tupl
     return ok, failed
 
 
-def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Processed-rows ledger; an empty DataFrame with the schema when the
-    ledger does not exist yet (first run)."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001 - missing path on the first run
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-
-
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=("mode",),
                 fmt: str = "parquet") -> None:
     """S9-S11 + S15: overwrite / append a result table, partitioned by

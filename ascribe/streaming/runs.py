@@ -1,25 +1,35 @@
 """Resumable, exactly-once incremental runs on Structured Streaming.
 
-Each run reads new files of a table as a stream, keeps its progress under
-``<run>/checkpoint`` and its result under ``<run>/out``, where ``run`` is a
-folder the caller names in the cluster's shared storage.  A second call with
-the same folder resumes: it works off what is new and redoes or duplicates
-nothing.  Without a folder a fresh one in ``spark.checkpoint.dir`` is used.
-A run ends when its input is worked off, however long that takes.
+Each run reads new files of a table as a stream and keeps everything about
+itself in the folder ``run``, which the caller names in the cluster's shared
+storage: progress under ``run/*-checkpoint``, results as ledgers
+(``sources.ledger``), one batch per epoch.  A second call with the same folder
+resumes: it works off what is new and redoes or duplicates nothing.  Without a
+folder a fresh one in ``spark.checkpoint.dir`` is used.  A run ends when its
+input is worked off, however long that takes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from ..sources import ledger
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STOPPED = "stopped before epoch"
 
 
-def file_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table (file or folder) as a stream; T2: at most so many files
-    per batch, all that is new without a number.
+def file_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int | None = None,
+                max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """A parquet table (file or folder) as a stream; T2: at most so many files,
+    or files of so many bytes together, per batch; all that is new without a number.
 
     A pattern matches a folder as well as a single file, on any store, so the
     path need not be looked at.
@@ -29,9 +39,17 @@ def file_stream(spark: SparkSession, table_path: str, max_files_per_trigger: int
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return reader.parquet(f"{head}/[{name[0]}]{name[1:]}")
 
 
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a table's files."""
+    files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.sum("file_size")).first()[0] or 0
+
+
 def _finish(query) -> None:
     query.awaitTermination()
     if query.exception() is not None:
@@ -54,70 +72,108 @@ def run_append(stream: DataFrame, out_path: str, ckpt_path: str, processing_time
     _finish(w.trigger(availableNow=True).start())
 
 
-def read_epochs(spark: SparkSession, out_path: str, schema) -> DataFrame:
-    """The result of the newest complete epoch; an epoch folder counts once its write is committed."""
-    rows = spark.read.schema(schema).parquet(out_path)
-    return rows.where(F.col("epoch") == rows.agg(F.max("epoch")).scalar()).drop("epoch")
-
-
-def run_complete(stream: DataFrame, out_path: str, ckpt_path: str) -> None:
-    """A running aggregate in complete mode.  Each epoch is written to a
-    folder of its own, so a retried epoch is idempotent and a crash leaves the
-    epoch before it readable."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={batch_id:012d}")
-
-    _finish(stream.writeStream.outputMode("complete").foreachBatch(sink)
-            .option("checkpointLocation", ckpt_path).trigger(availableNow=True).start())
-
-
-def resume_stream(spark: SparkSession, work_path: str, ledger: DataFrame, keys,
-                  name: str = "resume", run: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """S12 + T1-T3: stream the work table, skip keys already in the ledger
-    (stream-static left anti join), append the rest exactly once.  The
-    ledger's distinct keys are written once per run and reused by its batches."""
-    run = run or scratch_path(spark, name)
-    known = f"{run}/known"
-    ledger.select(*keys).dropDuplicates(list(keys)).write.mode("ignore").parquet(known)
-    pending = file_stream(spark, work_path, max_files_per_trigger).join(
-        spark.read.schema(ledger.select(*keys).schema).parquet(known), list(keys), "left_anti")
-    run_append(pending, f"{run}/out", f"{run}/checkpoint")
-    return spark.read.schema(pending.schema).parquet(f"{run}/out")
-
-
-def dedup_stream(spark: SparkSession, stream: DataFrame, keys, name: str = "dedup", run: str | None = None) -> DataFrame:
-    """T5: drop re-delivered rows by key, however late they come: each batch
-    is made distinct and joined against the keys in the result, not against
-    state with a time limit.  A batch writes a folder of its own and leaves its own
-    folder out of the comparison, so a retry repeats it exactly."""
-    run = run or scratch_path(spark, name)
-    out, schema, keys = f"{run}/out", stream.schema, list(keys)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        if batch_id > 0:
-            done = session.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, batch bigint").parquet(out)
-            new = new.join(done.where(F.col("batch") < batch_id).select(*keys), keys, "left_anti")
-        new.select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    _finish(stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{run}/checkpoint")
-            .trigger(availableNow=True).start())
-    return spark.read.schema(schema).parquet(out)
+def run_epochs(stream: DataFrame, path: str, ckpt_path: str, step: Callable[[DataFrame, int], DataFrame] | None = None,
+               mode: str = "append", stop_before: int | None = None) -> bool:
+    """Every epoch's rows, after ``step``, recorded as one batch of the
+    ledger at ``path``.  An epoch that was recorded but not yet marked in the
+    checkpoint is run again and adds nothing.  ``stop_before`` ends the run in
+    the middle, as a lost driver would; returns whether it ran to its end."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        if stop_before is not None and epoch >= stop_before:
+            raise RuntimeError(f"{STOPPED} {epoch}")
+        ledger.record(step(batch, epoch) if step else batch, path, epoch)
+
+    query = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", ckpt_path).trigger(availableNow=True).start())
+    try:
+        _finish(query)
+    except StreamingQueryException as e:
+        if stop_before is None or STOPPED not in str(e):
+            raise
+        return False
+    return True
+
+
+def resume_stream(spark: SparkSession, work_path: str, earlier: DataFrame, keys, columns=None, run: str | None = None,
+                  name: str = "resume", max_bytes_per_trigger: int | None = None, stop_before: int | None = None) -> DataFrame:
+    """S12 + T1-T3: stream the work table in bounded epochs, skip keys that an
+    ``earlier`` ledger holds, record the rest exactly once.  The earlier keys
+    are written once per run, so a restart skips the same ones."""
+    run, keys = run or scratch_path(spark, name), list(keys)
+    ledger.record(earlier.select(*keys).dropDuplicates(keys), f"{run}/known", 0)
+    known = ledger.read_ledger(spark, f"{run}/known", earlier.select(*keys).schema)
+    stream = file_stream(spark, work_path, max_bytes_per_trigger=max_bytes_per_trigger)
+    stream = stream.select(*columns) if columns else stream
+    run_epochs(stream, f"{run}/out", f"{run}/out-checkpoint", lambda batch, _: batch.join(known, keys, "left_anti"),
+               stop_before=stop_before)
+    return ledger.read_ledger(spark, f"{run}/out", stream.schema)
+
+
+def split_late(stream: DataFrame, run: str, event_time: str, delay: str) -> None:
+    """Deal a stream's rows into the ledgers ``run/on-time`` and ``run/late``.
+    A row is late when it lies more than ``delay`` before the newest event time
+    of the epochs before its own, or has no event time."""
+    spark = stream.sparkSession
+    seen = T.StructType([T.StructField("newest", stream.schema[event_time].dataType)])
+
+    def route(batch: DataFrame, epoch: int) -> DataFrame:
+        marks = ledger.read_ledger(batch.sparkSession, f"{run}/marks", seen, with_batch=True)
+        newest = marks.where(F.col(ledger.BATCH) < epoch).agg(F.max("newest")).first()[0]
+        late = F.col(event_time).isNull()
+        if newest is not None:
+            late = late | (F.col(event_time) < F.lit(newest).cast(seen[0].dataType) - F.expr(f"INTERVAL {delay}"))
+        ledger.record(batch.where(late), f"{run}/late", epoch)
+        ledger.record(batch.agg(F.max(event_time).alias("newest")), f"{run}/marks", epoch)
+        return batch.where(~late)
+
+    run_epochs(stream, f"{run}/on-time", f"{run}/route-checkpoint", route)
+
+
+def dedup_stream(spark: SparkSession, stream: DataFrame, keys, event_time: str = "ts", delay: str = "2 DAYS",
+                 run: str | None = None, name: str = "dedup") -> tuple[DataFrame, DataFrame]:
+    """T5: the first row of each key, and the rows that came too late to tell.
+
+    On-time rows pass a keyed state store (RocksDB, one entry per key, dropped
+    once the watermark has passed it by ``delay``), so an epoch reads and
+    writes state for its own keys only, never the result so far.  Late rows are
+    not dropped but kept beside the result.  All rows routed since the last
+    call make one epoch: its watermark comes from earlier ones, so no row that
+    was on time when it was routed is late here."""
+    run, keys = run or scratch_path(spark, name), list(keys)
+    split_late(stream, run, event_time, delay)
+    accepted = (spark.readStream.schema(stream.schema).parquet(f"{run}/on-time/data/batch=*")
+                .withColumn("_time", F.col(event_time).cast("timestamp")))
+    first = accepted.withWatermark("_time", delay).dropDuplicatesWithinWatermark(keys).drop("_time")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        run_epochs(first, f"{run}/out", f"{run}/out-checkpoint")
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    return ledger.read_ledger(spark, f"{run}/out", stream.schema), ledger.read_ledger(spark, f"{run}/late", stream.schema)
+
+
+def newest_by(rows: DataFrame, keys) -> DataFrame:
+    """Per key the row of the newest batch: merges updates into a table.
+    A map-side combine keeps one row per key and task."""
+    rest = [c for c in rows.columns if c not in (*keys, ledger.BATCH)]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), ledger.BATCH).alias("_r"))
+    return best.select(*keys, *[f"_r.{c}" for c in rest])
 
 
 def windowed_stats(spark: SparkSession, stream: DataFrame, keys, value: str, event_time: str = "ts",
                    window: str = "1 day", name: str = "stats", run: str | None = None) -> DataFrame:
-    """Running count / sum per (event-time window, keys), complete mode.
+    """Running count / sum per (event-time window, keys), update mode: an
+    epoch records the windows it touched and no other; readers take each
+    window's newest row.
 
     Windows are taken on the wall-clock (TIMESTAMP_NTZ) event time, so day
-    boundaries do not move with the session time zone.  Complete mode keeps
-    every window's state (small: windows x keys).
+    boundaries do not move with the session time zone.  The state holds one
+    row per window and key (small).
     """
     run = run or scratch_path(spark, name)
     s = stream.withColumn(event_time, F.col(event_time).cast("timestamp_ntz"))
     agg = (s.groupBy(F.window(event_time, window).alias("w"), *keys)
            .agg(F.count("*").alias("n"), F.sum(value).alias("total_value")))
-    run_complete(agg, f"{run}/out", f"{run}/checkpoint")
-    fields = T.StructType([*agg.schema.fields, T.StructField("epoch", T.LongType())])
-    return read_epochs(spark, f"{run}/out", fields)
+    run_epochs(agg, f"{run}/out", f"{run}/out-checkpoint", mode="update")
+    return newest_by(ledger.read_ledger(spark, f"{run}/out", agg.schema, with_batch=True), ["w", *keys])

@@ -50,7 +50,7 @@ def test_appended_files_are_read(spark, tmp_path):
 
 
 def test_second_resume_adds_nothing(spark, tmp_path):
-    from ascribe.streaming.runs import dedup_stream, file_stream, resume_stream
+    from ascribe.streaming.runs import resume_stream
     src, run = str(tmp_path / "work"), str(tmp_path / "run")
     spark.range(20).write.parquet(src)
     ledger = spark.range(5)
@@ -58,7 +58,3 @@ def test_second_resume_adds_nothing(spark, tmp_path):
     assert resume_stream(spark, src, ledger, ["id"], run=run).count() == 15
     spark.range(20, 24).write.mode("append").parquet(src)
     assert resume_stream(spark, src, ledger, ["id"], run=run).count() == 19
-    again = str(tmp_path / "dedup")
-    assert dedup_stream(spark, file_stream(spark, src, 1), ["id"], run=again).count() == 24
-    spark.range(10).write.mode("append").parquet(src)                 # late copies
-    assert dedup_stream(spark, file_stream(spark, src, 1), ["id"], run=again).count() == 24

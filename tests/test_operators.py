@@ -287,12 +287,6 @@ def test_sinks_round_trip(spark, tmp_path):
     assert R.to_parquet(df, str(tmp_path / "cut")).count() == 2
 
 
-def test_missing_ledger_reads_empty(spark, tmp_path):
-    from pyspark.sql import types as T
-    sch = T.StructType([T.StructField("k", T.LongType())])
-    assert R.read_ledger(spark, str(tmp_path / "none"), sch).count() == 0
-
-
 def test_score_column_keeps_rows_and_failures(spark):
     df = spark.createDataFrame([([1.0, 3.0],), ([2.0, 2.0],)], "s array<double>")
     ok = df.select(S.score_column(lambda pdf: [list(x / x.sum()) for x in pdf["s"]], s=F.col("s")).alias("r"))
