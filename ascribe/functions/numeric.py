@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from ..schemas import PERPLEXITY_LOSS_CAP
 
 
-def half_up_2(x: Column) -> Column:
-    """floor(x*100 + 0.5)/100: the same IEEE steps in every SQL engine."""
-    return F.floor(x * 100.0 + 0.5) / 100.0
-
-
 def round_half_even_2(x: Column) -> Column:
     """Round to 2 decimals, ties to even, like NumPy's ``ndarray.round(2)``.
 
@@ -36,13 +31,6 @@ def softmax(arr: Column) -> Column:
     return F.transform(ex, lambda v: v / tot)
 
 
-def signed_sum(arr: Column, signs) -> Column:
-    """sum(arr[i] * signs[i]) of a fixed-length numeric array, per row."""
-    sg = F.array(*[F.lit(float(s)) for s in signs])
-    return F.aggregate(F.arrays_zip(arr.alias("v"), sg.alias("s")), F.lit(0.0),
-                       lambda acc, e: acc + e["v"] * e["s"])
-
-
 def hash_key(*parts) -> Column:
     """Deterministic, engine-independent order key: md5 of ``a|b|...``.
 

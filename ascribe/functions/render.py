@@ -19,6 +19,9 @@ REMOTE_TAIL = "ONLY respond with a single letter (A, B, C, or D)."
 ACTOR_HEAD = ("Below is a scenario and a dialogue paired with a question. "
               "Respond by choosing one of the provided options.")
 RESPONSE_TAG = "### Response:\n"
+INSTRUCTION_TAG = "### Instruction:\n"
+STATEMENT_TAG = "### Statement:\n"
+OPTIONS_TAG = "Options:\n"
 # --- end of fixed values ---
 
 FRAMINGS = ["choice", "choice_spaced", "story", "continuation", "remote", "minimal"]
@@ -37,44 +40,20 @@ def options_block(o: list[Column], letters=("A", "B", "C", "D")) -> Column:
     return F.concat(*parts)
 
 
-def render(framing: str, instruction: Column, initial_prompt: Column, o: list[Column]) -> Column:
-    """The prompt text of one framing, options already in shuffled order."""
-    instr = F.concat(_lit("### Instruction:\n"), instruction, _lit("\n\n"))
-    stmt = F.concat(_lit("### Statement:\n"), initial_prompt, _lit("\n\n"))
-    if framing == "choice":
-        return F.concat(_lit(CHOICE_HEAD + "\n\n"), instr, stmt, _lit("Options:\n"),
-                        options_block(o), _lit(RESPONSE_TAG))
-    if framing == "choice_spaced":
-        return F.concat(_lit(CHOICE_HEAD_SPACED + "\n\n"), instr, stmt, _lit("Options:\n"),
-                        options_block(o), _lit(RESPONSE_TAG))
-    if framing == "story":
-        return F.concat(_lit(STORY_HEAD + "\n\n"), instr, stmt, _lit("Options:\n"),
-                        options_block(o), _lit(RESPONSE_TAG))
-    if framing == "continuation":
-        return F.concat(_lit(CONTINUATION_HEAD + "\n\n"), stmt, _lit("Options:\n"),
-                        options_block(o), _lit(RESPONSE_TAG))
-    if framing == "remote":
-        return F.concat(_lit(REMOTE_HEAD + "\n\n"), instr, stmt, _lit("Options:\n"),
-                        options_block(o), _lit("\n" + REMOTE_TAIL))
-    if framing == "minimal":
-        return F.concat(initial_prompt, _lit("\n\n" + RESPONSE_TAG))
-    raise ValueError(f"unknown framing {framing}")
-
-
 def render_parts(framing: str, instruction: Column, initial_prompt: Column) -> tuple[Column, str, bool]:
     """(text before the options, text after them, whether options are shown)
     of one framing; lets a template table pre-render everything except the
     per-trial option order."""
-    instr = F.concat(_lit("### Instruction:\n"), instruction, _lit("\n\n"))
-    stmt = F.concat(_lit("### Statement:\n"), initial_prompt, _lit("\n\n"))
+    instr = F.concat(_lit(INSTRUCTION_TAG), instruction, _lit("\n\n"))
+    stmt = F.concat(_lit(STATEMENT_TAG), initial_prompt, _lit("\n\n"))
     heads = {"choice": CHOICE_HEAD, "choice_spaced": CHOICE_HEAD_SPACED, "story": STORY_HEAD,
              "remote": REMOTE_HEAD}
     if framing in heads:
-        pre = F.concat(_lit(heads[framing] + "\n\n"), instr, stmt, _lit("Options:\n"))
+        pre = F.concat(_lit(heads[framing] + "\n\n"), instr, stmt, _lit(OPTIONS_TAG))
         tail = "\n" + REMOTE_TAIL if framing == "remote" else RESPONSE_TAG
         return pre, tail, True
     if framing == "continuation":
-        return F.concat(_lit(CONTINUATION_HEAD + "\n\n"), stmt, _lit("Options:\n")), RESPONSE_TAG, True
+        return F.concat(_lit(CONTINUATION_HEAD + "\n\n"), stmt, _lit(OPTIONS_TAG)), RESPONSE_TAG, True
     if framing == "minimal":
         return initial_prompt, "\n\n" + RESPONSE_TAG, False
     raise ValueError(f"unknown framing {framing}")
@@ -92,16 +71,6 @@ def template_parts(framing_col: Column, instruction: Column, initial_prompt: Col
     return [pre.alias("pre"), tail.alias("tail"), opt.alias("has_options")]
 
 
-def render_by(framing_col: Column, instruction: Column, initial_prompt: Column,
-              o: list[Column]) -> Column:
-    """Per-row framing: a CASE over the framings (each branch is codegen'd)."""
-    e = None
-    for fr in FRAMINGS:
-        r = render(fr, instruction, initial_prompt, o)
-        e = F.when(framing_col == fr, r) if e is None else e.when(framing_col == fr, r)
-    return e
-
-
 def render_actor(scenario: Column, dialogue: Column, question: Column, name: Column,
                  other: Column) -> Column:
     """Two-option actor/observer prompt; the options name both speakers."""
@@ -109,7 +78,7 @@ def render_actor(scenario: Column, dialogue: Column, question: Column, name: Col
                     _lit("### Scenario:\n"), scenario, _lit("\n\n"),
                     _lit("### Dialogue:\n"), dialogue, _lit("\n\n"),
                     _lit("### Question:\n"), question, _lit("\n\n"),
-                    _lit("Options:\n"),
+                    _lit(OPTIONS_TAG),
                     _lit("A. What "), name, _lit(" said\n"),
                     _lit("B. What "), other, _lit(" said\n"),
                     _lit(RESPONSE_TAG))

@@ -59,13 +59,3 @@ def first_argmax_pos(shuffled: Column, score: str = "score") -> Column:
     scores = F.transform(shuffled, lambda o: o[score])
     known = ~F.exists(scores, lambda s: s.isNull())
     return F.when(known, F.array_position(scores, F.array_max(scores)))
-
-
-def rng_parity_permutation(seed_plus_index: int, items: list) -> list:
-    """X8 (golden tests only): Python's ``random.seed(s); random.shuffle(x)``
-    permutation, for reproducing stored option orders bit-for-bit."""
-    import random
-    rnd = random.Random(seed_plus_index)
-    out = list(items)
-    rnd.shuffle(out)
-    return out

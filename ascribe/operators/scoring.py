@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import capped_exp
+from ..schemas import WS
 from ..session import materialize
 
 
+def words(text: str) -> Column:
+    """Whitespace tokens (space, tab, CR, LF) of a text; none for a NULL text's NULL."""
+    return F.array_remove(F.split(F.col(text), WS + "+"), "")
+
+
 def tokens(df: DataFrame, id_cols, text: str = "text", out: str = "token") -> DataFrame:
-    """Whitespace tokens (space, tab, CR, LF) of a text column, one row per
-    token.  Tab/CR/LF are first mapped to spaces with ``translate`` so the
-    split runs on a single literal character (no regex engine per row);
-    the empty strings between repeated spaces are dropped."""
-    spaced = F.translate(F.col(text), "\t\r\n", "   ")
-    t = df.select(*id_cols, F.explode(F.split(spaced, " ")).alias(out))
-    return t.filter(F.col(out) != "")
+    """One row per whitespace token of a text column."""
+    return df.select(*id_cols, F.explode(words(text)).alias(out))
 
 
 def token_counts(seq_tokens: DataFrame, keys, token: str = "token") -> DataFrame:
@@ -38,8 +39,8 @@ def token_counts(seq_tokens: DataFrame, keys, token: str = "token") -> DataFrame
 
 
 def unigram_model(counts: DataFrame, token: str = "token", c: str = "c") -> tuple[DataFrame, Column]:
-    """Add-one smoothed unigram model from per-sequence token counts:
-    ``(token, cnt, lp)`` and the log-prob of an unseen token.
+    """Add-one smoothed unigram model from token counts (per sequence or
+    not): ``(token, cnt, lp)`` and the log-prob of an unseen token.
     lp = ln((cnt + 1) / (N + V)) with N tokens and V types; N and V come from
     one scalar subquery over the written vocabulary."""
     # written once to the shared checkpoint folder: the denominator subquery
@@ -52,6 +53,9 @@ def unigram_model(counts: DataFrame, token: str = "token", c: str = "c") -> tupl
     return model, unseen
 
 
+HEAVY_SHARE = 2_000            # a token with more than 1 / HEAVY_SHARE of all tokens is heavy: fewer than HEAVY_SHARE are
+
+
 def sequence_logprob(counts: DataFrame, model: DataFrame, unseen: Column, keys,
                      token: str = "token") -> DataFrame:
     """Per-sequence token count and summed log-probability (A21, log space),
@@ -63,6 +67,33 @@ def sequence_logprob(counts: DataFrame, model: DataFrame, unseen: Column, keys,
     return j.groupBy(*keys).agg(F.sum("c").alias("n_tokens"), F.sum(F.col("c") * lp).alias("log_prob"))
 
 
+def corpus_logprob(df: DataFrame, keys, text: str = "text", model: DataFrame | None = None, unseen: Column | None = None,
+                   heavy_share: int = HEAVY_SHARE) -> DataFrame:
+    """``sequence_logprob`` of every sequence of a corpus under the corpus' own
+    model (or one given), rows without a token included (0 tokens, NULL sum).
+
+    A natural vocabulary has tokens that are in nearly every sequence.  Tokens
+    with more than 1 / heavy_share of all occurrences (so fewer than
+    heavy_share of them, a proven bound) are broadcast and summed where they
+    stand; only the rest are shuffled by token and joined, and none of
+    those can fill a partition."""
+    keys = list(keys)
+    if model is None:
+        model, unseen = unigram_model(token_counts(tokens(df.select(text), [], text), []))
+    total = model.agg(F.sum("cnt")).scalar()
+    heavy = materialize(model.where(F.col("cnt") * heavy_share > total).select("token", "lp"), "heavy-tokens")
+    light = model.where(F.col("cnt") * heavy_share <= total).select("token", "lp")
+    # explode_outer: a sequence without a token keeps a row, with a NULL token
+    marked = (df.select(*keys, F.explode_outer(words(text)).alias("token"))
+              .join(F.broadcast(heavy.select("token", F.col("lp").alias("_lp"))), "token", "left"))
+    here = marked.where("_lp is not null or token is null")
+    summed = here.groupBy(*keys).agg(F.count("token").alias("n_tokens"), F.sum("_lp").alias("log_prob"))
+    # most light tokens stand once in a sequence: counting them there first would shuffle as many rows
+    rest = sequence_logprob(marked.where("_lp is null and token is not null").select(*keys, "token", F.lit(1).alias("c")),
+                            light, unseen, keys)
+    return summed.unionByName(rest).groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+
+
 def perplexity(n_tokens: Column, log_prob: Column) -> Column:
     """A20 + F11: exp(mean negative log-likelihood), +inf when the loss >= 20."""
     return capped_exp(-log_prob / n_tokens)

@@ -49,13 +49,6 @@ def metric_stats(df: DataFrame, keys, value: str = "metric_c", scale: float = 10
         exact_mean(value, scale).alias(mean), exact_std(value, scale).alias(std))
 
 
-def float_stats(df: DataFrame, keys, value: str, mean: str = "mean", std: str = "std") -> DataFrame:
-    """mean / sample std of a floating column (order-dependent last bits)."""
-    keys = list(keys)
-    return _drop_null_keys(df, keys).groupBy(*keys).agg(
-        F.avg(value).alias(mean), F.stddev_samp(value).alias(std))
-
-
 def option_means(df: DataFrame, keys, cols, names=None, scale: float = 100.0) -> DataFrame:
     """Mean of each option column per group (A1-A3); ``cols`` are exact
     integer hundredths."""
@@ -257,13 +250,25 @@ def stats_from_moments(m: DataFrame, keys, scale: float = 100.0, mean: str = "me
                     F.when(n > 1, F.sqrt(num / (n.cast("double") * (n - 1))) / float(scale)).alias(std))
 
 
-def approx_quantiles(df: DataFrame, keys, value: str, probs, names=None, accuracy: int = 10000) -> DataFrame:
-    """Bounded-memory quantiles for continuous values in huge groups: a
-    mergeable sketch per group (``percentile_approx``), rank error about
-    1/accuracy of the group size.  Use ``exact_quantiles`` when the value
-    domain is discrete (as for 2-decimal probabilities)."""
-    keys = list(keys)
+SKETCH_K = 800                 # KLL parameter: rank error about 2.3 / k ** 0.9, half a hundredth
+RANK_ERROR = 0.01              # stated bound on a rank read from a sketch with SKETCH_K, twice its usual error
+
+
+def quantile_sketches(df: DataFrame, load: list, keys, value: str, k: int = SKETCH_K) -> DataFrame:
+    """A16 / A17 for continuous values: one KLL sketch per load and group (a
+    few KB, whatever the group's size), combined map-side.  NULL and NaN values are left out."""
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v))
+    return rows.groupBy(*load, *keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(v, k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys, k: int = SKETCH_K) -> DataFrame:
+    """The sketches of all loads merged per group; the values are not read again."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(merged: DataFrame, keys, probs, names=None) -> DataFrame:
+    """Quantiles read from merged sketches; the rank of each is off by at most
+    RANK_ERROR of the group (with high probability, by KLL's guarantee)."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    q = F.percentile_approx(F.col(value), list(map(float, probs)), accuracy)
-    g = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("_q"))
-    return g.select(*keys, *[F.col("_q").getItem(i).alias(n) for i, n in enumerate(names)])
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(c) for p, c in zip(probs, names)])

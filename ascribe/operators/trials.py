@@ -144,10 +144,6 @@ def trial_options(df: DataFrame) -> Column:
                      for i in range(1, 5)])
 
 
-def trial_hash(seed: int, *extra) -> Column:
-    return hash_key(seed, trial_id(), *extra)
-
-
 MODES = list(OPTION_KEYS)
 
 

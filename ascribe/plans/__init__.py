@@ -6,7 +6,7 @@ from .registry import HEADLINE, ORACLE, QUERIES  # noqa: F401
 
 def _load_all():
     import importlib
-    for mod in ("choices", "generation", "scoring", "textops", "incremental", "streams"):
+    for mod in ("choices", "generation", "scoring", "textops", "incremental", "streams", "roundtrip"):
         try:
             importlib.import_module(f"{__name__}.{mod}")
         except ModuleNotFoundError as e:       # family not built yet

@@ -195,3 +195,32 @@ def box_summary_gender(t):
     return round_doubles(b.select("gender", "mode", "n", "n_outliers",
                                   *[(F.col(c) / 100.0).alias(c) for c in
                                     ("q1", "median", "q3", "whisker_low", "whisker_high")]))
+
+
+SKETCH_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@register("quantile_sketch", f"""
+WITH p AS (SELECT unnest([{", ".join(map(str, SKETCH_PROBS))}]) AS prob)
+SELECT l_linestatus AS status, CAST(prob AS DOUBLE) AS prob, count(l_extendedprice) AS n, true AS within_error
+FROM lineitem, p GROUP BY ALL
+""")
+def quantile_sketch(t):
+    """A16 + A17 for a continuous value: a sketch per load (ship month) and
+    group, merged over the loads; each quantile's true rank is then counted in
+    one more pass and compared with the stated rank error."""
+    keys = ["l_linestatus"]
+    rows = t.lineitem.select("l_linestatus", "l_shipdate", F.col("l_extendedprice").cast("double").alias("v"))
+    loads = materialize(stats.quantile_sketches(rows, [F.date_trunc("month", "l_shipdate").alias("load")], keys, "v"), "sketches")
+    names = [f"v{i}" for i in range(len(SKETCH_PROBS))]
+    marks = materialize(stats.sketch_quantiles(stats.merge_sketches(loads, keys), keys, SKETCH_PROBS, names), "quantiles")
+    at = marks.select(F.col("l_linestatus").alias("_s"), "n", *names)
+    known = rows.where("v is not null and not isnan(v)").join(at, F.col("l_linestatus").eqNullSafe(F.col("_s")))
+    counts = known.groupBy("_s").agg(F.first("n").alias("n"), *[F.sum((F.col("v") < F.col(c)).cast("bigint")).alias(f"below_{c}") for c in names],
+                                     *[F.sum((F.col("v") <= F.col(c)).cast("bigint")).alias(f"upto_{c}") for c in names])
+    # a value's copies hold all ranks from below to upto
+    each = F.array(*[F.struct(F.lit(p).alias("prob"), ((F.col(f"below_{c}") <= (p + stats.RANK_ERROR) * F.col("n"))
+                                                      & (F.col(f"upto_{c}") >= (p - stats.RANK_ERROR) * F.col("n"))).alias("ok"))
+                     for p, c in zip(SKETCH_PROBS, names)])
+    return counts.select(F.col("_s").alias("status"), "n", F.explode(each).alias("e")).select(
+        "status", F.col("e.prob").alias("prob"), "n", F.col("e.ok").alias("within_error"))

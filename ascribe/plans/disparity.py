@@ -136,7 +136,7 @@ def mean_by_nationality(t):
 
 
 @register("grid_complete", with_trials(f"""
-, f AS (SELECT * FROM trials WHERE mode = 'Failure'),
+, f AS (SELECT * FROM trials),
 g AS (SELECT gender, nationality, {_opt_avgs()} FROM f GROUP BY gender, nationality),
 grid AS (SELECT gd.gender, nt.nationality FROM (SELECT DISTINCT gender FROM f) gd,
                                                (SELECT DISTINCT nationality FROM f) nt)
@@ -149,8 +149,8 @@ FROM grid LEFT JOIN g ON grid.gender = g.gender AND grid.nationality = g.nationa
 """))
 def grid_complete(t):
     """A3 + J10: means by (gender, nationality) over the full gender x
-    nationality grid of one mode's trials, 0 for cells without trials."""
-    f = people_partials(t, C_COLS, modes=["Failure"])
+    nationality grid of all trials, 0 for cells without trials."""
+    f = people_partials(t, C_COLS)
     s = materialize(_partial_means(f, ["gender", "nationality"]))      # small; read thrice below
     # every gender / nationality present in the filtered trials has a row in s
     dims = [s.select("gender").distinct(), s.select("nationality").distinct()]
@@ -193,3 +193,23 @@ def means_grouping_sets(t):
                 *[(F.sum(f"s_{c}").cast("double") / F.nullif(F.sum(f"n_{c}"), F.lit(0)) / 100.0).alias(o)
                   for c, o in zip(C_COLS, OPT_NAMES)])
     return round_doubles(out)
+
+
+@register("grid_labels", """
+WITH d AS (SELECT source, lang, toxic, quality, n_chars FROM documents JOIN labels USING (doc_id)
+           WHERE source IS NOT NULL AND lang IS NOT NULL AND toxic IS NOT NULL),
+g AS (SELECT source, lang, toxic, count(*) AS n, CAST(sum(quality) AS BIGINT) AS n_good, CAST(max(n_chars) AS BIGINT) AS longest
+      FROM d GROUP BY source, lang, toxic)
+SELECT s.source, l.lang, x.toxic, CASE WHEN g.n IS NULL THEN 0 ELSE g.n END AS n, CASE WHEN g.n IS NULL THEN 0 ELSE g.n_good END AS n_good,
+       CASE WHEN g.n IS NULL THEN 0 ELSE g.longest END AS longest
+FROM (SELECT DISTINCT source FROM d) s, (SELECT DISTINCT lang FROM d) l, (SELECT DISTINCT toxic FROM d) x
+LEFT JOIN g ON g.source = s.source AND g.lang = l.lang AND g.toxic = x.toxic
+""")
+def grid_labels(t):
+    """Labelled documents by (source, language, toxic) over the full grid,
+    most of whose toxic cells hold none and are filled with 0."""
+    keys = ["source", "lang", "toxic"]
+    d = t.documents.select("doc_id", "source", "lang", "n_chars").join(t.labels, "doc_id").dropna(subset=keys)
+    s = materialize(d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("quality").alias("n_good"),
+                                         F.max("n_chars").cast("bigint").alias("longest")), "labelled")
+    return stats.complete_grid(s, [s.select(k).distinct() for k in keys], keys, ["n", "n_good", "longest"], fill=0)

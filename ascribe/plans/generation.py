@@ -9,7 +9,8 @@ from ..functions.render import (FRAMINGS, options_block, render_actor, sql_rende
 from ..operators import generate as G
 from ..operators.options import shuffle_texts
 from ..operators.trials import TRIAL_KEY, option_key, trial_id
-from ..schemas import GLOBAL_SEED, SECOND_NAME
+from ..functions.text import fill
+from ..schemas import DEFAULT_INSTRUCTION, GLOBAL_SEED, MISSING_PREFIX, OPTION_KEYS, SECOND_NAME
 from ..session import materialize
 from ..sources import names as N
 from .registry import register
@@ -220,69 +221,133 @@ def allow_list(t):
             .select("c_custkey", F.col("c_name").alias("name"), "nationality", "region"))
 
 
-@register("name_flatten", f"""
+_WHOLE_NAMES = """
 WITH nm AS (SELECT c.c_custkey, c.c_name AS name, n.n_name AS nationality,
               CASE WHEN c.c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender
        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)
-SELECT CAST(c_custkey // {N.BLOCK} AS BIGINT) AS block, nationality, gender,
-       CAST(row_number() OVER (PARTITION BY nationality, gender, c_custkey // {N.BLOCK} ORDER BY c_custkey) - 1
-            AS BIGINT) AS name_ord, name
+SELECT nationality, gender,
+       CAST(row_number() OVER (PARTITION BY nationality, gender ORDER BY c_custkey) - 1 AS BIGINT) AS name_ord, name
 FROM nm
-""")
+"""
+
+
+@register("name_flatten", _WHOLE_NAMES)
 def name_flatten(t):
-    """S2 + F6: nested ``{{nationality: {{Gender: [names]}}}}`` JSON documents
-    flattened to rows with list ordinals and lower-cased gender keys.
+    """S2 + F6: nested ``{nationality: {Gender: [names]}}`` JSON documents
+    flattened to rows with lower-cased gender keys, the names of a list
+    numbered over all documents that hold a part of it.
 
     The documents are built from the customer table in blocks of at most
     BLOCK names, so each one is bounded."""
-    docs = N.name_documents(G.names(t))
-    return N.flatten_names(docs, "doc", extra=["block"]).select(
-        "block", "nationality", "gender", "name_ord", "name")
+    return N.number_names(materialize(N.flatten_names(N.name_documents(G.names(t)), "doc", extra=["block"]), "names"))
 
 
-@register("name_flatten_whole", """
-WITH nm AS (SELECT c.c_custkey, c.c_name AS name, n.n_name AS nationality,
+@register("name_flatten_whole", _WHOLE_NAMES)
+def name_flatten_whole(t):
+    """S2 + F6: ``name_flatten`` under its former name."""
+    return name_flatten(t)
+
+
+DEEP_REGIONS = ["ASIA", "EUROPE"]                    # regions whose names are kept by nation
+ALLOWED_SUBREGIONS = [f"NATION_{k}" for k in (2, 3, 7, 8, 12)]
+
+
+@register("names_irregular", f"""
+WITH nm AS (SELECT c.c_custkey, c.c_name AS name, n.n_name AS nation, r.r_name AS region,
               CASE WHEN c.c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender
-       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)
-SELECT nationality, gender,
-       CAST(row_number() OVER (PARTITION BY nationality, gender ORDER BY c_custkey) - 1 AS BIGINT) AS name_ord, name
-FROM nm
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT CAST(c_custkey // {N.BLOCK} AS BIGINT) AS block, region,
+       CASE WHEN region IN ('{"', '".join(DEEP_REGIONS)}') THEN nation END AS subregion, gender, name,
+       CAST(row_number() OVER (PARTITION BY c_custkey // {N.BLOCK}, region, CASE WHEN region IN ('{"', '".join(DEEP_REGIONS)}') THEN nation END, gender
+            ORDER BY c_custkey) - 1 AS BIGINT) AS name_ord
+FROM nm WHERE region NOT IN ('{"', '".join(DEEP_REGIONS)}') OR nation IN ('{"', '".join(ALLOWED_SUBREGIONS)}')
 """)
-def name_flatten_whole(t):
-    """S2 + F6: names numbered over the whole (nationality, gender) list,
-    however the documents cut it into blocks."""
-    return N.number_names(materialize(N.flatten_names(N.name_documents(G.names(t)), "doc", extra=["block"]), "names"))
+def names_irregular(t):
+    """S3 + U5 + P9 + P16: dictionaries whose regions hold genders, or
+    subregions that hold genders; the depth is found in the data.  Regions
+    count as they are, subregions if allowed."""
+    region = t.region.select("r_regionkey", F.col("r_name").alias("region"))
+    nation = t.nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("nationality"), "region")
+    names = G.names(t).join(nation, "nationality").withColumn("block", F.floor(F.col("c_custkey") / N.BLOCK))
+    deep = F.col("region").isin(DEEP_REGIONS)
+    lists = (names.groupBy("block", "region", F.when(deep, F.col("nationality")).alias("sub"), F.initcap("gender").alias("gender"))
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "name"))), lambda x: x["name"]).alias("names")))
+    inner = F.create_map("gender", "names")
+    doc = F.when(F.col("sub").isNull(), F.to_json(F.create_map("region", inner))).otherwise(
+        F.to_json(F.create_map("region", F.create_map("sub", inner))))
+    flat = N.flatten_names_by_depth(lists.select("block", doc.alias("doc")), extra=["block"])
+    flat = flat.where((F.size("keys") == 2) | F.get("keys", F.lit(1)).isin(ALLOWED_SUBREGIONS))
+    return flat.select("block", F.get("keys", F.lit(0)).alias("region"), F.when(F.size("keys") > 2, F.get("keys", F.lit(1))).alias("subregion"),
+                       F.lower(F.get("keys", F.size("keys") - 1)).alias("gender"), "name", "name_ord")
+
+
+_KEY_NAMES = OPTION_KEYS["Success"]
+_HEAD_TID = "concat_ws('|', set_id, nationality, name)"
+_HEAD_H = [f"md5(concat_ws('|', '{GLOBAL_SEED}', {_HEAD_TID}, '{k}'))" for k in _KEY_NAMES]
+_HEAD_POS = ["(1 + " + " + ".join(f"CAST({_HEAD_H[j]} < {h} AS INTEGER)" for j in range(4) if j != k) + ")"
+             for k, h in enumerate(_HEAD_H)]
+# which fields a stored prompt lacks
+_NO_INSTRUCTION, _NO_OPTIONS, _NO_OPTION = "doc_id % 5 = 0", "doc_id % 13 = 0", "(doc_id + {k}) % 7 = 0"
+
+
+def _head_option(p: int, what: str) -> str:
+    return "CASE " + " ".join(f"WHEN pos{k} = {p} THEN {what.format(k=k, key=_KEY_NAMES[k - 1])}" for k in range(1, 5)) + " END"
 
 
 @register("prompt_head", f"""
-WITH lib AS (SELECT doc_id, source AS domain,
-                    CASE WHEN doc_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
-                    CASE WHEN n_chars < {N.SHORT_CHARS} THEN 'short' ELSE 'long' END AS length, text
-             FROM documents),
+WITH b AS (SELECT max(item_id) + 1 AS nt FROM benchmark),
+lib AS (SELECT doc_id, source AS domain, text, CASE WHEN doc_id % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+               n_chars * count(n_chars) OVER () < sum(n_chars) OVER () AS short
+        FROM documents WHERE source IS NOT NULL),
 hd AS (SELECT *, row_number() OVER (PARTITION BY gender, domain ORDER BY doc_id) - 1 AS pos
-       FROM lib WHERE length = 'short' AND domain IN ('{"', '".join(N.ALLOWED_DOMAINS)}')),
+       FROM lib WHERE short AND domain IN ('{"', '".join(N.ALLOWED_DOMAINS)}')),
 nm AS (SELECT c.c_custkey, c.c_name AS name,
               CASE WHEN c.c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender, n.n_name AS nationality
        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
 sm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nationality, gender
-          ORDER BY md5(concat_ws('|', '{GLOBAL_SEED}', CAST(c_custkey AS VARCHAR))), c_custkey) AS rk FROM nm) WHERE rk <= 3)
-SELECT hd.gender || '_' || hd.domain || '_short_set' || CAST(hd.pos AS VARCHAR) AS set_id,
-       hd.gender, hd.domain, hd.length, sm.nationality, sm.name,
-       replace('{{X}} ' || hd.text, '{{X}}', sm.name) AS initial_prompt
-FROM hd JOIN sm ON hd.gender = sm.gender WHERE hd.pos < 2
+          ORDER BY md5(concat_ws('|', '{GLOBAL_SEED}', CAST(c_custkey AS VARCHAR))), c_custkey) AS rk FROM nm) WHERE rk <= 3),
+j AS (SELECT hd.*, sm.nationality, sm.name, hd.gender || '_' || hd.domain || '_short_set' || CAST(hd.pos AS VARCHAR) AS set_id
+      FROM hd JOIN sm ON hd.gender = sm.gender WHERE hd.pos < 2 AND NOT ({_NO_OPTIONS})),
+o AS (SELECT j.*, {", ".join(f"CASE WHEN {_NO_OPTION.format(k=k)} THEN 'Missing: {key}' ELSE b{k}.text END AS o{k}" for k, key in enumerate(_KEY_NAMES, 1))},
+             {", ".join(f"{p} AS pos{k}" for k, p in enumerate(_HEAD_POS, 1))}
+      FROM j, b {" ".join(f"JOIN benchmark b{k} ON b{k}.item_id = (j.doc_id + {k}) % b.nt" for k in range(1, 5))})
+SELECT set_id, gender, domain, 'short' AS length, nationality, name,
+       CASE WHEN {_NO_INSTRUCTION} THEN '{DEFAULT_INSTRUCTION}' ELSE replace('{G.CHOICE_INSTRUCTION}', '{{X}}', name) END AS instruction,
+       replace('{{X}} ' || text, '{{X}}', name) AS initial_prompt,
+       {", ".join(f"{_head_option(p, '{key!r}')} AS key_{L}, {_head_option(p, 'o{k}')} AS opt_{L}" for p, L in enumerate("ABCD", 1))}
+FROM o
 """)
 def prompt_head(t):
-    """S4 + P6 + P9 + P10 + J4 + W8: first two short prompts per (gender,
-    domain) of the allowed domains, crossed with the sampled names of the
-    same gender, with a composite set id."""
-    lib = N.prompt_library(t.documents)
-    head = N.library_head(lib, N.ALLOWED_DOMAINS, "short", 2)
+    """S4 + P6 + P9 + P10 + P15 + J4 + W4 + W8: the first two short prompts per
+    (gender, domain) of the allowed domains of a nested JSON library, crossed
+    with the sampled names of the same gender; the name filled in, the options
+    shuffled, defaults for absent fields, a composite set id.
+
+    "Short" is below the corpus' mean length.  Absent instruction: the default
+    text; absent option: ``Missing: <key>``; no options at all: passed over."""
+    d = t.documents.where("source is not null")
+    n, total = d.agg(F.count("n_chars")).scalar(), d.agg(F.sum("n_chars")).scalar()
+    nt = t.benchmark.agg(F.max("item_id") + 1).scalar()
+    rows = d.select("doc_id", F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 2 == 0, "male").otherwise("female").alias("gender"),
+                    F.col("source").alias("domain"), F.when(F.col("n_chars") * n < total, "short").otherwise("long").alias("length"),
+                    F.concat(F.lit("{X} "), F.col("text")).alias("initial_prompt"),
+                    F.expr(f"CASE WHEN NOT ({_NO_INSTRUCTION}) THEN '{G.CHOICE_INSTRUCTION}' END").alias("instruction"),
+                    F.when(~F.expr(_NO_OPTIONS), F.array(*[F.lit(k) for k in _KEY_NAMES])).alias("options"),
+                    *[((F.col("doc_id") + k) % nt).alias(f"_o{k}") for k in range(1, 5)])
+    for k, key in enumerate(_KEY_NAMES, 1):
+        item = t.benchmark.select(F.col("item_id").alias(f"_o{k}"), F.col("text").alias(key))
+        rows = rows.join(item, f"_o{k}").withColumn(key, F.expr(f"CASE WHEN NOT ({_NO_OPTION.format(k=k)}) THEN {key} END"))
+    head = N.library_head(N.library_documents(rows), N.ALLOWED_DOMAINS, "short", 2)
     sm = G.stratified_sample(G.names(t), ["nationality", "gender"], "c_custkey", 3)
-    j = head.join(sm.select("gender", "nationality", "name"), "gender")
-    return j.select(
-        F.format_string("%s_%s_short_set%d", F.col("gender"), F.col("domain"), F.col("pos")).alias("set_id"),
-        "gender", "domain", "length", "nationality", "name",
-        F.replace(F.concat(F.lit("{X} "), F.col("text")), F.lit("{X}"), F.col("name")).alias("initial_prompt"))
+    j = head.where("options is not null").join(sm.select("gender", "nationality", "name"), "gender")
+    j = j.withColumn("set_id", F.format_string("%s_%s_short_set%d", F.col("gender"), F.col("domain"), F.col("pos")))
+    texts = [F.coalesce(F.col(k), F.lit(MISSING_PREFIX + k)) for k in _KEY_NAMES]
+    j = j.withColumn("_sh", shuffle_texts(F.concat_ws("|", "set_id", "nationality", "name"), _KEY_NAMES, texts, GLOBAL_SEED))
+    return j.select("set_id", "gender", "domain", F.lit("short").alias("length"), "nationality", "name",
+                    F.coalesce(fill("instruction", F.col("name")), F.lit(DEFAULT_INSTRUCTION)).alias("instruction"),
+                    fill("initial_prompt", F.col("name")).alias("initial_prompt"),
+                    *[c for i, L in enumerate("ABCD") for c in (F.col("_sh").getItem(i)["key"].alias(f"key_{L}"),
+                                                               F.col("_sh").getItem(i)["text"].alias(f"opt_{L}"))])
 
 
 def _run_pos_sql(k: int) -> str:

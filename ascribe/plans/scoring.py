@@ -9,10 +9,10 @@ from ..functions.numeric import round_half_even_2, softmax
 from ..functions.text import parse_letter
 from ..operators import options as O
 from ..operators import scoring as S
-from ..operators.generate import templates
+from ..operators.generate import CHOICE_INSTRUCTION, fill_actor_observer, fill_choice, templates
 from ..operators.metrics import internal_external
 from ..operators.trials import TRIAL_KEY, option_key, trial_id, trial_lines, people, trials
-from ..schemas import GLOBAL_SEED, LETTERS, OPTION_KEYS
+from ..schemas import GLOBAL_SEED, LETTERS, OPTION_KEYS, SECOND_NAME
 from .registry import register, round_doubles
 from .sql import KEY_CASE, TRIALS, r6
 
@@ -62,17 +62,18 @@ def _shuffled(li):
 def option_shuffle(t):
     """W3-W5 + F9 + R3: seeded permutation of each trial's four options;
     ``key_<letter>`` names the option shown under that letter."""
-    li = trial_lines(t).withColumn("_sh", _shuffled(trial_lines(t)))
+    li = trial_lines(t)
+    li = li.withColumn("_sh", _shuffled(li))
     return li.select(*TRIAL_KEY, *[F.col("_sh").getItem(i)["key"].alias(f"key_{L}")
                                    for i, L in enumerate(LETTERS)])
 
 
 def _chosen(li):
     li = li.withColumn("_sh", _shuffled(li))
-    pos = O.first_argmax_pos(F.col("_sh"))
-    # a NULL position must be ruled out first: element_at does not pass it on here
-    ch = F.when(pos.isNotNull(), F.element_at(F.col("_sh"), F.coalesce(pos, F.lit(1)).cast("int")))
-    return li.select("*", O.letter(pos).alias("chosen_letter"), ch["key"].alias("chosen_key"),
+    li = li.withColumn("_pos", O.first_argmax_pos(F.col("_sh")))
+    # NULL when there is no position: get passes it on, element_at does not here
+    ch = F.get(F.col("_sh"), (F.col("_pos") - 1).cast("int"))
+    return li.select("*", O.letter(F.col("_pos")).alias("chosen_letter"), ch["key"].alias("chosen_key"),
                      ch["prob"].alias("chosen_prob"))
 
 
@@ -120,7 +121,8 @@ def expand_probs(t):
     """J7 + P23: ``{letter: prob}`` of the shuffled view mapped back through
     ``{letter: option}`` to one column per option in fixed order, then the
     metric."""
-    li = trial_lines(t).withColumn("_sh", _shuffled(trial_lines(t)))
+    li = trial_lines(t)
+    li = li.withColumn("_sh", _shuffled(li))
     letters = F.array(*[F.lit(x) for x in LETTERS])
     letter_probs = F.map_from_arrays(letters, F.transform("_sh", lambda o: o["prob"]))
     letter_ord = F.map_from_arrays(letters, F.transform("_sh", lambda o: o["ord"]))
@@ -213,14 +215,10 @@ def perplexity_docs(t):
     """A20 + A21 + F11: per-document perplexity and log-probability under a
     unigram model of the whole corpus (every token of every document).  A
     document without a token keeps its row, with NULL measures and a reason."""
-    d = t.documents.select("doc_id", "text")
-    counts = S.token_counts(S.tokens(d, ["doc_id"]), ["doc_id"])
-    model, unseen = S.unigram_model(counts)
-    seq = S.sequence_logprob(counts, model, unseen, ["doc_id"])
-    seq = d.select("doc_id").distinct().join(seq, "doc_id", "left")
-    out = seq.select("doc_id", F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens"),
-                     F.when(F.col("n_tokens").isNull(), "no token").alias("reason"),
-                     S.perplexity(F.col("n_tokens"), F.col("log_prob")).alias("perplexity"), "log_prob")
+    seq = S.corpus_logprob(t.documents.select("doc_id", "text"), ["doc_id"])
+    out = seq.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                     F.when(F.col("n_tokens") == 0, "no token").alias("reason"),
+                     F.when(F.col("n_tokens") > 0, S.perplexity(F.col("n_tokens"), F.col("log_prob"))).alias("perplexity"), "log_prob")
     return round_doubles(out, 4)
 
 
@@ -320,7 +318,8 @@ def scorer_choice(t):
     """X3 + X7 + W6 + F10: a caller-supplied pandas scorer run over Arrow
     batches (pandas UDF, result kept in its row), then the first-argmax
     choice and the half-even rounded probability."""
-    li = trial_lines(t).withColumn("_sh", _shuffled(trial_lines(t)))
+    li = trial_lines(t)
+    li = li.withColumn("_sh", _shuffled(li))
     scored = li.withColumn("_r", S.score_column(_normalising_scorer,
                                                 scores=F.transform("_sh", lambda o: o["score"])))
     probs = F.col("_r.probs")
@@ -328,3 +327,80 @@ def scorer_choice(t):
     return scored.select(*TRIAL_KEY, O.letter(pos).alias("chosen_letter"),
                          round_half_even_2(F.element_at(probs, pos.cast("int"))).alias("chosen_prob"),
                          F.col("_r.error").alias("error"))
+
+
+_AO_P = "(s1 + s2) / (s1 + s2 + s3 + s4)"
+
+
+@register("actor_choice", f"""WITH {TRIALS}
+, p AS (SELECT tr.*, {_AO_P} AS pa, (s3 + s4) / (s1 + s2 + s3 + s4) AS pb, bm.item_id AS scene, bm.text
+        FROM trials tr JOIN benchmark bm ON bm.item_id = tr.l_partkey % (SELECT max(item_id) + 1 FROM benchmark))
+SELECT {K}, scene, replace(replace('{{X}} talked with {{Y}}. ' || text, '{{X}}', name), '{{Y}}', '{SECOND_NAME}') AS scenario,
+       CASE WHEN pa IS NULL THEN NULL WHEN pa >= pb THEN 'A' ELSE 'B' END AS chosen_letter,
+       CASE WHEN pa IS NULL THEN NULL WHEN pa >= pb THEN 'What ' || name || ' said' ELSE 'What {SECOND_NAME} said' END AS chosen_sentence,
+       round_even(pa, 2) AS prob_A, round_even(pb, 2) AS prob_B, gender, nationality, name
+FROM p
+""")
+def actor_choice(t):
+    """F17 + D8 + P20 + W6: the choice between the two sayings of an
+    actor/observer trial, from scores supplied for A and B (here the internal
+    and the external share): first argmax on unrounded probabilities, the
+    chosen sentence with the name in it, the trial's attributes kept.  A trial
+    without scores chooses nothing."""
+    scores = trial_lines(t).select(*TRIAL_KEY, (F.col("s1") + F.col("s2")).alias("a"), (F.col("s3") + F.col("s4")).alias("b"),
+                                   (F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4")).alias("all"),
+                                   (F.col("l_partkey") % t.benchmark.agg(F.max("item_id") + 1).scalar()).alias("scene"))
+    scenes = t.benchmark.select(F.col("item_id").alias("scene"), "text")
+    who = people(t).select("o_orderkey", "name", "gender", "nationality")
+    f = fill_actor_observer(scores.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(scenes, "scene"))
+    f = f.withColumn("pa", F.col("a") / F.col("all")).withColumn("pb", F.col("b") / F.col("all"))
+    first = F.when(F.col("pa").isNotNull(), F.when(F.col("pa") >= F.col("pb"), 1).otherwise(2))
+    return f.select(*TRIAL_KEY, "scene", "scenario", O.letter(first).alias("chosen_letter"),
+                    F.when(first == 1, F.col("option1")).when(first == 2, F.col("option2")).alias("chosen_sentence"),
+                    round_half_even_2(F.col("pa")).alias("prob_A"), round_half_even_2(F.col("pb")).alias("prob_B"),
+                    "gender", "nationality", "name")
+
+
+_ROWS_SQL = f"""WITH {TRIALS} {SHUF}
+, b AS (SELECT max(item_id) + 1 AS nt FROM benchmark),
+tm AS (SELECT t0.item_id AS tid, '{{X}} ' || t0.text AS prompt, {", ".join(f"b{k}.text AS o{k}" for k in range(1, 5))}
+       FROM benchmark t0, b {" ".join(f"JOIN benchmark b{k} ON b{k}.item_id = (t0.item_id + {k}) % b.nt" for k in range(1, 5))}),
+rw AS (SELECT cc.*, pe.gender, pe.nationality, pe.name, tm.tid, replace(tm.prompt, '{{X}}', pe.name) AS initial_prompt,
+              tm.o1, tm.o2, tm.o3, tm.o4, {", ".join(f"round_even({e}, 2) AS q{k}" for k, e in enumerate(_NORM, 1))}
+       FROM cc JOIN people pe ON cc.l_orderkey = pe.o_orderkey, b JOIN tm ON tm.tid = cc.l_partkey % b.nt),
+rs AS (SELECT *, {_at(1, ['q1', 'q2', 'q3', 'q4'])} AS qa, {_at(2, ['q1', 'q2', 'q3', 'q4'])} AS qb,
+              {_at(3, ['q1', 'q2', 'q3', 'q4'])} AS qc, {_at(4, ['q1', 'q2', 'q3', 'q4'])} AS qd,
+              CASE cpos {" ".join(f"WHEN {p} THEN {_at(p, ['o1', 'o2', 'o3', 'o4'])}" for p in range(1, 5))} END AS chosen_sentence FROM rw)
+"""
+
+
+@register("choice_rows", _ROWS_SQL + f"""
+SELECT {K}, mode, replace('{CHOICE_INSTRUCTION}', '{{X}}', name) AS instruction, initial_prompt, chosen_letter, chosen_key, chosen_sentence,
+       {", ".join(f"key_{L}" for L in LETTERS)}, qa AS prob_A, qb AS prob_B, qc AS prob_C, qd AS prob_D,
+       {GLOBAL_SEED} AS seed, gender, nationality, name,
+       q1 AS opt1, q2 AS opt2, q3 AS opt3, q4 AS opt4, {r6('q1 + q2 - q3 - q4', 'metric')}
+FROM rs
+""")
+def choice_rows(t):
+    """The full scored row of every trial: filled texts, the shuffled view
+    (keys and rounded probabilities by letter), first argmax on unrounded
+    scores, the chosen sentence, the options' probabilities in fixed order and
+    the metric.  A row without scores keeps its texts and chooses nothing."""
+    nt = t.benchmark.agg(F.max("item_id") + 1).scalar()
+    li = trial_lines(t).select(*TRIAL_KEY, "mode", *[f"s{k}" for k in range(1, 5)], (F.col("l_partkey") % nt).alias("template_id"))
+    who = people(t).select("o_orderkey", "name", "gender", "nationality")
+    rows = (li.join(who, F.col("l_orderkey") == F.col("o_orderkey")).join(templates(t).drop("gender"), "template_id"))
+    total = F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4")
+    rows = fill_choice(rows).select("*", *[round_half_even_2(F.col(f"s{k}") / total).alias(f"opt{k}") for k in range(1, 5)])
+    keys = [option_key(F.col("mode"), F.lit(k)) for k in range(1, 5)]
+    fields = {n: [F.col(f"{c}{k}") for k in range(1, 5)] for n, c in (("score", "s"), ("prob", "opt"), ("text", "o"))}
+    rows = rows.withColumn("_sh", O.shuffle_options(trial_id(), keys, fields, GLOBAL_SEED))
+    rows = rows.withColumn("_pos", O.first_argmax_pos(F.col("_sh")))
+    ch = F.get(F.col("_sh"), (F.col("_pos") - 1).cast("int"))
+    at = lambda i, what: F.get(F.col("_sh"), F.lit(i))[what]
+    out = rows.select(*TRIAL_KEY, "mode", "instruction", "initial_prompt", O.letter(F.col("_pos")).alias("chosen_letter"),
+                      ch["key"].alias("chosen_key"), ch["text"].alias("chosen_sentence"),
+                      *[at(i, "key").alias(f"key_{L}") for i, L in enumerate(LETTERS)],
+                      *[at(i, "prob").alias(f"prob_{L}") for i, L in enumerate(LETTERS)],
+                      F.lit(GLOBAL_SEED).alias("seed"), "gender", "nationality", "name", "opt1", "opt2", "opt3", "opt4")
+    return round_doubles(out.withColumn("metric", internal_external(*[F.col(f"opt{k}") for k in range(1, 5)])))

@@ -111,6 +111,5 @@ def require_columns(df: DataFrame, required) -> DataFrame:
     """Raise ``ValueError`` naming the required columns when any is absent."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError("The input must contain the following columns: "
-                         + ", ".join(required) + f" (missing: {', '.join(missing)})")
+        raise ValueError(f"need columns {list(required)}, lacking {missing}")
     return df

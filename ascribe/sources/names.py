@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.stats import top_k_per_group
-from ..schemas import raw_template_schema
+from ..schemas import OPTION_KEYS, raw_template_schema
 
 BLOCK = 20                               # names per generated dictionary document
 STRETCH = 1000                           # blocks numbered in one window
-SHORT_CHARS = 2000                       # prompts shorter than this are "short"
 ALLOWED_DOMAINS = ["src0", "src1", "src2"]
 
+SHARD = 8                                # prompts per library document
+
 FLAT_NAMES = "map<string,map<string,array<string>>>"
 IRREGULAR = "map<string,map<string,string>>"     # inner level kept raw: depth 2 or 3
 
@@ -31,11 +32,6 @@ def read_templates(spark: SparkSession, path: str, mode: str) -> DataFrame:
             .select(F.col("template_id").cast("bigint"), "_t.*"))
 
 
-def read_documents(spark: SparkSession, path: str, column: str = "doc") -> DataFrame:
-    """Whole JSON files as one string column per file."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", column)
-
-
 def name_documents(names: DataFrame) -> DataFrame:
     """Nested ``{nationality: {Gender: [names]}}`` JSON documents, one per
     (nationality, gender, block of BLOCK customer keys): every list is bounded."""
@@ -94,19 +90,57 @@ def flatten_irregular_names(docs: DataFrame, allowed_top, allowed_sub, col: str
     return d2.unionByName(d3)
 
 
-def prompt_library(documents: DataFrame) -> DataFrame:
-    """The prompt library (gender -> domain -> length -> prompts) as rows,
-    derived from ``documents``: domain = source, length by character count."""
-    return documents.select(
-        "doc_id", F.col("source").alias("domain"),
-        F.when(F.col("doc_id") % 2 == 0, "male").otherwise("female").alias("gender"),
-        F.when(F.col("n_chars") < SHORT_CHARS, "short").otherwise("long").alias("length"),
-        "text")
-
-
-def library_head(lib: DataFrame, allowed_domains, length: str = "short", k: int = 2) -> DataFrame:
-    """S4 + P9 + P10 + W8: first k prompts of the wanted length per (gender,
-    domain) of the allowed domains; ``pos`` is 0-based."""
-    f = lib.filter((F.col("length") == length) & F.col("domain").isin(list(allowed_domains)))
-    h = top_k_per_group(f, ["gender", "domain"], [F.col("doc_id")], k, "pos")
-    return h.withColumn("pos", F.col("pos") - 1)
+def flatten_names_by_depth(docs: DataFrame, col: str = "doc", extra=()) -> DataFrame:
+    """S3 + U5 + P16: name dictionaries of any depth, found in the data, as
+    rows ``(keys, name_ord, name)``; ``keys`` is the path to the list
+    (region, perhaps subregion, Gender).  The JSON is read as VARIANT; objects
+    are exploded level by level until only lists are left (as many passes as
+    the deepest dictionary has levels).  A missing gender, an empty object or
+    list, and a value that is neither, yield no rows."""
+    spark = docs.sparkSession
+    level = docs.select(*extra, F.parse_json(col).alias("_v"), F.expr("cast(array() as array<string>)").alias("keys"))
+    lists = None
+    while True:
+        kind = F.schema_of_variant("_v")
+        found = level.where(kind.startswith("ARRAY")).select(*extra, "keys", F.posexplode(F.expr("cast(_v as array<string>)")).alias("name_ord", "name"))
+        lists = found if lists is None else lists.unionByName(found)
+        inner = level.where(kind.startswith("OBJECT"))
+        if inner.isEmpty():
+            return lists.withColumn("name_ord", F.col("name_ord").cast("bigint"))
+        level = (inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+                 .select(*extra, F.col("value").alias("_v"), F.concat("keys", F.array("key")).alias("keys")))
+
+
+# one prompt as the library stores it; any field may be absent
+PROMPT = "initial_prompt string, instruction string, options array<string>, " + ", ".join(
+    f"{k} string" for k in OPTION_KEYS["Success"])
+LIBRARY = f"map<string,map<string,map<string,array<struct<pos:bigint,{PROMPT.replace(' ', ':').replace(',:', ',')}>>>>>"
+
+
+def library_documents(prompts: DataFrame) -> DataFrame:
+    """Nested ``{gender: {domain: {length: [prompt, ...]}}}`` JSON documents of
+    at most SHARD prompts each, numbered by ``shard``; ``prompts`` has pos,
+    gender, domain, length and the fields of PROMPT.  One shuffle: all levels
+    are grouped within a shard."""
+    fields = [f.split(" ")[0] for f in PROMPT.split(", ")]
+    one = prompts.select(F.floor(F.col("pos") / SHARD).alias("shard"), "gender", "domain", "length",
+                         F.struct("pos", *fields).alias("_p")).repartition("shard")
+
+    def nest(df: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_p"))
+    lists = one.groupBy("shard", "gender", "domain", "length").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    library = nest(nest(nest(lists, ["shard", "gender", "domain"], "length", "_p"), ["shard", "gender"], "domain", "_p"),
+                   ["shard"], "gender", "_p")
+    return library.select("shard", F.to_json("_p").alias("doc"))
+
+
+def library_head(docs: DataFrame, allowed_domains, length: str = "short", k: int = 2, col: str = "doc") -> DataFrame:
+    """S4 + P9 + P10 + W8: the first k prompts of the wanted length per
+    (gender, domain) of the allowed domains, over all library documents; ``pos`` is
+    0-based.  A domain without that length has no key and is passed over."""
+    genders = docs.select(F.explode(F.from_json(col, LIBRARY)).alias("gender", "_d"))
+    domains = genders.select("gender", F.explode("_d").alias("domain", "_l")).where(F.col("domain").isin(list(allowed_domains)))
+    prompts = (domains.where(F.map_contains_key("_l", F.lit(length)))
+               .select("gender", "domain", F.inline(F.element_at("_l", F.lit(length)))))
+    head = top_k_per_group(prompts, ["gender", "domain"], [F.col("pos")], k, "rank")
+    return head.withColumn("pos", F.col("rank") - 1).drop("rank")

@@ -7,22 +7,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_results_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+CORRUPT = "_corrupt_record"
+ABSENT = "\u0000absent\u0000"   # read for an empty field without quotes, so that a quoted empty text is not NULL too
+
+
+def read_results_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: bool = False) -> DataFrame:
     """Result CSV with quoted multi-line text fields (responses hold
-    newlines).  Multi-line CSV cannot be split, so convert it to parquet once
-    (``to_parquet``) and query that."""
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"')
+    newlines).  ``corrupt`` adds the column CORRUPT: the text of a record that
+    does not fit the schema, else NULL.  An empty field is NULL, a quoted empty
+    one an empty text.  A multi-line CSV file cannot be split,
+    so convert results once (``convert_results``) and query the parquet table."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if corrupt else schema
+    return (spark.read.schema(full)
+            .option("header", True).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
+            .option("quote", '"').option("escape", '"').option("nullValue", ABSENT)
             .csv(path))
 
 
+def convert_results(spark: SparkSession, path: str, schema: T.StructType, out: str) -> tuple[DataFrame, DataFrame]:
+    """S5 + S14: result CSV converted to parquet once; (rows, corrupt records).
+    Every record is parsed in one pass and kept, good or not."""
+    names = [f.name for f in schema.fields]
+    read_results_csv(spark, path, schema, corrupt=True).write.mode("overwrite").parquet(out)
+    table = spark.read.parquet(out)
+    return table.where(F.col(CORRUPT).isNull()).select(*names), table.where(F.col(CORRUPT).isNotNull())
+
+
 def decode_literal(col: Column, ddl: str) -> Column:
     """A dict / list serialised as text (JSON, or a Python literal with
     single quotes) -> MAP / ARRAY.  NumPy scalar reprs such as
     ``np.float64(0.2)`` are unwrapped first."""
     cleaned = F.regexp_replace(col, r"np\.[a-z0-9_]+\(([^()]*)\)", "$1")
-    return F.from_json(cleaned, ddl, {"allowSingleQuotes": "true"})
+    return parse_literal(cleaned, ddl)
+
+
+def parse_literal(col: Column, ddl: str) -> Column:
+    return F.from_json(col, ddl, {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"})
+
+
+def encode_literal(col: Column) -> Column:
+    """A MAP of strings to strings as Python literal text, the inverse of
+    ``parse_literal``: ``{'A': 'it\\'s'}``, ``None`` written as null."""
+    def quoted(c: Column) -> Column:
+        for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            c = F.replace(c, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit("'"), c, F.lit("'"))
+    items = F.transform(F.map_entries(col), lambda e: F.concat(quoted(e["key"]), F.lit(": "), F.coalesce(quoted(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
 
 
 def failed_side_table(scored: DataFrame, score_col: str, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -45,11 +76,13 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=
 
 
 def to_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV export: maps / arrays / structs are written as JSON text."""
+    """CSV export, one file per task; maps / arrays / structs are written as
+    JSON text, blanks at the ends of a text and empty texts are kept."""
     out = df.select(*[F.to_json(F.col(f.name)).alias(f.name)
                       if isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(f.name)
                       for f in df.schema.fields])
-    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (out.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def to_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from ascribe.sources.tables import TABLES, Tables
 
 AFFECTED = ["disparity_by_mode", "mean_by_gender", "grid_complete", "means_grouping_sets", "slice_stats", "gender_gap",
-            "choice_counts", "choose_option", "quartiles_of_means"]
+            "choice_counts", "choose_option", "quartiles_of_means", "letter_to_key", "actor_choice", "choice_rows"]
 
 
 @pytest.fixture(scope="module")
