@@ -19,6 +19,9 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE_2 = int(_rng.integers(1 << 62, 1 << 63, dtype=np.uint64)) * 2 + 1
+_LANES = ((_BYTE, _BASE, _INVERSE), (_BYTE_2, _BASE_2, pow(_BASE_2, -1, 1 << 64)))
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -73,7 +76,7 @@ class Words:
     """Word spans of a slice: ``start``/``end`` byte offsets, and ``first[i]``
     to ``first[i + 1]`` the words of row ``i``.  Null texts have none."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -81,7 +84,7 @@ class Words:
         self.row = offsets - offsets[0]
         self.data = _LOWER[data] if lower else data
         if len(data):
-            gap = _SEPARATOR[data]
+            gap = separator[data]
             left, right = np.empty(len(data), bool), np.empty(len(data), bool)
             left[0], right[-1] = True, True
             left[1:], right[:-1] = gap[:-1], gap[1:]
@@ -99,18 +102,19 @@ class Words:
         """Row of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """64-bit hash of each word's bytes; lane 1 gives a second, independent one."""
+        byte, base, inverse = _LANES[lane]
         if not len(self.start):
             return np.zeros(0, np.uint64)
         n = len(self.data)
         with np.errstate(over="ignore"):
             sums = np.empty(n + 1, np.uint64)
             sums[0] = 0
-            np.take(_BYTE, self.data, out=sums[1:])
-            sums[1:] *= powers(_BASE, n)
+            np.take(byte, self.data, out=sums[1:])
+            sums[1:] *= powers(base, n)
             np.cumsum(sums[1:], out=sums[1:])
-            value = (sums[self.end] - sums[self.start]) * powers(_INVERSE, n)[self.start]
+            value = (sums[self.end] - sums[self.start]) * powers(inverse, n)[self.start]
             return mix(value + (self.end - self.start).astype(np.uint64))
 
     def text(self, row: int, keep: np.ndarray | None = None) -> bytes:

@@ -173,7 +173,7 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, width: int = WIDTH
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=_ARROW)
         for batch in batches:
             for part in slices(batch):
-                ids, offsets = tokenizer.encode(part.column("text").to_pylist())
+                ids, offsets = tokenizer.encode(part.column("text"))
                 for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[offsets[k]:offsets[k + 1]], np.uint32(end_id))
                     for pieces in packer.add(doc_id, own):

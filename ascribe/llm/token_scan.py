@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary_path: str | None =
         tokenizer = worker_tokenizer(vocabulary.value, plain_specials=True)
         for batch in batches:
             for part in slices(batch):
-                ids, offsets = tokenizer.encode(part.column("text").to_pylist())
+                ids, offsets = tokenizer.encode(part.column("text"))
                 ids = np.asarray(ids).astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
                                                  schema=arrow)
