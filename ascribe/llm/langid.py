@@ -38,9 +38,11 @@ from .common import slices
 UNKNOWN = "und"
 VOCABULARY = "piece_bpe_32k.model"
 PER_LANGUAGE = 1000            # labelled documents that are learned from, per language
+RANGE_BITS = 12                # ranges of the hash (as a power of two) that are counted to find the sample
 STEPS = 4                      # EM steps
 SMOOTH = 0.01                  # pseudo-count of every piece
-LONG_WORD = 40                 # longer words are summed in log space, where products do not underflow
+LONG_WORD = 40                 # longer words are summed in log space from the start
+TINY = 1e-250                  # so are words whose product of probabilities comes near the least number
 KNOWN_WORDS = 400_000          # words whose scores a worker keeps; beyond that it starts anew
 MARK = "▁"                # word start, as the vocabulary writes it
 
@@ -62,7 +64,11 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 def words_in(text: str) -> list[str]:
     """Lower-case letter runs with the word-start mark."""
-    return [MARK + w for w in _LETTERS.findall(text.lower())]
+    runs = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return [MARK + w for w in runs]
+    # the pattern also takes numbers that are no digits, such as ² and ½
+    return [MARK + w for run in runs for w in (run if run.isalpha() else "".join(c if c.isalpha() else " " for c in run)).split()]
 
 
 class PieceModel:
@@ -102,7 +108,7 @@ class PieceModel:
             alike.setdefault((len(w), int(w[0] == MARK)), []).append(k)
         longest = max(self.longest, 2)                  # a mark with a character outside the vocabulary
         with np.errstate(divide="ignore"):
-            logs = np.log(table) if any(n > LONG_WORD + 1 for n, _ in alike) else None
+            logs = np.log(table)
         for (n, first), rows in alike.items():
             own = [words[k] for k in rows]
             if n > LONG_WORD + 1:
@@ -120,6 +126,10 @@ class PieceModel:
                     total += alpha[start] * table[pieces]
                 alpha[end] = total
             out[rows] = np.log(np.maximum(alpha[n], 1e-300))
+            small = np.flatnonzero((alpha[n] < TINY).any(axis=1))
+            if len(small):
+                far = self._long([own[k] for k in small], n, first, logs, longest)
+                out[[rows[k] for k in small]] = np.maximum(far, -1e300)
         return out
 
     def _long(self, own: list[str], n: int, first: int, logs: np.ndarray, longest: int) -> np.ndarray:
@@ -170,6 +180,8 @@ class PieceModel:
         alpha[0] = beta[n] = 1.0
         for end in range(1, n + 1):
             alpha[end] = sum(alpha[s] * p[k] for s, k in spans[end])
+        if alpha[n] < TINY:
+            return self._expected_long(word, language)
         for end in range(n, 0, -1):
             for s, k in spans[end]:
                 beta[s] += beta[end] * p[k]
@@ -185,11 +197,20 @@ class PieceModel:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The labelled rows that are learned from.  The first ``per_language`` by
     hash are found on ids alone; each task keeps no more than that per language."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (rows.select("lang", "doc_id").withColumn("_place", F.row_number().over(order))
-           .where(F.col("_place") <= per_language).select(F.col("doc_id").alias("_id")).distinct())
-    return rows.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("lang").cast("string").alias("lang"), "text")
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text", "doc_id").where(
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # counts by range of the hash say up to which range the first rows reach; only those are numbered
+    place = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("range", F.shiftright("h", 64 - RANGE_BITS))
+    sizes = place.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    last = (sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_language)
+            .groupBy("lang").agg(F.max("range").alias("last")))
+    last = materialize(last.select(F.col("lang").alias("l"), "last"), "lang_ranges")
+    order = W.partitionBy("lang").orderBy("h", "doc_id")
+    ids = (place.join(last, (F.col("lang") == F.col("l")) & (F.col("range") <= F.col("last")))
+           .withColumn("place", F.row_number().over(order))
+           .where(F.col("place") <= per_language).select(F.col("doc_id").alias("id")).distinct())
+    return rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text")
 
 
 def train(docs: DataFrame, vocabulary_path: str | None = None, per_language: int = PER_LANGUAGE,
