@@ -229,11 +229,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
                                                       pa.array(ordinal.astype(np.int32))], schema=_SYMBOL)
     symbols = materialize(rows.where("doc_id is not null").mapInArrow(
         name, "kind int, a bigint, b bigint, doc_id bigint, key bigint, ordinal int"), "symbols")
-    held = symbols.groupBy("kind", "a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    # a table of its own: next to it in the join, Spark can split the partition of a hot name
+    held = materialize(symbols.groupBy("kind", "a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "held")
     found = (symbols.join(held, ["kind", "a", "b"]).where((F.col("kind") == 0) | (F.col("doc_id") > F.col("low")))
              .groupBy("doc_id", "key", "kind").agg(F.collect_set("ordinal").alias("ordinals")))
     flags = materialize(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("kind", "ordinals")).alias("flags")), "flags")
-    drop_scratch(symbols)
+    drop_scratch(symbols, held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,11 +262,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         compare, "doc_id bigint, key bigint, a bigint, b bigint, start int, end int"), "windows")
     drop_scratch(flags)
     windows = doubt.where("a is not null")
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    least = materialize(windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"), "least")
     repeats = windows.join(least, ["a", "b"]).where(F.col("doc_id") > F.col("low")).select(*keys, "start", "end")
     spans = materialize(repeats.union(doubt.where("a is null").select(*keys, "start", "end")).distinct()
                         .groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    drop_scratch(doubt)
+    drop_scratch(doubt, least)
 
     schema = pa.schema([*_RESULT, *([("kept_text", pa.string())] if with_text else [])])
 
