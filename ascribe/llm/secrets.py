@@ -217,7 +217,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, words: list[str] |
         made = candidates(seeds(docs.sparkSession), extra=["label"]).withColumn("cid", F.monotonically_increasing_id())
         model = train(rule_labels(described).where("label is not null"), more=describe(made, known))
     else:
-        own = findings.withColumn("cid", F.monotonically_increasing_id())
+        own = materialize(findings.withColumn("cid", F.monotonically_increasing_id()), "findings")
         model = train(describe(own.drop("label"), known).join(own.select("cid", F.col("label").cast("double").alias("label")), "cid"))
     if isinstance(model, float):
         scored = described.withColumn("p_secret", F.lit(model))
