@@ -89,16 +89,15 @@ def dedup(docs: DataFrame, table: str | None = None, path: str | None = None, bu
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Only the kept
-    (digest, id) pairs, one per text, are joined to the rows; of rows that
-    repeat both the text and the id, one stays."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their
+    names.  Only the kept (digest, id) pairs, one per text, are joined to the
+    rows; of rows that repeat both the text and the id, one stays."""
     from ..session import scratch_path
     spark = docs.sparkSession
     table = f"digests_{uuid.uuid4().hex[:12]}"
     create_index(spark, table, scratch_path(spark, table))
     append_new(groups(docs), table)
     index = read_index(spark, table)
-    kept = index.select(F.col(DIGEST).alias("_digest"), F.col("keep_id").alias("_keep"))
-    rows = docs.withColumn("_digest", digest()).withColumn("_keep", F.col("doc_id").cast("bigint"))
-    same = [rows["_digest"] == kept["_digest"], rows["_keep"].eqNullSafe(kept["_keep"])]
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_keep", "_digest"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), digest().alias("own"), F.col("doc_id").cast("bigint").alias("id"))
+    same = [rows["own"] == index[DIGEST], rows["id"].eqNullSafe(index["keep_id"])]
+    return rows.join(index, same, "left_semi").dropDuplicates(["id", "own"]).select("row.*")

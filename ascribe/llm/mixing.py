@@ -139,24 +139,22 @@ def quotas(rows: DataFrame, kind: str = REPETITION, target: float = 2.0, budget:
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
-    """Each row as often as its source's quota says, with its ``copy`` number
-    from 0 and ``position`` (the permutation key).  The plan has one row per
+    """Each row (as the struct ``row``, so its columns clash with nothing) as
+    often as its source's quota says, with its ``weight``, its ``copy`` number from 0 and ``position`` (the permutation key).  The plan has one row per
     source; Spark broadcasts it when its measured size allows and else splits
     the hot sources' partitions."""
-    p = plan.select(F.col("source").alias("_s"), "weight", "passes", "cut")
-    key = permutation_key(seed)
-    return (rows.withColumn("position", key).join(p, F.col("source").eqNullSafe(F.col("_s")))
-            .withColumn("_n", F.col("passes") + F.when(F.col("position") <= F.col("cut"), 1).otherwise(0))
-            .where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-            .drop("_s", "_n", "passes", "cut"))
+    p = plan.select(F.col("source").alias("s"), "weight", "passes", "cut")
+    whole = rows.select(F.struct("*").alias("row"), F.col("source").alias("own"), permutation_key(seed).alias("position"))
+    times = F.col("passes") + F.when(F.col("position") <= F.col("cut"), 1).otherwise(0)
+    return (whole.join(p, F.col("own").eqNullSafe(F.col("s"))).withColumn("n", times).where("n > 0")
+            .select("row", "position", "weight", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy")))
 
 
 def plan(docs: DataFrame, kind: str = REPETITION, target: float = 2.0, budget: int | None = None, seed: int = 7) -> DataFrame:
     """One row per taken copy: ``doc_id, source, n_tokens, copy, position, weight``."""
     from ..session import materialize
     rows = materialize(docs.select("doc_id", "source", tokens_of().alias("n_tokens")), "mix_docs")
-    return with_copies(rows, quotas(rows, kind, target, budget, seed), seed).select(
-        "doc_id", "source", "n_tokens", "copy", "position", "weight")
+    return with_copies(rows, quotas(rows, kind, target, budget, seed), seed).select("row.*", "copy", "position", "weight")
 
 
 def mix(docs: DataFrame, kind: str = REPETITION, target: float = 2.0, budget: int | None = None, seed: int = 7) -> DataFrame:
@@ -164,4 +162,4 @@ def mix(docs: DataFrame, kind: str = REPETITION, target: float = 2.0, budget: in
     from ..session import materialize
     rows = materialize(docs.select("doc_id", "source", tokens_of().alias("n_tokens")), "mix_docs")
     p = quotas(rows, kind, target, budget, seed)
-    return with_copies(docs, p, seed).select(*docs.columns)
+    return with_copies(docs, p, seed).select("row.*")

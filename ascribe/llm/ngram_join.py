@@ -108,9 +108,9 @@ def ordered(names: np.ndarray, doc: np.ndarray, sketch: np.ndarray) -> tuple[np.
 def _members(docs: DataFrame, k: int) -> DataFrame:
     """One pass over all texts: a row per document (size and name of its set, sizes of its cells)
     and, per task, the pieces of its count sketch (null ``slot`` marks a document)."""
-    schema = "doc_id bigint, n int, a bigint, b bigint, cells array<int>, slot int, counts binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("cells", pa.list_(pa.int32())),
-                       ("slot", pa.int32()), ("counts", pa.binary())])
+    schema = "doc_id bigint, key bigint, n int, a bigint, b bigint, cells array<int>, slot int, counts binary"
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
+                       ("cells", pa.list_(pa.int32())), ("slot", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
@@ -120,16 +120,16 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
                 size, a, b = set_names(names, doc, part.num_rows)
                 counts += np.bincount(sketch_slot(names), minlength=SKETCH)
                 none = pa.nulls(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(a),
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(size.astype(np.int32)), pa.array(a),
                                                   pa.array(b), cell_sizes(names, doc, part.num_rows),
                                                   none.cast(pa.int32()), none.cast(pa.binary())], schema=arrow)
         pieces = [p.astype("<u4").tobytes() for p in np.array_split(np.minimum(counts, 0xFFFFFFFF), SKETCH_PARTS)]
         none = pa.nulls(SKETCH_PARTS)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
                                           none.cast(pa.int64()), none.cast(pa.list_(pa.int32())),
                                           pa.array(range(SKETCH_PARTS), pa.int32()),
                                           pa.array(pieces, pa.binary())], schema=arrow)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) key").mapInArrow(run, schema)
 
 
 def _sketch(members: DataFrame) -> np.ndarray:
@@ -255,11 +255,12 @@ def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame, sketch, k: int,
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id,
-    class_id`` (smallest id with the same set)."""
+    class_id`` (smallest id with the same set), ``key`` (of the row's text),
+    ``a`` and ``b`` (name of its set)."""
     spark = docs.sparkSession
     both = materialize(_members(docs, k), "members")
     sketch = spark.sparkContext.broadcast(_sketch(both))            # SKETCH counters, 4 MB
-    members = both.where("slot is null").select("doc_id", "n", "a", "b", "cells")
+    members = both.where("slot is null").select("doc_id", "key", "n", "a", "b", "cells")
     # one set per document id, one class per set
     single = members.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min(F.struct("a", "b", "n")).alias("s")).select(
         "doc_id", "s.a", "s.b", "s.n")
@@ -310,16 +311,21 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
                 comp = components(links.union(more))
     placed_class = in_class.join(comp, in_class["class_id"] == comp["node"], "left").select(
         F.col("doc_id").alias("d"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = members.select("doc_id", F.col("n").cast("bigint").alias("n_shingles")).join(
+    out = members.select("doc_id", "key", "a", "b", F.col("n").cast("bigint").alias("n_shingles")).join(
         placed_class, F.col("doc_id") == F.col("d"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-                      F.coalesce("class_id", "doc_id").alias("class_id"))
+                      F.coalesce("class_id", "doc_id").alias("class_id"), "key", "a", "b")
 
 
 def keep_one(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with its smallest id, and every
-    document without an id or shingles; all columns kept."""
-    found = near_duplicates(docs, k, percent)
-    drop = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.withColumn("_key", F.col("doc_id").cast("bigint")).join(
-        drop, F.col("_key") == F.col("_gone"), "left_anti").select(*docs.columns)
+    document without an id or shingles; all columns kept, whatever their names.
+    Of rows that repeat an id, only those with the set that stands for the id
+    go with it; another text stays."""
+    found = materialize(near_duplicates(docs, k, percent), "near")
+    gone = found.where((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0))
+    stands = gone.groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("s")).select(F.col("doc_id").alias("d"), "s.*")
+    drop = gone.join(stands, (gone["doc_id"] == stands["d"]) & (gone["a"] == stands["a"]) & (gone["b"] == stands["b"]), "left_semi")
+    drop = drop.select(F.col("doc_id").alias("id"), F.col("key").alias("other")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("own"), F.xxhash64("text").alias("mine"))
+    return rows.join(drop, (F.col("own") == F.col("id")) & (F.col("mine") == F.col("other")), "left_anti").select("row.*")

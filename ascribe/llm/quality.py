@@ -80,13 +80,13 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
                                                    repeated_words(w).alias("repeat")))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return (docs.select("doc_id", t.alias("_t"))
-            .select("doc_id", words.alias("_w"), lines.alias("_l"),
+            .select("doc_id", F.xxhash64("_t").alias("text_key"), words.alias("_w"), lines.alias("_l"),
                     without(SEPARATORS).alias("word_chars"),
                     (F.length("_t") - without(SYMBOLS)).cast("bigint").alias("n_symbols"),
                     (F.length("_t") - without(upper)).cast("bigint").alias("n_upper"),
                     (F.length("_t") - without("!")).cast("bigint").alias("n_exclaim"),
                     (F.length("_t") - without("0123456789")).cast("bigint").alias("n_digits"))
-            .select("doc_id", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols",
+            .select("doc_id", "text_key", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols",
                     F.col("_l.dup").alias("n_dup_lines"), F.col("_w.repeat").alias("n_repeat_words"),
                     F.col("_l.n").alias("n_lines"), "n_upper", "n_exclaim", "n_digits"))
 
@@ -176,9 +176,10 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, with all their columns: the judged ids are
-    joined back by ``doc_id`` (a repeated id is kept when any of its rows is)."""
-    kept = judge(docs, text, threshold).where("kept").select("doc_id").distinct()
-    left = docs.withColumn("_key", F.col("doc_id"))
-    right = kept.select(F.col("doc_id").alias("_good"))
-    return left.join(right, F.col("_key").eqNullSafe(F.col("_good")), "left_semi").select(*docs.columns)
+    """The documents that are kept, with all their columns, whatever their
+    names.  The verdict is the text's, so rows that share an id, or have none,
+    are each judged by their own text."""
+    kept = judge(docs, text, threshold).where("kept").select(F.col("doc_id").alias("id"), "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
+    same = rows["own"].eqNullSafe(kept["id"]) & (rows["key"] == kept["text_key"])
+    return rows.join(kept, same, "left_semi").select("row.*")
