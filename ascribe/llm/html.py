@@ -4,11 +4,13 @@ Per page: the markup is read into a tree, boilerplate subtrees (menus,
 headers, footers, side columns, notices, adverts, forms, scripts, styles,
 reader comments) are left out unless they hold the page's article or most of
 its paragraph text, and every paragraph passes points for its
-length and commas to its ancestors, less the further away.  An ancestor's sum
+length and commas to its next ``REACH`` ancestors, less the further away.  An ancestor's sum
 is discounted by its share of link text.  The best container is kept; where it
 lies in an ``article`` or ``main`` element that element is the container, else
-its siblings that are not mostly links are kept with it.  A page that is left
-without text is read again without the rules on forms and class names.
+the articles beside it are kept with it, other containers that are not mostly
+links are kept at the highest level that adds no link text.  A page that is left
+without text is read again without the rules on forms and class names.  Every
+step is linear in the page's size, however deep its elements lie.
 
 Pages are independent, so the job has no shuffle, and a page's tree lives only
 while its row is handled.
@@ -61,6 +63,7 @@ KEPT_TAGS = frozenset({"html", "body", "article", "main"})
 START = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3,
          "dl": -3, "li": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
 SIBLING_SHARE = 0.2
+REACH = 6                      # elements that a block passes points to
 PARAGRAPHS = frozenset("p pre blockquote".split())
 
 
@@ -119,12 +122,24 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, None)
+        self.open: dict[str, int] = {}                 # open elements by tag
+
+    def _leave(self, node: Node) -> None:
+        """Close all open elements up to ``node``, itself included."""
+        while True:
+            at = self.at
+            self.open[at.tag] -= 1
+            self.at = at.parent
+            if at is node:
+                return
 
     def _close(self, tags: set[str], borders: set[str] | frozenset[str]) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         node = self.at
         while node.parent is not None and node.tag not in borders:
             if node.tag in tags:
-                self.at = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -139,14 +154,15 @@ class TreeBuilder(HTMLParser):
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("html", "body") and self.at.tag == tag and tag in ("svg", "path"):
-            self.at = self.at.parent
+            self._leave(self.at)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("html", "body"):
+        if not self.open.get(tag):                     # a stray end tag
             return
         node = self.at
         while node.parent is not None and node.tag != tag:
@@ -154,7 +170,7 @@ class TreeBuilder(HTMLParser):
                 return
             node = node.parent
         if node.parent is not None:
-            self.at = node.parent
+            self._leave(node)
 
     def handle_data(self, data: str) -> None:
         if not self.at.dropped:
@@ -276,6 +292,15 @@ def fair_siblings(best: Node) -> list:
     return kept
 
 
+def fair_articles(best: Node) -> list:
+    """An article or main, and the articles beside it that hold paragraph text
+    and are not mostly links."""
+    if best.tag != "article" or best.parent is None:
+        return [best]
+    return [c for c in best.parent.children if c is best or (not isinstance(c, str) and c.tag == "article" and not c.dropped
+                                                            and c.paragraphs > 0 and c.links * 2 <= c.text)]
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, one line per block."""
     if not html:
@@ -297,7 +322,7 @@ def text_of(root: Node) -> str:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         # the block's own element passes them to its ancestors
         node, level = (owner.parent or owner), 0
-        while node is not None:
+        while node is not None and level < REACH:
             if id(node) not in scored:
                 node.score = START.get(node.tag, 0)
                 scored[id(node)] = node
@@ -311,9 +336,14 @@ def text_of(root: Node) -> str:
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.parent
-    if node is None and best.parent is not None:
+    if node is not None:
+        return "\n".join(text for _, text in blocks(fair_articles(node), node.parent))
+    # up to the highest container that adds no link text
+    while best.parent is not None and best.parent.parent is not None and best.parent.links <= best.links:
+        best = best.parent
+    if best.parent is not None:
         return "\n".join(text for _, text in blocks(fair_siblings(best), best.parent))
-    return "\n".join(text for _, text in blocks([node or best]))
+    return "\n".join(text for _, text in blocks([best]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
