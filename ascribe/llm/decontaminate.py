@@ -22,7 +22,8 @@ words or more, has its fingerprint on both sides:
 Items shorter than a window are winnowed at their own length, so the
 documents are fingerprinted once per length that the benchmark has (at most
 ``WINDOW`` lengths).  The benchmark's fingerprints are broadcast when they are
-counted to be at most ``BROADCAST_ROWS``, else both sides are shuffled.
+counted to be at most ``BROADCAST_ROWS``, else both sides are shuffled; so are
+the keys of the documents whose texts are read again in step 2.
 
 Defined cases: a null text has no words; a null ``doc_id`` is an ordinary
 value; repeated rows are answered each; a null ``item_id`` marks words but is
@@ -43,7 +44,7 @@ from .quality import let
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_ROWS = 500_000       # fingerprints (12 bytes each) that may be broadcast, counted beforehand
+BROADCAST_ROWS = 500_000       # fingerprints (12 bytes each) or document keys (16) that may be broadcast, counted beforehand
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAPS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -136,7 +137,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
                                                                   lambda i: F.struct(s["length"].alias("length"), i.alias("start")))))
     named = let(words_of("text"), lambda w: F.transform(places, lambda p: F.struct(
         p["length"].alias("length"), p["start"].alias("start"), *_names(w, p["start"], p["length"]))))
-    windows = (rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    # only the texts of documents with a shared fingerprint are moved, if their keys are few
+    keys = spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
+    some = rows.join(F.broadcast(keys) if spans.count() <= BROADCAST_ROWS else keys, same, "left_semi")
+    windows = (some.join(wanted, same)
                .select("doc_id", "key", F.explode(named).alias("x")).select("doc_id", "key", "x.*"))
     found = windows.join(targets.select("length", "a", "b", "class"), ["length", "a", "b"])
     # 3. words covered and combinations of classes
