@@ -370,7 +370,8 @@ def test_html_keeps_whole_text():
 
 def test_oracles_match(spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in ORACLE.items():
         df = QUERIES[name](spark, sf_dir)
         rel = con.sql(sql)
