@@ -12,8 +12,9 @@ threshold t share a shingle among the first |x| - ceil(t |x|) + 1 of each, so
    all others, when the places of the shingle in both sets still allow the
    threshold, and the sizes of many small cells of the sets (cut by name) add
    up to a large enough bound of the overlap;
-4. the global order is cut at fixed places into fragments; each pair's
-   overlap is counted per fragment, on its own, and summed;
+4. the global order is cut at fixed places into fragments, and every set into
+   one row per fragment; the pairs are joined with the rows of a fragment, each
+   (pair, fragment) gives a partial overlap, and these are summed per pair;
 5. linked documents form components.  Pairs inside one component need no
    check.  The pairs of a bucket across components, found by joining its
    members outside the bucket's main component with all, are counted the same
@@ -176,9 +177,9 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, sketch, k: int, fragments: int) -> DataFrame:
-    """The wanted documents' sets, one row each, cut into fragments of the
-    global order (columns f0, f1, ...).  The cuts are quantiles of the sketch,
-    so fragments are about equally full.
+    """The wanted documents' sets, cut into fragments of the global order: one
+    row (fragment, doc_id, a, names) for each fragment that a set reaches into.
+    The cuts are quantiles of the sketch, so fragments are about equally full.
 
     A bitmap of the wanted ids spares the tasks most other documents; it has a
     fixed size and only saves work, the join decides."""
@@ -187,8 +188,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, sketch, k: int, fragments: int
     mass = np.cumsum(counts.astype(np.float64))
     cuts = np.array([counts[min(len(counts) - 1, np.searchsorted(mass, mass[-1] * f / fragments))] for f in range(1, fragments)])
     bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
-    columns = [f"f{i}" for i in range(fragments)]
-    arrow = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), *[(c, pa.list_(pa.int64())) for c in columns]])
+    arrow = pa.schema([("fragment", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("names", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,16 +199,18 @@ def _segments(docs: DataFrame, wanted: DataFrame, sketch, k: int, fragments: int
                 names, doc = shingle_sets(part.column("text"), k)
                 _, a, _ = set_names(names, doc, part.num_rows)
                 piece = np.searchsorted(cuts, sketch.value[sketch_slot(names)], "right")
-                lists = []
                 for i in range(fragments):
                     own = piece == i
-                    ends = np.cumsum(np.bincount(doc[own], minlength=part.num_rows))
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(signed(names[own]))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), *lists], schema=arrow)
+                    size = np.bincount(doc[own], minlength=part.num_rows)
+                    held = np.flatnonzero(size)
+                    ends = np.concatenate(([0], np.cumsum(size[held]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(held), i, np.int32)), part.column("doc_id").take(pa.array(held)), pa.array(a[held]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(names[own])))], schema=arrow)
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    out = rows.mapInArrow(run, "doc_id bigint, a bigint, " + ", ".join(f"{c} array<bigint>" for c in columns))
+    out = rows.mapInArrow(run, "fragment int, doc_id bigint, a bigint, names array<bigint>")
     # of a repeated doc_id, the set that stands for it
-    return out.join(wanted, ["doc_id", "a"], "left_semi").dropDuplicates(["doc_id", "a"])
+    return out.join(wanted, ["doc_id", "a"], "left_semi").dropDuplicates(["doc_id", "a", "fragment"])
 
 
 def _allowed(n: Column, pos: Column, n2: Column, pos2: Column, percent: int) -> Column:
@@ -237,19 +239,20 @@ def _possible(pairs: DataFrame, members: DataFrame, known: DataFrame, percent: i
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame, sketch, k: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs (u, v) that reach the threshold: overlaps counted per fragment, then summed."""
+    """The pairs (u, v) that reach the threshold.  Each pair meets the rows of
+    one fragment at a time: a partial count per (pair, fragment), which are
+    summed per pair.  A pair with nothing in common has no row and no link."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     wanted = materialize(known.join(ids, "doc_id", "left_semi").select("doc_id", "a"), "wanted")
-    cells = materialize(_segments(docs, wanted, sketch, k, fragments), "segments")
-    names = [f"f{i}" for i in range(fragments)]
-    left = cells.select(F.col("doc_id").alias("u"), *[F.col(c).alias(f"x_{c}") for c in names])
-    right = cells.select(F.col("doc_id").alias("v"), *[F.col(c).alias(f"y_{c}") for c in names])
-    partial = pairs.join(left, "u").join(right, "v").select(
-        "u", "v", "nu", "nv", *[F.size(F.array_intersect(f"x_{c}", f"y_{c}")).alias(c) for c in names])
-    total = partial.select("u", "v", "nu", "nv", sum((F.col(c) for c in names), F.lit(0)).alias("common"))
+    rows = materialize(_segments(docs, wanted, sketch, k, fragments), "segments")
+    left = rows.select("fragment", F.col("doc_id").alias("u"), F.col("names").alias("x"))
+    right = rows.select("fragment", F.col("doc_id").alias("v"), F.col("names").alias("y"))
+    partial = pairs.join(left, "u").join(right, ["v", "fragment"]).select(
+        "u", "v", "nu", "nv", F.size(F.array_intersect("x", "y")).alias("part"))
+    total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("part").alias("common"))
     out = materialize(total.where(100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v"),
                       "links")
-    drop_scratch(cells, wanted)
+    drop_scratch(rows, wanted)
     return out
 
 
