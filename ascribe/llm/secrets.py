@@ -1,8 +1,9 @@
 """Secret scan with a random forest against false positives (operator 5), DataFrame functions only.
 
 Candidates are all long runs of key characters in every word, less a leading
-``NAME=``, that hold a digit.  Each is described by its length, its characters
-and the transitions between their kinds, how much of it a dictionary covers,
+``NAME=``, that hold a digit.  Each is described by its length, its characters,
+the transitions between their kinds and how likely its character pairs are
+among the dictionary's words, how much of it a dictionary covers,
 the path it came from, the words next to it and the text around it in its own
 word (key name, separator, quote).  A random forest trained on labelled
 findings gives the probability that it is a secret.
@@ -28,6 +29,10 @@ returned, only its digest and first characters.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +54,8 @@ SEEDS = 3_000
 PER_LABEL = 20_000
 TREES, DEPTH = 20, 6
 THRESHOLD = 0.5
-FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_transitions", "f_distinct", "f_hex", "f_dictionary", "f_assigned",
+CLASSES = 28                   # a to z, digits, other key characters
+FEATURES = ("f_length", "f_digits", "f_upper", "f_lower", "f_transitions", "f_pairs", "f_pairs_least", "f_distinct", "f_hex", "f_dictionary", "f_assigned",
             "f_key_before", "f_id_before", "f_key_near", "f_quoted", "f_ends_text", "f_test_path")
 
 
@@ -95,14 +101,43 @@ def candidates(docs: DataFrame, text: str = "text", extra=()) -> DataFrame:
                     "before1", "before2", "after"))
 
 
+def public_words() -> list[str]:
+    from .langid import MARK, vocabulary
+    return sorted(w for w in {p.removeprefix(MARK) for p in vocabulary()} if len(w) >= 3 and w.isascii())
+
+
 def dictionary(docs: DataFrame, words: list[str]) -> DataFrame:
     """Dictionary words as a table; the list is a fixed public vocabulary."""
     listed = F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
     return docs.sparkSession.range(1).select(F.explode(listed).alias("run"))
 
 
-def describe(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Feature columns of candidates that carry a unique ``cid``."""
+def _class(c: str) -> int:
+    return ord(c) - ord("a") if "a" <= c <= "z" else CLASSES - 2 if c.isdigit() else CLASSES - 1
+
+
+def transitions(words: list[str]) -> Column:
+    """CLASSES x CLASSES log-probabilities of the next character's class,
+    counted over the dictionary's words with a pseudo-count of one."""
+    seen = Counter((_class(a), _class(b)) for w in words for a, b in pairwise(w.lower()))
+    total = Counter()
+    for (a, _), n in seen.items():
+        total[a] += n
+    logs = [math.log((seen[a, b] + 1) / (total[a] + CLASSES)) for a in range(CLASSES) for b in range(CLASSES)]
+    return F.split(F.lit(" ".join(f"{x:.6f}" for x in logs)), " ").cast("array<double>")
+
+
+def pair_scores(f: Column, table: Column) -> Column:
+    """Log-probabilities of a finding's successive character pairs, in order."""
+    # letters keep their code; digits and other characters follow z
+    folded = F.regexp_replace(F.regexp_replace(F.lower(f), "[0-9]", "{"), "[^a-z{]", "|")
+    codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.ascii(c) - ord("a"))
+    return let(codes, lambda own: F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own)),
+                                             lambda a, b: F.get(table, a * CLASSES + b)))
+
+
+def describe(found: DataFrame, known: DataFrame, table: Column) -> DataFrame:
+    """Feature columns of candidates that carry a unique ``cid``; ``table`` as ``transitions`` makes it."""
     runs = found.select("cid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("finding"), F.lit("[a-z]{3,}"), 0))).alias("run"))
     covered = (runs.join(F.broadcast(known), "run").groupBy("cid").agg(F.sum(F.length("run")).alias("covered")))   # a public vocabulary
     f, n = F.col("finding"), F.length("finding").cast("double")
@@ -121,8 +156,11 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
     assigned = F.when(own, lead.rlike("[=:]>?[^A-Za-z0-9_+/.\\-=:]*$")).otherwise(lead.rlike("^[=:]") | F.col("before1").rlike("[=:]>?$"))
     name = (F.when(own, F.regexp_extract(lead, r"([A-Za-z0-9_+/.\-]+)[^A-Za-z0-9_+/.\-]*$", 1))
             .when(apart, F.col("before2")).otherwise(F.col("before1")))
-    return found.join(covered, "cid", "left").select(
-        "*", n.alias("f_length"), share("[0-9]").alias("f_digits"), share("[A-Z]").alias("f_upper"), share("[a-z]").alias("f_lower"),
+    # the mean over all pairs, and over the least likely quarter of them
+    scores = let(F.array_sort(pair_scores(f, table)), lambda x: F.array(*[
+        F.aggregate(F.slice(x, 1, m), F.lit(0.0), lambda total, v: total + v) / m for m in (F.size(x), F.ceil(F.size(x) / 4).cast("int"))]))
+    return found.withColumn("scores", scores).join(covered, "cid", "left").select(
+        "*", F.get("scores", 0).alias("f_pairs"), F.get("scores", 1).alias("f_pairs_least"), n.alias("f_length"), share("[0-9]").alias("f_digits"), share("[A-Z]").alias("f_upper"), share("[a-z]").alias("f_lower"),
         ((F.length(kinds) - 1) / n).alias("f_transitions"), (F.size(F.array_distinct(F.split(f, ""))) / n).alias("f_distinct"),
         flag(f.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("f_hex"), (F.coalesce("covered", F.lit(0)) / n).alias("f_dictionary"),
         flag(assigned).alias("f_assigned"), flag(name.rlike(KEY_WORDS)).alias("f_key_before"), flag(name.rlike(ID_WORDS)).alias("f_id_before"),
@@ -138,7 +176,7 @@ def rule_labels(described: DataFrame) -> DataFrame:
 
 
 def seeds(spark: SparkSession, n: int = SEEDS) -> DataFrame:
-    """``doc_id, text, source, label``: made-up texts of one finding each.
+    """``doc_id, text, source, label, form``: made-up texts of one finding each.
     Random values under key names, after "Bearer" or in a published format are
     secrets; hashes and ids under id names or alone, digits, placeholders,
     paths and titles are not, whatever the name."""
@@ -178,7 +216,7 @@ def seeds(spark: SparkSession, n: int = SEEDS) -> DataFrame:
                                                           for f, k, v, y in kinds]), which))
     line = F.replace(F.replace(F.col("kind.form"), F.lit("{n}"), F.col("kind.name")), F.lit("{v}"), F.col("kind.value"))
     return made.select("doc_id", F.concat(pick(7, ["", "some words ", "a line\n"]), line, pick(8, ["", " and more", "\nnext"])).alias("text"),
-                       pick(9, ["", "tests/one", "src/two"]).alias("source"), F.col("kind.label").alias("label"))
+                       pick(9, ["", "tests/one", "src/two"]).alias("source"), F.col("kind.label").alias("label"), F.col("kind.form").alias("form"))
 
 
 def train(labelled: DataFrame, per_label: int = PER_LABEL, more: DataFrame | None = None):
@@ -206,19 +244,16 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, words: list[str] |
     """``doc_id, word_pos, run_pos, starts_with, finding_sha256, p_secret, is_secret``
     for every candidate.  ``findings``: labelled rows (doc_id, path, word_pos,
     word, finding, before1, before2, after, label)."""
-    if words is None:
-        from .langid import MARK, vocabulary
-        words = sorted({p.removeprefix(MARK) for p in vocabulary()} - {""})
-        words = [w for w in words if len(w) >= 3 and w.isascii()]
-    known = dictionary(docs, words)
+    words = public_words() if words is None else words
+    known, table = dictionary(docs, words), transitions(words)
     found = materialize(candidates(docs, text).withColumn("cid", F.monotonically_increasing_id()), "candidates")
-    described = materialize(describe(found, known), "described")
+    described = materialize(describe(found, known, table), "described")
     if findings is None:
         made = candidates(seeds(docs.sparkSession), extra=["label"]).withColumn("cid", F.monotonically_increasing_id())
-        model = train(rule_labels(described).where("label is not null"), more=describe(made, known))
+        model = train(rule_labels(described).where("label is not null"), more=describe(made, known, table))
     else:
         own = materialize(findings.withColumn("cid", F.monotonically_increasing_id()), "findings")
-        model = train(describe(own.drop("label"), known).join(own.select("cid", F.col("label").cast("double").alias("label")), "cid"))
+        model = train(describe(own.drop("label"), known, table).join(own.select("cid", F.col("label").cast("double").alias("label")), "cid"))
     if isinstance(model, float):
         scored = described.withColumn("p_secret", F.lit(model))
     else:

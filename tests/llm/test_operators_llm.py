@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ascribe.llm import exact, html, langid, mixing, ngram_join, packing, quality, secrets, substring, token_scan
@@ -288,6 +289,29 @@ def test_secret_scan_labels(spark):
     assert {r.doc_id: r.is_secret for r in secrets.scan(table).collect()} == {i: i < 5 for i in range(9)}
 
 
+def test_secret_pair_scores(spark):
+    words_, finding = ["token", "tone", "note"], "To9-nEx"
+    seen = [secrets._class(c) for c in finding.lower()]
+    own = [(secrets._class(a), secrets._class(b)) for w in words_ for a, b in zip(w, w[1:])]
+    want = [np.log((own.count(p) + 1) / (sum(a == p[0] for a, _ in own) + secrets.CLASSES)) for p in zip(seen, seen[1:])]
+    got = spark.createDataFrame([(finding,)], "f string").select(secrets.pair_scores(F.col("f"), secrets.transitions(words_)).alias("p")).first().p
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_secret_scan_on_forms_it_has_not_seen(spark):
+    listed = secrets.public_words()
+    made = secrets.candidates(secrets.seeds(spark), extra=["label", "form"]).withColumn("cid", F.monotonically_increasing_id())
+    described = secrets.describe(made, secrets.dictionary(made, listed), secrets.transitions(listed)).cache()
+    held = F.col("form").isin("{n}='{v}'", '"{n}":"{v}"', "{n} => '{v}',", "({v})", "list,{v},end", "bearer {v}")
+    model = secrets.train(described.where(~held))
+    from pyspark.ml.functions import vector_to_array
+    rows = model.transform(described.where(held)).select("label", (vector_to_array("probability")[1] >= secrets.THRESHOLD).alias("said")).collect()
+    true = sum(r.said and r.label == 1.0 for r in rows)
+    precision, recall = true / sum(r.said for r in rows), true / sum(r.label == 1.0 for r in rows)
+    print("unseen forms:", len(rows), precision, recall)
+    assert len(rows) > 500 and precision >= 0.9 and recall >= 0.9
+
+
 def test_language_id(spark, docs, empty):
     p = "/root/testdata/sf0.01/documents.parquet"
     table = spark.read.parquet(p)
