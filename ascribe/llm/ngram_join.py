@@ -16,10 +16,12 @@ threshold t share a shingle among the first |x| - ceil(t |x|) + 1 of each, so
    one row per fragment; the pairs are joined with the rows of a fragment, each
    (pair, fragment) gives a partial overlap, and these are summed per pair;
 5. linked documents form components.  Pairs inside one component need no
-   check.  The pairs of a bucket across components, found by joining its
-   members outside the bucket's main component with all, are counted the same
-   way, and the components joined up.  This last round covers every pair that
-   is left, so the components are those of all links.
+   check.  The pairs of a bucket across components are counted the same way,
+   and the components joined up.  They are found by joining the members outside
+   the bucket's main component with all; where these are more than ``OUTSIDE``,
+   by joining the bucket's members on whole cells of their sets, in one of which
+   linked sets agree.  This last round covers every pair that is left, so the
+   components are those of all links.
 
 Defined cases: a null or empty text has no shingles and links with nothing;
 fewer than k words make one shingle of them all; a null ``doc_id`` links with
@@ -48,6 +50,7 @@ SKETCH = 1 << 20               # counters of the count sketch: 4 MB, whatever th
 SKETCH_PARTS = 16              # pieces that a sketch travels in
 FRAGMENTS = 4                  # fragments of the global order
 CELLS = 128                    # cells of a set whose sizes bound overlaps
+OUTSIDE = 64                   # members outside a bucket's main component that meet all others of it
 BITS = 1 << 23                 # bits of the id bitmap: 1 MB, whatever the corpus
 
 
@@ -256,6 +259,109 @@ def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame, sketch, k: int,
     return out
 
 
+def _edges(percent: int) -> np.ndarray:
+    """Lower ends of size classes: a set and another up to 100 / percent times
+    as large lie in one class or in neighbouring ones."""
+    if percent >= 100:
+        return np.array([1, 1 << 31], np.int64)
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.array(edges, np.int64)
+
+
+def signatures(names: np.ndarray, doc: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the cells of each row's set (names sorted within rows), and their rows.
+
+    Two sets of n <= m members that reach the threshold differ in at most
+    n (100 - percent) / percent members.  Cut into one cell more than that, they
+    agree in a whole cell.  The number of cells follows from the class of the
+    smaller set, so a set is cut for its own class and for the one below."""
+    edges = _edges(percent)
+    cells = (edges[1:] - 1) * (100 - percent) // percent + 1
+    size = np.bincount(doc, minlength=rows)
+    own = np.searchsorted(edges, size, "right") - 1
+    scrambled = mix(names + np.uint64(0x9E3779B97F4A7C15))
+    out, of = [], []
+    with np.errstate(over="ignore"):
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(scrambled, dtype=np.uint64)))
+        for below in (0, 1):
+            cls = own - below
+            count = np.where((size > 0) & (cls >= 0), cells[np.maximum(cls, 0)], 0)
+            first = np.cumsum(count) - count
+            row = np.repeat(np.arange(rows), count)
+            held = count[doc] > 0
+            # names are uniform, and their order is that of the cells: each cell is one stretch
+            cell = ((names >> np.uint64(32)) * count[doc].astype(np.uint64)) >> np.uint64(32)
+            filled = np.bincount(first[doc[held]] + cell[held].astype(np.int64), minlength=len(row))
+            skipped = np.searchsorted(doc, row, "left")        # members of rows before this one
+            within = np.cumsum(filled) - filled - np.repeat((np.cumsum(filled) - filled)[first[count > 0]], count[count > 0])
+            at = skipped + within
+            content = sums[at + filled] - sums[at]
+            place = (cls[row].astype(np.uint64) << np.uint64(32)) + (np.arange(len(row)) - first[row]).astype(np.uint64)
+            out.append(mix(content ^ mix(place)))
+            of.append(row)
+    return np.concatenate(out), np.concatenate(of)
+
+
+def _signatures(docs: DataFrame, wanted: DataFrame, k: int, percent: int) -> DataFrame:
+    """(shingle, doc_id): the cells of the wanted documents' sets, in place of shingles."""
+    spark = docs.sparkSession
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    arrow = pa.schema([("shingle", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            hit = (bitmap.value[(h % BITS) // 64] >> (h % 64)) & 1
+            for part in slices(batch.filter(pa.array(hit.astype(bool)))):
+                names, doc = shingle_sets(part.column("text"), k)
+                _, a, _ = set_names(names, doc, part.num_rows)
+                cell, row = signatures(names, doc, part.num_rows, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cell)), part.column("doc_id").take(pa.array(row)), pa.array(a[row])],
+                                                 schema=arrow)
+    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    out = rows.mapInArrow(run, "shingle bigint, doc_id bigint, a bigint")
+    return out.join(wanted, ["doc_id", "a"], "left_semi").select("shingle", "doc_id").distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Buckets that hold several components: (shingle, main, outside), the
+    component with most members and the number of members outside it."""
+    by = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    return (by.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"))
+            .where("parts > 1").select("shingle", F.col("m.component").alias("main"), (F.col("total") - F.col("m.c")).alias("outside")))
+
+
+def _across(placed: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """Allowed pairs (u, v, nu, nv) of the buckets' members across components."""
+    mixed = placed.join(buckets.select("shingle", "main"), "shingle")
+    other = mixed.where(F.col("component") != F.col("main")).select(
+        "shingle", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"))
+    return (mixed.join(other, (mixed["shingle"] == other["shingle"]) & (F.col("component") != F.col("c2"))
+                       & _allowed(F.col("n"), F.col("pos"), F.col("n2"), F.col("p2"), percent))
+            .select(F.least("doc_id", "d2").alias("u"), F.greatest("doc_id", "d2").alias("v"),
+                    F.when(F.col("doc_id") < F.col("d2"), F.col("n")).otherwise(F.col("n2")).alias("nu"),
+                    F.when(F.col("doc_id") < F.col("d2"), F.col("n2")).otherwise(F.col("n")).alias("nv")).distinct())
+
+
+def _left_over(docs: DataFrame, placed: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every pair across components that may still be a link, from ``placed``
+    (shingle, doc_id, n, pos, component).  In buckets with at most ``OUTSIDE``
+    members outside the main component these meet all members, so pairs grow
+    with the bucket.  The members of larger buckets meet where they agree in a
+    whole cell of their sets instead, which linked sets must."""
+    buckets = materialize(_mixed(placed), "buckets")
+    rest = _across(placed, buckets.where(F.col("outside") <= OUTSIDE), percent)
+    wide = materialize(placed.join(buckets.where(F.col("outside") > OUTSIDE), "shingle", "left_semi")
+                       .select("doc_id", "n", "component").distinct(), "wide")
+    if wide.isEmpty():
+        return rest
+    wanted = materialize(known.join(wide, "doc_id", "left_semi").select("doc_id", "a"), "wanted")
+    cells = materialize(_signatures(docs, wanted, k, percent).join(wide, "doc_id").withColumn("pos", F.lit(0)), "cells")
+    return rest.union(_across(cells, _mixed(cells), percent)).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id,
     class_id`` (smallest id with the same set), ``key`` (of the row's text),
@@ -296,17 +402,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
         # round 2: what is left in buckets that still hold several components
         placed = materialize(shared.join(comp, shared["doc_id"] == comp["node"], "left")
                              .withColumn("component", F.coalesce("component", "doc_id")).drop("node"), "placed")
-        by = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
-        main = (by.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
-                .where("parts > 1").select("shingle", F.col("m.component").alias("main")))
-        mixed = placed.join(main, "shingle")
-        other = mixed.where(F.col("component") != F.col("main")).select(
-            "shingle", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"))
-        rest = (mixed.join(other, (mixed["shingle"] == other["shingle"]) & (F.col("component") != F.col("c2"))
-                           & _allowed(F.col("n"), F.col("pos"), F.col("n2"), F.col("p2"), percent))
-                .select(F.least("doc_id", "d2").alias("u"), F.greatest("doc_id", "d2").alias("v"),
-                        F.when(F.col("doc_id") < F.col("d2"), F.col("n")).otherwise(F.col("n2")).alias("nu"),
-                        F.when(F.col("doc_id") < F.col("d2"), F.col("n2")).otherwise(F.col("n")).alias("nv")).distinct())
+        rest = _left_over(docs, placed, known, k, percent)
         rest = _possible(materialize(rest, "rest"), members, known, percent)
         if not rest.isEmpty():
             more = _linked(docs, rest, known, sketch, k, percent, fragments)
