@@ -20,7 +20,7 @@ threshold t share a shingle among the first |x| - ceil(t |x|) + 1 of each, so
    and the components joined up.  They are found by joining the members outside
    the bucket's main component with all; where these are more than ``OUTSIDE``,
    by joining the bucket's members on whole cells of their sets, in one of which
-   linked sets agree.  This last round covers every pair that is left, so the
+   linked sets agree, if they meet less often that way.  This last round covers every pair that is left, so the
    components are those of all links.
 
 Defined cases: a null or empty text has no shingles and links with nothing;
@@ -326,11 +326,17 @@ def _signatures(docs: DataFrame, wanted: DataFrame, k: int, percent: int) -> Dat
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Buckets that hold several components: (shingle, main, outside), the
-    component with most members and the number of members outside it."""
+    """Buckets that hold several components: (shingle, main, outside, total),
+    the component with most members, the number of members outside it, and of all."""
     by = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
     return (by.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts"))
-            .where("parts > 1").select("shingle", F.col("m.component").alias("main"), (F.col("total") - F.col("m.c")).alias("outside")))
+            .where("parts > 1").select("shingle", F.col("m.component").alias("main"), (F.col("total") - F.col("m.c")).alias("outside"), "total"))
+
+
+def _fewer(some: DataFrame, others: DataFrame) -> bool:
+    """Whether some buckets' members across components meet less often than others'."""
+    meet = F.coalesce(F.sum(F.col("outside").cast("double") * F.col("total")), F.lit(0.0))
+    return some.agg(meet).first()[0] < others.agg(meet).first()[0]
 
 
 def _across(placed: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -349,17 +355,22 @@ def _left_over(docs: DataFrame, placed: DataFrame, known: DataFrame, k: int, per
     """Every pair across components that may still be a link, from ``placed``
     (shingle, doc_id, n, pos, component).  In buckets with at most ``OUTSIDE``
     members outside the main component these meet all members, so pairs grow
-    with the bucket.  The members of larger buckets meet where they agree in a
-    whole cell of their sets instead, which linked sets must."""
+    with the bucket.  The members of larger buckets are also dealt out by the
+    cells of their sets, in one of which linked sets agree: unrelated texts with
+    a common shingle part there, while groups just below the threshold meet in
+    many cells.  Both ways find every link; the one with fewer meetings, which
+    are counted from the sizes of the buckets, is taken."""
     buckets = materialize(_mixed(placed), "buckets")
-    rest = _across(placed, buckets.where(F.col("outside") <= OUTSIDE), percent)
-    wide = materialize(placed.join(buckets.where(F.col("outside") > OUTSIDE), "shingle", "left_semi")
-                       .select("doc_id", "n", "component").distinct(), "wide")
+    large = buckets.where(F.col("outside") > OUTSIDE)
+    wide = materialize(placed.join(large, "shingle", "left_semi").select("doc_id", "n", "component").distinct(), "wide")
     if wide.isEmpty():
-        return rest
+        return _across(placed, buckets, percent)
     wanted = materialize(known.join(wide, "doc_id", "left_semi").select("doc_id", "a"), "wanted")
     cells = materialize(_signatures(docs, wanted, k, percent).join(wide, "doc_id").withColumn("pos", F.lit(0)), "cells")
-    return rest.union(_across(cells, _mixed(cells), percent)).distinct()
+    agreed = materialize(_mixed(cells), "agreed")
+    if not _fewer(agreed, large):
+        return _across(placed, buckets, percent)
+    return _across(placed, buckets.where(F.col("outside") <= OUTSIDE), percent).union(_across(cells, agreed, percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
