@@ -20,7 +20,7 @@ threshold t share a shingle among the first |x| - ceil(t |x|) + 1 of each, so
    and the components joined up.  They are found by joining the members outside
    the bucket's main component with all; where these are more than ``OUTSIDE``,
    by joining the bucket's members on whole cells of their sets, in one of which
-   linked sets agree, if they meet less often that way.  This last round covers every pair that is left, so the
+   linked sets agree, if they meet far less often that way.  This last round covers every pair that is left, so the
    components are those of all links.
 
 Defined cases: a null or empty text has no shingles and links with nothing;
@@ -334,9 +334,10 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _fewer(some: DataFrame, others: DataFrame) -> bool:
-    """Whether some buckets' members across components meet less often than others'."""
+    """Whether some buckets' members across components meet less than a tenth as often as
+    others'.  Places thin out the meetings of the latter (shingles), not of the former (cells)."""
     meet = F.coalesce(F.sum(F.col("outside").cast("double") * F.col("total")), F.lit(0.0))
-    return some.agg(meet).first()[0] < others.agg(meet).first()[0]
+    return 10 * some.agg(meet).first()[0] < others.agg(meet).first()[0]
 
 
 def _across(placed: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
@@ -358,8 +359,8 @@ def _left_over(docs: DataFrame, placed: DataFrame, known: DataFrame, k: int, per
     with the bucket.  The members of larger buckets are also dealt out by the
     cells of their sets, in one of which linked sets agree: unrelated texts with
     a common shingle part there, while groups just below the threshold meet in
-    many cells.  Both ways find every link; the one with fewer meetings, which
-    are counted from the sizes of the buckets, is taken."""
+    many cells.  Both ways find every link; cells are taken where they make
+    meetings, counted from the sizes of the buckets, far fewer."""
     buckets = materialize(_mixed(placed), "buckets")
     large = buckets.where(F.col("outside") > OUTSIDE)
     wide = materialize(placed.join(large, "shingle", "left_semi").select("doc_id", "n", "component").distinct(), "wide")
