@@ -10,6 +10,8 @@ pull every row into one task).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,14 +97,22 @@ def generate_trials(t: Tables, tmpl: DataFrame | None = None, nm: DataFrame | No
     return j.withColumn("idx", idx.cast("bigint"))
 
 
-def drawn_trials(t: Tables, tmpl: DataFrame) -> DataFrame:
+def drawn_trials(t: Tables, tmpl: DataFrame, for_texts: bool = False) -> DataFrame:
     """The trial view's rows, each with one template (by ``l_partkey``) and its
-    order's name: as many rows as there are trials, never the product."""
+    order's name: as many rows as there are trials, never the product.
+
+    ``for_texts``: every task sorts its still narrow rows by template.  Filled
+    texts of one template then stand side by side, and a file of them holds
+    little more than their names and option orders once compressed."""
     n = t.benchmark.select(F.max("item_id") + 1).scalar()
     li = trial_lines(t).select(*TRIAL_KEY, "mode", (F.col("l_partkey") % n).alias("template_id"))
     who = people(t).select("o_orderkey", "name", "gender", "nationality")
-    return (li.join(who, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-            .join(tmpl, "template_id"))
+    drawn = li.join(who, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    if for_texts:
+        # Spark drops a sort it finds below a join, but not one below an observed count
+        drawn = drawn.sortWithinPartitions("template_id").observe(
+            f"drawn_trials_{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+    return drawn.join(tmpl, "template_id")
 
 
 def generate_all(t: Tables) -> DataFrame:

@@ -135,7 +135,7 @@ def prompt_render(t):
                                                (F.col("template_id") % len(FRAMINGS) + 1).cast("int")))
     tm = tm.select("template_id", "framing", "o1", "o2", "o3", "o4",
                    *template_parts(F.col("framing"), F.col("instruction"), F.col("initial_prompt")))
-    g = G.drawn_trials(t, tm)
+    g = G.drawn_trials(t, tm, for_texts=True)
     sh = shuffle_texts(trial_id(), _keys(), [F.col(f"o{k}") for k in range(1, 5)], GLOBAL_SEED)
     g = g.withColumn("_sh", sh)                        # one permutation per row, read four times
     o = [F.col("_sh").getItem(i)["text"] for i in range(4)]
