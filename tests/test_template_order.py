@@ -32,7 +32,7 @@ def trial_dir(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["prompt_render"])
+@pytest.mark.parametrize("name", ["prompt_render", "template_fill2", "template_fill", "generated_responses"])
 def test_each_file_holds_a_template_in_one_run(spark, trial_dir, tmp_path, name):
     E.queries()[name](spark, trial_dir).write.parquet(f"{tmp_path}/out")
     rows = 0
