@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import drop_scratch, materialize
+from ..session import bound_batches, drop_scratch, materialize
 from .common import Words, combine, mix, signed, slices, windows
 from .components import components
 
@@ -250,7 +250,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, known: DataFrame, sketch, k: int,
     rows = materialize(_segments(docs, wanted, sketch, k, fragments), "segments")
     left = rows.select("fragment", F.col("doc_id").alias("u"), F.col("names").alias("x"))
     right = rows.select("fragment", F.col("doc_id").alias("v"), F.col("names").alias("y"))
-    partial = pairs.join(left, "u").join(right, ["v", "fragment"]).select(
+    # both ends meet the rows by (id, fragment), so these are dealt out once for both
+    each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(i) for i in range(fragments)])))
+    partial = each.join(left, ["u", "fragment"]).join(right, ["v", "fragment"]).select(
         "u", "v", "nu", "nv", F.size(F.array_intersect("x", "y")).alias("part"))
     total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("part").alias("common"))
     out = materialize(total.where(100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common"))).select("u", "v"),
@@ -379,6 +381,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
     class_id`` (smallest id with the same set), ``key`` (of the row's text),
     ``a`` and ``b`` (name of its set)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     both = materialize(_members(docs, k), "members")
     sketch = spark.sparkContext.broadcast(_sketch(both))            # SKETCH counters, 4 MB
     members = both.where("slot is null").select("doc_id", "key", "n", "a", "b", "cells")

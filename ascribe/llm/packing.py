@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import bound_batches
 from .common import slices
 from .tokens import sentence_end_ids, vocabulary_json, worker_tokenizer
 
@@ -158,6 +159,7 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, width: int = WIDTH
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``.  One shuffle, by ranges of ``doc_id``."""
     spark = docs.sparkSession
+    bound_batches(spark)
     vocabulary = spark.sparkContext.broadcast(vocabulary_json(vocabulary_path))      # a public file of 3 MB
     ends = sentence_end_ids(vocabulary.value)
 
@@ -171,14 +173,17 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, width: int = WIDTH
         def out(pieces):
             columns = zip(*pieces) if pieces else [[]] * len(_ARROW)
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=_ARROW)
-        for batch in batches:
-            for part in slices(batch):
-                ids, offsets = tokenizer.encode(part.column("text"))
-                for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    own = np.append(ids[offsets[k]:offsets[k + 1]], np.uint32(end_id))
-                    for pieces in packer.add(doc_id, own):
-                        yield out(pieces)
-        yield out(packer.flush(last=True))
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    ids, offsets = tokenizer.encode(part.column("text"))
+                    for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                        own = np.append(ids[offsets[k]:offsets[k + 1]], np.uint32(end_id))
+                        for pieces in packer.add(doc_id, own):
+                            yield out(pieces)
+            yield out(packer.flush(last=True))
+        finally:
+            tokenizer.forget()              # the worker lives on beside other stages' tasks
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")

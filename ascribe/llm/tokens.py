@@ -109,9 +109,10 @@ class ChunkTokenizer:
         size = self.tokenizer.get_vocab_size()
         self.closes = np.zeros(size, bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drop the chunks seen so far; the vocabulary stays."""
         self.table = HashTable()                        # chunks, by their bytes' hashes
         self.place: dict[str, int] = {"": 0}            # parts of chunks
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -191,7 +192,7 @@ class ChunkTokenizer:
             return np.fromiter(chain.from_iterable(each), np.uint32, int(offsets[-1])), offsets
         words = Words(texts, separator=_BLANK)
         if self.rows > CACHE_CHUNKS:
-            self._reset()
+            self.forget()
         a, b = words.hashes(), words.hashes(1)
         row = self.table.find(a, b)
         while len(missing := np.flatnonzero(row < 0)):

@@ -73,6 +73,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 21          # bytes of rows that go to a Python worker at once
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by bytes, unless it has a bound of
+    its own.  By rows alone (10,000), a batch grows with the texts: it stands in
+    the JVM's and the worker's memory at once, and buffers grow by doubling.
+    Frames run after they are returned, so the setting stays."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
